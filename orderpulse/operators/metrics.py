@@ -72,21 +72,25 @@ def _score_counts(df: DataFrame, y: str, score: str, by) -> DataFrame:
                  F.count_if(col_(y) == 0).cast("bigint").alias("_neg")))
 
 
-def running_below(g: DataFrame, by, order_col: str, value_col: str, out: str,
+def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
                   buckets: int | None = 64) -> DataFrame:
-    """``out`` = sum of ``value_col`` over rows with a smaller ``order_col``
-    in the same ``by`` group (strictly below; ``order_col`` is unique per group).
+    """For each value column, the sum over rows with a smaller ``order_col``
+    in the same ``by`` group (strictly below; ``order_col`` unique per group).
 
     Two levels: bucket the order values by approximate quantiles, prefix-sum
-    the per-bucket totals (tiny), then a window inside each bucket only. The
-    result is exact whatever the quantiles are. ``buckets=None`` uses one
-    window per group (fine when groups are small).
+    the per-bucket totals (tiny table), then window inside each bucket only.
+    The result is exact whatever the quantiles are. ``buckets=None`` uses
+    one window per group (only for small groups).
     """
     keys = _by(by)
+    vals = [value_cols] if isinstance(value_cols, str) else list(value_cols)
+    outs = [outs] if isinstance(outs, str) else list(outs)
     prev = Window.partitionBy(*keys, *(["_b"] if buckets else [])).orderBy(order_col) \
         .rowsBetween(Window.unboundedPreceding, -1)
     if not buckets:
-        return g.withColumn(out, F.coalesce(F.sum(value_col).over(prev), F.lit(0)))
+        for v, o in zip(vals, outs):
+            g = g.withColumn(o, F.coalesce(F.sum(v).over(prev), F.lit(0)))
+        return g
     fracs = [i / buckets for i in range(1, buckets)]
     bounds = g.groupBy(*keys).agg(
         F.percentile_approx(order_col, fracs, 10000).alias("_bounds"))
@@ -96,12 +100,15 @@ def running_below(g: DataFrame, by, order_col: str, value_col: str, out: str,
         gb = g.withColumn("_bounds", bounds.select("_bounds").scalar())
     gb = gb.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(order_col)))) \
         .drop("_bounds")
-    tot = gb.groupBy(*keys, "_b").agg(F.sum(value_col).alias("_bt"))
+    tot = gb.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_bt{i}") for i, v in enumerate(vals)])
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0))).drop("_bt")
+    tot = tot.select(*keys, "_b", *[F.coalesce(F.sum(f"_bt{i}").over(before), F.lit(0))
+                                    .alias(f"_off{i}") for i in range(len(vals))])
+    # at most groups * buckets rows: broadcast
     gb = gb.join(F.broadcast(tot), [*keys, "_b"], "inner")
-    return (gb.withColumn(out, F.col("_off") + F.coalesce(F.sum(value_col).over(prev), F.lit(0)))
-            .drop("_b", "_off"))
+    for i, (v, o) in enumerate(zip(vals, outs)):
+        gb = gb.withColumn(o, F.col(f"_off{i}") + F.coalesce(F.sum(v).over(prev), F.lit(0)))
+    return gb.drop("_b", *[f"_off{i}" for i in range(len(vals))])
 
 
 def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets: int | None = 64) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from orderpulse import CATEGORICAL_FEATURES, KEY, LABEL, NUMERIC_FEATURES
 from orderpulse.functions.columns import snap
 from orderpulse.operators import features as feat
+from orderpulse.plans.store import materialize
 from orderpulse.sources.standin import standin_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,9 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.order_features(tables(spark, sf_dir))
+    """The feature table, built once per session and read back (store.py)."""
+    return materialize(spark, "order_features", sf_dir,
+                       lambda: feat.order_features(tables(spark, sf_dir)))
 
 
 def snapped(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
@@ -44,7 +47,8 @@ def snapped(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
 
 @register("order_features")
 def q_order_features(spark, sf_dir):
-    df = features(spark, sf_dir).drop("order_purchase_timestamp")
+    """The full fused build (not the materialised copy), so it is measured."""
+    df = feat.order_features(tables(spark, sf_dir)).drop("order_purchase_timestamp")
     return snapped(df, ["total_order_value", "avg_product_price", "total_freight_value",
                         "avg_freight_value"])
 
@@ -106,3 +110,193 @@ def q_rating_distribution(spark, sf_dir):
 def q_label_distribution(spark, sf_dir):
     from orderpulse.operators.metrics import distribution
     return snapped(distribution(features(spark, sf_dir), LABEL), ["share"])
+
+
+# --- steps 2-5: sampling, metrics, drift, monitoring -------------------------
+
+from orderpulse.operators import drift as drift_ops  # noqa: E402
+from orderpulse.operators import metrics as met  # noqa: E402
+from orderpulse.operators import monitor as mon  # noqa: E402
+from orderpulse.operators import perturb  # noqa: E402
+from orderpulse.operators import sampling  # noqa: E402
+from orderpulse.sources.standin import FIRST_MONTH, N_MONTHS  # noqa: E402
+
+SEED = 42
+DRIFT_FEATURES = ["delivery_days", "total_freight_value", "total_order_value"]
+MONTHS = list(range(1, N_MONTHS + 1))
+
+
+def tag_months(df: DataFrame, ts_col: str = "order_purchase_timestamp",
+               first: str = FIRST_MONTH, n: int = N_MONTHS) -> DataFrame:
+    """month = 1..n for the n calendar months from ``first``; 0 before them
+    (the reference period); rows after the last month are dropped."""
+    y0, m0 = int(first[:4]), int(first[5:7])
+    idx = F.year(ts_col) * 12 + F.month(ts_col) - F.lit(y0 * 12 + m0)
+    month = F.when(idx < 0, F.lit(0)).when(idx < n, idx + 1)
+    return df.withColumn("month", month.cast("int")).where(F.col("month").isNotNull())
+
+
+def deterministic_score(df: DataFrame) -> DataFrame:
+    """Stand-in model: p = 1 / (1 + exp(0.25 * delivery_vs_estimated)), NULL -> 0.5."""
+    p = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(0.25) * F.col("delivery_vs_estimated"))),
+                   F.lit(0.5))
+    return (df.withColumn("y_true", F.col(LABEL)).withColumn("y_proba", p)
+            .withColumn("y_pred", (F.col("y_proba") >= 0.5).cast("int")))
+
+
+def monitoring(spark, sf_dir) -> dict[str, DataFrame]:
+    """Reference rows (month 0) and drifted, scored production months 1..6."""
+    f = tag_months(features(spark, sf_dir))
+    ref = f.where(F.col("month") == 0)
+    prod = materialize(spark, "production_months", sf_dir, lambda: perturb.drift_months(
+        f.where(F.col("month") > 0), perturb.scenario_table(spark),
+        NUMERIC_FEATURES, LABEL, KEY, SEED))
+    return {"all": f, "ref": ref, "prod": prod, "scored": deterministic_score(prod)}
+
+
+def psi_long(spark, sf_dir) -> DataFrame:
+    m = monitoring(spark, sf_dir)
+    ref = drift_ops.to_long(m["ref"], DRIFT_FEATURES)
+    cur = drift_ops.to_long(m["prod"], DRIFT_FEATURES, ["month"])
+    return drift_ops.psi(ref, cur, "month")
+
+
+@register("split_stratified")
+def q_split_stratified(spark, sf_dir):
+    f = features(spark, sf_dir).select(KEY, LABEL)
+    return sampling.stratified_split(f, LABEL, KEY, 0.2, SEED)
+
+
+@register("bootstrap_sample")
+def q_bootstrap_sample(spark, sf_dir):
+    """N draws with replacement from the test split (N = its size)."""
+    test = sampling.stratified_split(features(spark, sf_dir).select(KEY, LABEL), LABEL, KEY,
+                                     0.2, SEED).where("split = 'test'").drop("split")
+    return sampling.bootstrap(spark, test, None, KEY, SEED, [1], "month")
+
+
+@register("psi_matrix")
+def q_psi_matrix(spark, sf_dir):
+    p = psi_long(spark, sf_dir)
+    return drift_ops.psi_with_severity(p.withColumn("psi", snap("psi")))
+
+
+@register("psi_wide")
+def q_psi_wide(spark, sf_dir):
+    p = drift_ops.psi_with_severity(psi_long(spark, sf_dir).withColumn("psi", snap("psi")))
+    w = (p.groupBy("feature").pivot("month", MONTHS)
+         .agg(F.first("psi").alias("psi"), F.first("severity").alias("severity")))
+    return w.select("feature", *[F.col(f"{m}_{k}").alias(f"{k}_m{m}")
+                                 for m in MONTHS for k in ("psi", "severity")])
+
+
+def ks_table(spark, sf_dir) -> DataFrame:
+    m = monitoring(spark, sf_dir)
+    ref = drift_ops.to_long(m["ref"], DRIFT_FEATURES)
+    cur = drift_ops.to_long(m["prod"], DRIFT_FEATURES, ["month"])
+    return drift_ops.ks(ref, cur, MONTHS, "month").withColumn("p_value", snap("p_value"))
+
+
+@register("ks_matrix")
+def q_ks_matrix(spark, sf_dir):
+    return ks_table(spark, sf_dir)
+
+
+@register("ks_significant")
+def q_ks_significant(spark, sf_dir):
+    return ks_table(spark, sf_dir).where("significant = 1")
+
+
+@register("monthly_profile")
+def q_monthly_profile(spark, sf_dir):
+    p = mon.monthly_profile(monitoring(spark, sf_dir)["prod"])
+    return snapped(p, ["mean_delivery_days", "mean_total_freight_value", "electronics_share",
+                       "positive_rate"])
+
+
+def performance(spark, sf_dir) -> DataFrame:
+    return mon.monthly_performance(monitoring(spark, sf_dir)["scored"])
+
+
+@register("monthly_performance")
+def q_monthly_performance(spark, sf_dir):
+    return snapped(performance(spark, sf_dir), ["accuracy", "f1", "positive_rate", "auc"])
+
+
+@register("performance_drop")
+def q_performance_drop(spark, sf_dir):
+    return snapped(mon.performance_drop(performance(spark, sf_dir)),
+                   ["first_value", "last_value", "abs_drop", "pct_drop"])
+
+
+@register("alerts")
+def q_alerts(spark, sf_dir):
+    a = mon.alerts(psi_long(spark, sf_dir), performance(spark, sf_dir))
+    return a.withColumn("value", snap("value"))
+
+
+@register("retrain_trigger")
+def q_retrain_trigger(spark, sf_dir):
+    t = mon.retrain_trigger(psi_long(spark, sf_dir), performance(spark, sf_dir))
+    return snapped(t, ["rolling_f1", "baseline_f1"])
+
+
+def _prod_view(spark, sf_dir) -> DataFrame:
+    return monitoring(spark, sf_dir)["prod"]
+
+
+@register("jitter_shift_scale")
+def q_jitter_shift_scale(spark, sf_dir):
+    return snapped(_prod_view(spark, sf_dir).select(KEY, "month", *NUMERIC_FEATURES),
+                   NUMERIC_FEATURES)
+
+
+@register("category_reassign")
+def q_category_reassign(spark, sf_dir):
+    return _prod_view(spark, sf_dir).select(KEY, "month", "product_category")
+
+
+@register("label_flip")
+def q_label_flip(spark, sf_dir):
+    return _prod_view(spark, sf_dir).select(KEY, "month", LABEL)
+
+
+@register("confusion_metrics")
+def q_confusion_metrics(spark, sf_dir):
+    s = monitoring(spark, sf_dir)["scored"]
+    cm = met.confusion_metrics(s, "y_true", "y_pred", "month")
+    return snapped(cm, ["accuracy", "precision_pos", "recall_pos", "f1_pos", "precision_neg",
+                        "recall_neg", "f1_neg", "f1_macro"])
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    """Exact AUC per month and over all months (month NULL)."""
+    s = monitoring(spark, sf_dir)["scored"]
+    per = met.roc_auc(s, "y_true", "y_proba", "month")
+    overall = met.roc_auc(s, "y_true", "y_proba").withColumn("month", F.lit(None).cast("int"))
+    return snapped(per.unionByName(overall), ["auc"])
+
+
+@register("threshold_sweep")
+def q_threshold_sweep(spark, sf_dir):
+    s = monitoring(spark, sf_dir)["scored"]
+    t = met.threshold_sweep(s, "y_true", "y_proba")
+    return snapped(t, ["accuracy", "precision_pos", "recall_pos", "f1_pos", "precision_neg",
+                       "recall_neg", "f1_neg", "f1_macro"])
+
+
+@register("retrain_set")
+def q_retrain_set(spark, sf_dir):
+    """Reference rows faded by age (half-life 6 months) + labelled months 4-6."""
+    m = monitoring(spark, sf_dir)
+    y0, m0 = int(FIRST_MONTH[:4]), int(FIRST_MONTH[5:7])
+    last_idx = y0 * 12 + m0 - 1 + N_MONTHS  # month index of production month N
+    ts = "order_purchase_timestamp"
+    old = m["ref"].select(KEY, "month", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES,
+                          (F.lit(last_idx) - (F.year(ts) * 12 + F.month(ts))).cast("double")
+                          .alias("age_months"))
+    recent = m["prod"].where(F.col("month") >= 4).select(
+        KEY, "month", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
+    out = mon.retraining_set(old, recent, 6.0)
+    return snapped(out, [*NUMERIC_FEATURES, "weight"])

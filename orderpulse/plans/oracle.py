@@ -196,3 +196,300 @@ SELECT review_score, CAST(count(*) AS BIGINT) AS n FROM rv GROUP BY review_score
 ORACLE["label_distribution"] = with_ctes(_SF, final=f"""
 SELECT is_positive_review, n, {snap('n / sum(n) OVER ()')} AS share
 FROM (SELECT is_positive_review, CAST(count(*) AS BIGINT) AS n FROM feat GROUP BY is_positive_review)""")
+
+
+# --- monitoring chain ---------------------------------------------------------
+
+def u_sql(seed: str, *parts: str) -> str:
+    """Uniform [0,1) from md5('seed:part1:...'), as in the Spark plans."""
+    s = " || ':' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"(('0x' || substr(md5({s}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def md5_sql(seed: str, *parts: str) -> str:
+    s = " || ':' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
+    return f"md5({s})"
+
+
+_JIT = ",\n         ".join(
+    f"{c} * (1.0 + (2.0 * {u_sql('42', 'order_id', repr(c))} - 1.0) * 0.05) AS {c}"
+    for c in NUMERIC)
+
+MONITOR = {
+    "mf": """
+  SELECT * FROM (
+    SELECT *, CASE WHEN ym < 0 THEN 0 WHEN ym < 6 THEN ym + 1 END AS month
+    FROM (SELECT feat.*, year(order_purchase_timestamp) * 12 + month(order_purchase_timestamp) - (2001 * 12 + 2) AS ym
+          FROM feat)) WHERE month IS NOT NULL""",
+    "mref": "SELECT * FROM mf WHERE month = 0",
+    "scen": """
+  SELECT CAST(month AS INT) AS month, CAST(a AS DOUBLE) AS delivery_add, CAST(m AS DOUBLE) AS freight_mult,
+         CAST(e AS DOUBLE) AS electronics_shift_pp, CAST(f AS DOUBLE) AS flip_pct
+  FROM (VALUES (4, 2.0, 1.15, 0.10, 0.05), (5, 4.0, 1.30, 0.15, 0.05), (6, 6.0, 1.50, 0.20, 0.05)) t(month, a, m, e, f)""",
+    "j0": f"""
+  SELECT order_id, month, review_score, is_positive_review, order_purchase_timestamp,
+         {_JIT},
+         product_category, seller_state, payment_type
+  FROM mf WHERE month > 0""",
+    "j1": """
+  SELECT j0.* REPLACE (delivery_days + coalesce(s.delivery_add, 0.0) AS delivery_days,
+                       total_freight_value * coalesce(s.freight_mult, 1.0) AS total_freight_value,
+                       avg_freight_value * coalesce(s.freight_mult, 1.0) AS avg_freight_value,
+                       max_freight_value * coalesce(s.freight_mult, 1.0) AS max_freight_value),
+         coalesce(s.electronics_shift_pp, 0.0) AS shift_pp, coalesce(s.flip_pct, 0.0) AS flip_pct
+  FROM j0 LEFT JOIN scen s ON j0.month = s.month""",
+    "j2": f"""
+  SELECT * REPLACE (CASE WHEN cand AND avail >= k AND rk < k THEN 'electronics' ELSE product_category END
+                    AS product_category)
+  FROM (SELECT *, count(*) OVER (PARTITION BY month) AS n_m,
+               count(*) FILTER (WHERE cand) OVER (PARTITION BY month) AS avail,
+               floor(count(*) OVER (PARTITION BY month) * shift_pp) AS k,
+               CASE WHEN cand THEN row_number() OVER (PARTITION BY month, cand
+                    ORDER BY {md5_sql('42:reassign', 'order_id')}, order_id) - 1 END AS rk
+        FROM (SELECT *, (product_category IS NULL OR product_category <> 'electronics') AS cand FROM j1))""",
+    "j3": f"""
+  SELECT * REPLACE (CASE WHEN cand2 AND avail2 >= k2 AND rk2 < k2 THEN 0 ELSE is_positive_review END
+                    AS is_positive_review)
+  FROM (SELECT *, count(*) FILTER (WHERE cand2) OVER (PARTITION BY month) AS avail2,
+               floor(count(*) OVER (PARTITION BY month) * flip_pct) AS k2,
+               CASE WHEN cand2 THEN row_number() OVER (PARTITION BY month, cand2
+                    ORDER BY {md5_sql('42:flip', 'order_id')}, order_id) - 1 END AS rk2
+        FROM (SELECT *, coalesce(is_positive_review = 1, false) AS cand2 FROM j2))""",
+    "prod": f"""
+  SELECT order_id, month, review_score, is_positive_review, order_purchase_timestamp,
+         {', '.join(NUMERIC)}, {', '.join(CATEGORICAL)} FROM j3""",
+    "scored": """
+  SELECT *, is_positive_review AS y_true,
+         coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) AS y_proba,
+         CAST(coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS y_pred
+  FROM prod""",
+}
+
+_DF = ["delivery_days", "total_freight_value", "total_order_value"]
+
+
+def _long(src: str, keep: str = "") -> str:
+    k = f"{keep}, " if keep else ""
+    return "\n  UNION ALL ".join(
+        f"SELECT {k}'{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM {src} "
+        f"WHERE {f} IS NOT NULL AND NOT isnan({f})" for f in _DF)
+
+
+DRIFT = {
+    "lref": _long("mref"),
+    "lcur": _long("prod", "month"),
+    "edges": """
+  SELECT feature, list_transform(range(1, 10), lambda i: mn + i * ((mx - mn) / 10.0)) AS edges
+  FROM (SELECT feature, min(value) AS mn, quantile_cont(value, 0.99) AS mx FROM lref GROUP BY feature)""",
+    "rcnt": """
+  SELECT l.feature, len(list_filter(e.edges, lambda x: x <= l.value)) AS bin, count(*) AS n
+  FROM lref l JOIN edges e ON l.feature = e.feature GROUP BY ALL""",
+    "ccnt": """
+  SELECT l.feature, l.month, len(list_filter(e.edges, lambda x: x <= l.value)) AS bin, count(*) AS n
+  FROM lcur l JOIN edges e ON l.feature = e.feature GROUP BY ALL""",
+    "rsh": "SELECT feature, bin, n / sum(n) OVER (PARTITION BY feature) AS r_share FROM rcnt",
+    "csh": """
+  SELECT g.feature, g.month, b.bin, coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER (PARTITION BY g.feature, g.month) AS c_share
+  FROM (SELECT DISTINCT feature, month FROM ccnt) g CROSS JOIN range(0, 10) b(bin)
+  LEFT JOIN ccnt c ON c.feature = g.feature AND c.month = g.month AND c.bin = b.bin""",
+    "psil": """
+  SELECT c.feature, c.month,
+         sum((c.c_share + 0.0001 - (coalesce(r.r_share, 0.0) + 0.0001))
+             * ln((c.c_share + 0.0001) / (coalesce(r.r_share, 0.0) + 0.0001))) AS psi
+  FROM csh c LEFT JOIN rsh r ON c.feature = r.feature AND c.bin = r.bin
+  GROUP BY c.feature, c.month""",
+}
+
+
+def _sev(x: str) -> str:
+    return f"CASE WHEN {x} < 0.1 THEN 'GREEN' WHEN {x} < 0.2 THEN 'YELLOW' ELSE 'RED' END"
+
+
+KS = {
+    "kv": """
+  SELECT feature, month, value, sum(isr) AS r, sum(1 - isr) AS c FROM (
+    SELECT l.feature, m.month, l.value, 1 AS isr FROM lref l CROSS JOIN (SELECT DISTINCT month FROM lcur) m
+    UNION ALL SELECT feature, month, value, 0 FROM lcur) GROUP BY ALL""",
+    "kc": """
+  SELECT feature, month,
+         sum(r) OVER w / sum(r) OVER (PARTITION BY feature, month) AS fr,
+         sum(c) OVER w / sum(c) OVER (PARTITION BY feature, month) AS fc,
+         sum(r) OVER (PARTITION BY feature, month) AS n_ref,
+         sum(c) OVER (PARTITION BY feature, month) AS n_cur
+  FROM kv WINDOW w AS (PARTITION BY feature, month ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "kd": """
+  SELECT feature, month, max(abs(fr - fc)) AS ks_stat, CAST(max(n_ref) AS DOUBLE) AS nr, CAST(max(n_cur) AS DOUBLE) AS nc
+  FROM kc GROUP BY feature, month""",
+    "kp": """
+  SELECT feature, month, ks_stat, nr, nc,
+         CASE WHEN ks_stat <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * list_reduce(
+              list_prepend(0.0, list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(CAST(-2.0 AS DOUBLE) * k * k * (nr * nc / (nr + nc)) * ks_stat * ks_stat))),
+              lambda a, b: a + b))) END AS p
+  FROM kd""",
+}
+
+_KS_FINAL = f"""
+SELECT feature, month, ks_stat, {snap('p')} AS p_value, CAST(p < 0.05 AS INT) AS significant,
+       CAST(nr AS BIGINT) AS n_ref, CAST(nc AS BIGINT) AS n_cur FROM kp"""
+
+_M = {**STANDIN, **FEATURES, **MONITOR}
+_MD = {**_M, **DRIFT}
+
+
+def _conf(src: str, by: str = "month") -> str:
+    return f"""
+  SELECT {by}, CAST(count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) AS BIGINT) AS tp,
+         CAST(count(*) FILTER (WHERE y_true = 0 AND y_pred = 1) AS BIGINT) AS fp,
+         CAST(count(*) FILTER (WHERE y_true = 0 AND y_pred = 0) AS BIGINT) AS tn,
+         CAST(count(*) FILTER (WHERE y_true = 1 AND y_pred = 0) AS BIGINT) AS fn
+  FROM {src} GROUP BY {by}"""
+
+
+def _div(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+def _metric_cols(s=snap) -> str:
+    return ",\n       ".join([
+        f"{s(_div('tp + tn', 'tp + fp + tn + fn'))} AS accuracy",
+        f"{s(_div('tp', 'tp + fp'))} AS precision_pos",
+        f"{s(_div('tp', 'tp + fn'))} AS recall_pos",
+        f"{s(_div('2 * tp', '2 * tp + fp + fn'))} AS f1_pos",
+        f"{s(_div('tn', 'tn + fn'))} AS precision_neg",
+        f"{s(_div('tn', 'tn + fp'))} AS recall_neg",
+        f"{s(_div('2 * tn', '2 * tn + fn + fp'))} AS f1_neg",
+        f"{s('(' + _div('2 * tp', '2 * tp + fp + fn') + ' + ' + _div('2 * tn', '2 * tn + fn + fp') + ') / 2')} AS f1_macro",
+    ])
+
+
+def _auc(src: str, by: str | None) -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    g = f"{by}, " if by else ""
+    return f"""
+  SELECT {g}CAST(sum(2 * pos * coalesce(nb, 0) + pos * neg) AS DOUBLE) / nullif(CAST(2 * sum(pos) * sum(neg) AS DOUBLE), 0) AS auc,
+         CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
+  FROM (SELECT *, sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb
+        FROM (SELECT {g}y_proba AS s, count(*) FILTER (WHERE y_true = 1) AS pos,
+                     count(*) FILTER (WHERE y_true = 0) AS neg
+              FROM scored WHERE y_proba IS NOT NULL AND y_true IS NOT NULL GROUP BY ALL))
+  {'GROUP BY ' + by if by else ''}"""
+
+
+PERF = {
+    "conf": _conf("scored"),
+    "aucm": _auc("scored", "month"),
+    "perf": f"""
+  SELECT c.month, {_div('tp + tn', 'tp + fp + tn + fn')} AS accuracy, {_div('2 * tp', '2 * tp + fp + fn')} AS f1,
+         CAST(tp + fn AS DOUBLE) / CAST(tp + fp + tn + fn AS DOUBLE) AS positive_rate, a.auc
+  FROM conf c LEFT JOIN aucm a ON c.month = a.month""",
+}
+
+ORACLE["split_stratified"] = with_ctes(_SF, final=f"""
+SELECT order_id, is_positive_review,
+       CASE WHEN {u_sql('42', 'order_id')} < 0.2 THEN 'test' ELSE 'train' END AS split
+FROM feat""")
+
+ORACLE["bootstrap_sample"] = with_ctes(_SF, {
+    "pop": f"""
+  SELECT order_id, is_positive_review,
+         row_number() OVER (ORDER BY {md5_sql('42', 'order_id')}, order_id) - 1 AS pid
+  FROM feat WHERE {u_sql('42', 'order_id')} < 0.2""",
+}, final=f"""
+SELECT 1 AS month, d.draw, p.order_id, p.is_positive_review
+FROM (SELECT pid AS draw, floor({u_sql('42', '1', 'pid')} * (SELECT count(*) FROM pop)) AS pid FROM pop) d
+JOIN pop p ON d.pid = p.pid""")
+
+ORACLE["psi_matrix"] = with_ctes(_MD, final=f"""
+SELECT feature, month, {snap('psi')} AS psi, {_sev(snap('psi'))} AS severity FROM psil""")
+
+ORACLE["psi_wide"] = with_ctes(_MD, final="SELECT feature, " + ", ".join(
+    f"max({snap('psi')}) FILTER (WHERE month = {m}) AS psi_m{m}, "
+    f"max({_sev(snap('psi'))}) FILTER (WHERE month = {m}) AS severity_m{m}" for m in range(1, 7))
+    + " FROM psil GROUP BY feature")
+
+ORACLE["ks_matrix"] = with_ctes(_MD, KS, final=_KS_FINAL)
+ORACLE["ks_significant"] = with_ctes(_MD, KS, final=f"SELECT * FROM ({_KS_FINAL}) WHERE significant = 1")
+
+ORACLE["monthly_profile"] = with_ctes(_M, final=f"""
+SELECT month, CAST(count(*) AS BIGINT) AS n, {snap('avg(delivery_days)')} AS mean_delivery_days,
+       {snap('avg(total_freight_value)')} AS mean_total_freight_value,
+       {snap("avg(CAST(product_category = 'electronics' AS INT))")} AS electronics_share,
+       {snap('avg(CAST(is_positive_review AS DOUBLE))')} AS positive_rate
+FROM prod GROUP BY month""")
+
+ORACLE["monthly_performance"] = with_ctes(_M, PERF, final=f"""
+SELECT month, {snap('accuracy')} AS accuracy, {snap('f1')} AS f1, {snap('positive_rate')} AS positive_rate,
+       {snap('auc')} AS auc FROM perf""")
+
+ORACLE["performance_drop"] = with_ctes(_M, PERF, final=f"""
+SELECT metric, {snap('first_value')} AS first_value, {snap('last_value')} AS last_value,
+       {snap('first_value - last_value')} AS abs_drop, {snap('(first_value - last_value) / first_value * 100')} AS pct_drop
+FROM (SELECT metric, arg_min(value, month) AS first_value, arg_max(value, month) AS last_value
+      FROM (UNPIVOT (SELECT month, accuracy, f1, auc FROM perf) ON accuracy, f1, auc INTO NAME metric VALUE value)
+      GROUP BY metric)""")
+
+ORACLE["alerts"] = with_ctes(_MD, PERF, final=f"""
+SELECT feature AS feature_or_metric, month, {snap('psi')} AS value, {_sev('psi')} AS severity,
+       CASE WHEN psi >= 0.2 THEN 'Retrain or replace model' ELSE 'Investigate root cause' END AS action
+FROM psil WHERE psi >= 0.1
+UNION ALL
+SELECT 'F1 score', month, {snap('f1')}, 'RED', 'Performance below threshold (0.7)' FROM perf WHERE f1 < 0.7""")
+
+ORACLE["retrain_trigger"] = with_ctes(_MD, PERF, {
+    "red": """
+  SELECT month, bool_or(coalesce(two, false)) AS red_two_months, bool_or(psi >= 0.1) AS any_yellow
+  FROM (SELECT *, psi >= 0.2 AND coalesce(lag(psi >= 0.2) OVER w, false)
+                  AND month - lag(month) OVER w = 1 AS two
+        FROM psil WINDOW w AS (PARTITION BY feature ORDER BY month))
+  GROUP BY month""",
+    "pf": """
+  SELECT month, f1, avg(f1) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_f1,
+         first_value(f1) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS baseline_f1
+  FROM perf""",
+}, final=f"""
+SELECT coalesce(p.month, r.month) AS month,
+       CAST(coalesce(r.red_two_months, false) AS INT) AS red_two_months,
+       CAST(coalesce(p.f1 < 0.7, false) AS INT) AS f1_below,
+       CAST(coalesce(p.rolling_f1 < p.baseline_f1 * 0.95, false) AS INT) AS f1_decline,
+       {snap('p.rolling_f1')} AS rolling_f1, {snap('p.baseline_f1')} AS baseline_f1,
+       CAST(coalesce(r.red_two_months, false) OR coalesce(p.f1 < 0.7, false)
+            OR coalesce(p.rolling_f1 < p.baseline_f1 * 0.95, false) AS INT) AS retrain,
+       CASE WHEN coalesce(r.red_two_months, false) OR coalesce(p.f1 < 0.7, false)
+                 OR coalesce(p.rolling_f1 < p.baseline_f1 * 0.95, false) THEN 'retrain'
+            WHEN coalesce(r.any_yellow, false) THEN 'investigate' ELSE 'none' END AS action
+FROM pf p FULL JOIN red r ON p.month = r.month""")
+
+ORACLE["jitter_shift_scale"] = with_ctes(_M, final="SELECT order_id, month, " + ", ".join(
+    f"{snap(c)} AS {c}" for c in NUMERIC) + " FROM prod")
+
+ORACLE["category_reassign"] = with_ctes(_M, final="SELECT order_id, month, product_category FROM prod")
+ORACLE["label_flip"] = with_ctes(_M, final="SELECT order_id, month, is_positive_review FROM prod")
+
+ORACLE["confusion_metrics"] = with_ctes(_M, {"conf": _conf("scored")}, final=f"""
+SELECT month, tp, fp, tn, fn, {_metric_cols()} FROM conf""")
+
+ORACLE["roc_auc"] = with_ctes(_M, final=f"""
+SELECT month, {snap('auc')} AS auc, n_pos, n_neg FROM ({_auc('scored', 'month')})
+UNION ALL
+SELECT NULL, {snap('auc')}, n_pos, n_neg FROM ({_auc('scored', None)})""")
+
+ORACLE["threshold_sweep"] = with_ctes(_M, {
+    "thr": "SELECT j / 20.0 AS threshold FROM range(1, 20) t(j)",
+    "sw": """
+  SELECT t.threshold,
+         CAST(count(*) FILTER (WHERE s.y_true = 1 AND s.y_proba >= t.threshold) AS BIGINT) AS tp,
+         CAST(count(*) FILTER (WHERE s.y_true = 0 AND s.y_proba >= t.threshold) AS BIGINT) AS fp,
+         CAST(count(*) FILTER (WHERE s.y_true = 0 AND s.y_proba < t.threshold) AS BIGINT) AS tn,
+         CAST(count(*) FILTER (WHERE s.y_true = 1 AND s.y_proba < t.threshold) AS BIGINT) AS fn
+  FROM thr t CROSS JOIN (SELECT * FROM scored WHERE y_proba IS NOT NULL AND y_true IS NOT NULL) s
+  GROUP BY t.threshold""",
+}, final=f"SELECT threshold, tp, fp, tn, fn, {_metric_cols()} FROM sw")
+
+ORACLE["retrain_set"] = with_ctes(_M, final=f"""
+SELECT order_id, month, is_positive_review, {', '.join(snap(c) + ' AS ' + c for c in NUMERIC)},
+       {', '.join(CATEGORICAL)}, 'train' AS source,
+       {snap("pow(0.5, CAST(2001 * 12 + 7 - (year(order_purchase_timestamp) * 12 + month(order_purchase_timestamp)) AS DOUBLE) / 6.0)")} AS weight
+FROM mref
+UNION ALL
+SELECT order_id, month, is_positive_review, {', '.join(snap(c) + ' AS ' + c for c in NUMERIC)},
+       {', '.join(CATEGORICAL)}, 'recent', 1.0 FROM prod WHERE month >= 4""")
