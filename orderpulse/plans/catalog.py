@@ -18,6 +18,7 @@ from orderpulse.functions.columns import snap
 from orderpulse.operators import features as feat
 from orderpulse.plans.store import materialize
 from orderpulse.sources.standin import standin_tables
+from orderpulse.sources.tables import read_driver_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -300,3 +301,89 @@ def q_retrain_set(spark, sf_dir):
         KEY, "month", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
     out = mon.retraining_set(old, recent, 6.0)
     return snapped(out, [*NUMERIC_FEATURES, "weight"])
+
+
+# --- step 8: text ----------------------------------------------------------
+
+from orderpulse.functions.columns import preview, stars_label  # noqa: E402
+from orderpulse.operators import text as txt  # noqa: E402
+
+METRICS6 = ["accuracy", "precision_pos", "recall_pos", "f1_pos", "recall_neg", "f1_macro"]
+
+
+def cleaned_reviews(spark, sf_dir) -> DataFrame:
+    c = txt.clean_text(tables(spark, sf_dir)["review_comments"], "review_comment_message", "text")
+    return c.select("review_id", "order_id", "review_score", "text", "doc_n_chars")
+
+
+def text_predictions(spark, sf_dir) -> DataFrame:
+    """Stand-in text model output: '<k> stars' with k = 1 + n_chars % 5 and a
+    confidence 0.5 + (n_chars % 50) / 100, as a real scorer would return."""
+    c = cleaned_reviews(spark, sf_dir)
+    c = (c.withColumn("text_label", stars_label(1 + F.col("doc_n_chars") % 5))
+         .withColumn("text_score", F.lit(0.5) + (F.col("doc_n_chars") % 50) / 100.0))
+    return txt.stars_to_binary(c, "text_label")
+
+
+@register("text_clean")
+def q_text_clean(spark, sf_dir):
+    return cleaned_reviews(spark, sf_dir).select(
+        "review_id", "order_id", "review_score", "text",
+        F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("text_sample_500")
+def q_text_sample_500(spark, sf_dir):
+    c = cleaned_reviews(spark, sf_dir).select("review_id", "order_id", "review_score", "text")
+    return sampling.sample_n(c, 500, "review_id", SEED)
+
+
+@register("text_preview")
+def q_text_preview(spark, sf_dir):
+    return cleaned_reviews(spark, sf_dir).select("review_id", preview("text", 60).alias("preview"))
+
+
+@register("stars_crosstab")
+def q_stars_crosstab(spark, sf_dir):
+    p = text_predictions(spark, sf_dir)
+    ct = met.crosstab(p, "pred_stars", "review_score", [1, 2, 3, 4, 5])
+    return ct.select("pred_stars", *[F.col(f"`{k}`").cast("bigint").alias(f"actual_{k}")
+                                     for k in range(1, 6)])
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """Text predictions vs the feature score on the same held-out reviews.
+
+    Truth is the review's own score (>= 4); reviews of training orders are
+    excluded (anti-join on the split), unlike the original, which scored
+    rows the model had trained on.
+    """
+    p = text_predictions(spark, sf_dir).withColumn("y_true", F.expr("CAST(review_score >= 4 AS INT)"))
+    split = sampling.stratified_split(features(spark, sf_dir).select(KEY, LABEL), LABEL, KEY,
+                                      0.2, SEED)
+    p = p.join(split.where("split = 'train'").select(KEY), KEY, "left_anti")
+    f = deterministic_score(features(spark, sf_dir)).select(KEY, F.col("y_pred").alias("f_pred"))
+    j = p.join(f, KEY, "inner")
+    a = snapped(met.confusion_metrics(j, "y_true", "pred_binary"), METRICS6)
+    b = snapped(met.confusion_metrics(j, "y_true", "f_pred"), METRICS6)
+    return met.compare_models(a, b, "text_model", "feature_model", METRICS6)
+
+
+@register("route_queue")
+def q_route_queue(spark, sf_dir):
+    f = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba")
+    return snapped(txt.route(f, text_predictions(spark, sf_dir)), ["score"])
+
+
+@register("score_text")
+def q_score_text(spark, sf_dir):
+    """Native text model trained on labelled documents (quality), applied to
+    every cleaned review comment (whole texts)."""
+    t = read_driver_tables(spark, sf_dir, ["documents", "labels"])
+    train = (t["documents"].join(t["labels"], "doc_id", "inner")
+             .select("text", F.col("quality").cast("double").alias("label")))
+    model = txt.fit_text_model(train, "text", "label")
+    c = cleaned_reviews(spark, sf_dir).select("review_id", "order_id", "text")
+    return txt.score_text(model, c, "text").select("review_id", "order_id", "text_label",
+                                                   "text_score")

@@ -493,3 +493,73 @@ FROM mref
 UNION ALL
 SELECT order_id, month, is_positive_review, {', '.join(snap(c) + ' AS ' + c for c in NUMERIC)},
        {', '.join(CATEGORICAL)}, 'recent', 1.0 FROM prod WHERE month >= 4""")
+
+
+# --- text ---------------------------------------------------------------------
+
+_WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
+TEXT = {
+    "cl": f"""
+  SELECT review_id, order_id, review_score, doc_n_chars,
+         regexp_replace(review_comment_message, '^{_WS}+|{_WS}+$', '', 'g') AS text
+  FROM rv WHERE review_comment_message IS NOT NULL""",
+    "cln": "SELECT * FROM cl WHERE length(text) > 0",
+    "tp": """
+  SELECT *, CASE WHEN k = 1 THEN '1 star' ELSE CAST(k AS VARCHAR) || ' stars' END AS text_label,
+         0.5 + (doc_n_chars % 50) / 100.0 AS text_score,
+         k AS pred_stars, CAST(k >= 4 AS INT) AS pred_binary
+  FROM (SELECT *, CAST(1 + doc_n_chars % 5 AS INT) AS k FROM cln)""",
+}
+_ST = {**STANDIN, **TEXT}
+
+ORACLE["text_clean"] = with_ctes(_ST, final="""
+SELECT review_id, order_id, review_score, text, CAST(length(text) AS BIGINT) AS n_chars FROM cln""")
+
+ORACLE["text_sample_500"] = with_ctes(_ST, final=f"""
+SELECT review_id, order_id, review_score, text FROM cln
+ORDER BY {md5_sql('42', 'review_id')}, review_id LIMIT 500""")
+
+ORACLE["text_preview"] = with_ctes(_ST, final="""
+SELECT review_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS preview
+FROM cln""")
+
+ORACLE["stars_crosstab"] = with_ctes(_ST, final="SELECT pred_stars, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE review_score = {k}) AS BIGINT) AS actual_{k}" for k in range(1, 6))
+    + " FROM tp GROUP BY pred_stars")
+
+
+def _metric_row(y: str, p: str, src: str) -> str:
+    return f"""
+  SELECT count(*) FILTER (WHERE {y} = 1 AND {p} = 1) AS tp, count(*) FILTER (WHERE {y} = 0 AND {p} = 1) AS fp,
+         count(*) FILTER (WHERE {y} = 0 AND {p} = 0) AS tn, count(*) FILTER (WHERE {y} = 1 AND {p} = 0) AS fn
+  FROM {src}"""
+
+
+_M6 = ["accuracy", "precision_pos", "recall_pos", "f1_pos", "recall_neg", "f1_macro"]
+
+ORACLE["model_comparison"] = with_ctes(_SF, TEXT, {
+    "j": f"""
+  SELECT t.*, CAST(t.review_score >= 4 AS INT) AS y_true,
+         CAST(coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS f_pred
+  FROM tp t JOIN feat f ON t.order_id = f.order_id
+  WHERE NOT ({u_sql('42', 'f.order_id')} >= 0.2)""",
+    "ca": _metric_row("y_true", "pred_binary", "j"),
+    "cb": _metric_row("y_true", "f_pred", "j"),
+    "ma": f"SELECT {_metric_cols()} FROM ca",
+    "mb": f"SELECT {_metric_cols()} FROM cb",
+    "la": "UNPIVOT ma ON " + ", ".join(_M6) + " INTO NAME metric VALUE text_model",
+    "lb": "UNPIVOT mb ON " + ", ".join(_M6) + " INTO NAME metric VALUE feature_model",
+}, final="""
+SELECT la.metric, la.text_model, lb.feature_model,
+       CASE WHEN la.text_model > lb.feature_model THEN 'text_model'
+            WHEN lb.feature_model > la.text_model THEN 'feature_model' ELSE 'Tie' END AS winner
+FROM la JOIN lb ON la.metric = lb.metric""")
+
+ORACLE["route_queue"] = with_ctes(_SF, TEXT, {
+    "fs": "SELECT order_id, coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) AS y_proba FROM feat",
+    "outq": "SELECT order_id, 'outreach' AS reason, 1.0 - y_proba AS score FROM fs WHERE y_proba < 0.5",
+}, final=f"""
+SELECT order_id, reason, {snap('score')} AS score FROM outq
+UNION ALL
+SELECT order_id, 'human_review', {snap('max(text_score)')} FROM tp
+WHERE pred_binary = 0 AND order_id NOT IN (SELECT order_id FROM outq) GROUP BY order_id""")
