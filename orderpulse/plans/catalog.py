@@ -387,3 +387,89 @@ def q_score_text(spark, sf_dir):
     c = cleaned_reviews(spark, sf_dir).select("review_id", "order_id", "text")
     return txt.score_text(model, c, "text").select("review_id", "order_id", "text_label",
                                                    "text_score")
+
+
+# --- step 6: validation ------------------------------------------------------
+
+from orderpulse import ALL_FEATURES  # noqa: E402
+from orderpulse.operators import validate as val  # noqa: E402
+
+
+def allowed_from_training(spark, sf_dir) -> DataFrame:
+    """Allowed values = categories seen in the training split, plus 'missing'."""
+    f = sampling.stratified_split(features(spark, sf_dir), LABEL, KEY, 0.2, SEED)
+    return val.allowed_from_data(f.where("split = 'train'"))
+
+
+def json_records(f: DataFrame, malformed: bool = True) -> DataFrame:
+    """One JSON object per order with faults injected by ``order_id % 13``:
+    1 field absent, 2 text for a number, 3 boolean for a number, 4 negative
+    price, 5 negative delivery_vs_estimated (valid), 6 number for a
+    category, 7 unknown state, 8 empty payment type, 9 extra field
+    (ignored), 10 explicit null, 11 array instead of object, 12 malformed."""
+    def js(over=None, drop=None, keep_nulls=False):
+        d = {c: F.col(c) for c in ALL_FEATURES}
+        if drop:
+            d.pop(drop)
+        d.update(over or {})
+        st = F.struct(*[v.alias(n) for n, v in d.items()])
+        return F.to_json(st, {"ignoreNullFields": "false"}) if keep_nulls else F.to_json(st)
+    k = F.col(KEY) % 13
+    body = (F.when(k == 1, js(drop="total_order_value"))
+            .when(k == 2, js({"total_order_value": F.lit("not a number")}))
+            .when(k == 3, js({"delivery_days": F.lit(True)}))
+            .when(k == 4, js({"avg_product_price": F.lit(-1.5)}))
+            .when(k == 5, js({"delivery_vs_estimated": F.lit(-5.0)}))
+            .when(k == 6, js({"product_category": F.lit(42)}))
+            .when(k == 7, js({"seller_state": F.lit("ZZ")}))
+            .when(k == 8, js({"payment_type": F.lit("")}))
+            .when(k == 9, js({"note": F.lit("x")}))
+            .when(k == 10, js({"min_product_photos_qty": F.lit(None).cast("double")}, keep_nulls=True))
+            .when(k == 11, F.concat(F.lit("["), js(), F.lit("]"))))
+    if malformed:
+        body = body.when(k == 12, F.regexp_replace(js(), "}$", ""))
+    return f.select(KEY, body.otherwise(js()).alias("body"))
+
+
+@register("validate_rows")
+def q_validate_rows(spark, sf_dir):
+    v = val.validate_rows(features(spark, sf_dir), allowed_from_training(spark, sf_dir))
+    return v.select(KEY, "is_valid", val.canonical_errors("errors").alias("errors"))
+
+
+@register("validation_summary")
+def q_validation_summary(spark, sf_dir):
+    v = val.validate_rows(features(spark, sf_dir), allowed_from_training(spark, sf_dir))
+    return val.error_summary(v)
+
+
+@register("validate_json_records")
+def q_validate_json_records(spark, sf_dir):
+    recs = json_records(features(spark, sf_dir))
+    v = val.validate_json(recs, "body", allowed_from_training(spark, sf_dir))
+    return v.select(KEY, "is_valid", val.canonical_errors("errors").alias("errors"))
+
+
+def json_batches(f: DataFrame, size: int = 100) -> DataFrame:
+    """Orders grouped into arrays of at most ``size`` records by key range
+    (bounded groups), with batch faults by ``batch_id % 10``: 7 empty array,
+    8 an object, 9 the array repeated twice (over the limit when > 50)."""
+    recs = json_records(f, malformed=False).withColumn("batch_id", F.floor(F.col(KEY) / size))
+    arr = recs.groupBy("batch_id").agg(
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(KEY, "body"))),
+                                     lambda s: s["body"])).alias("_items"))
+    b = F.col("batch_id") % 10
+    body = (F.when(b == 7, F.lit("[]"))
+            .when(b == 8, F.lit('{"orders": []}'))
+            .when(b == 9, F.concat(F.lit("["), F.col("_items"), F.lit(","), F.col("_items"),
+                                   F.lit("]")))
+            .otherwise(F.concat(F.lit("["), F.col("_items"), F.lit("]"))))
+    return arr.select("batch_id", body.alias("body"))
+
+
+@register("validate_json_batches")
+def q_validate_json_batches(spark, sf_dir):
+    bodies = json_batches(features(spark, sf_dir))
+    v = val.validate_json_batches(bodies, "batch_id", "body", allowed_from_training(spark, sf_dir))
+    return v.select("batch_id", "pos", "status", "body_error",
+                    val.canonical_errors("errors").alias("errors"))

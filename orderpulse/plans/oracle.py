@@ -563,3 +563,98 @@ SELECT order_id, reason, {snap('score')} AS score FROM outq
 UNION ALL
 SELECT order_id, 'human_review', {snap('max(text_score)')} FROM tp
 WHERE pred_binary = 0 AND order_id NOT IN (SELECT order_id FROM outq) GROUP BY order_id""")
+
+
+# --- validation -----------------------------------------------------------
+
+_NONNEG = [c for c in NUMERIC if c != "delivery_vs_estimated"]
+
+
+def _json_obj(over: dict | None = None, drop: str | None = None) -> str:
+    d = {c: c for c in NUMERIC + CATEGORICAL}
+    if drop:
+        d.pop(drop)
+    d.update(over or {})
+    return "CAST(json_object(" + ", ".join(f"'{k}', {v}" for k, v in d.items()) + ") AS VARCHAR)"
+
+
+VALIDATE = {
+    "spl": f"SELECT *, CASE WHEN {u_sql('42', 'order_id')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM feat",
+    "allowed": """
+  SELECT DISTINCT field, value FROM (
+    SELECT 'product_category' AS field, product_category AS value FROM spl WHERE split = 'train'
+    UNION ALL SELECT 'seller_state', seller_state FROM spl WHERE split = 'train'
+    UNION ALL SELECT 'payment_type', payment_type FROM spl WHERE split = 'train'
+    UNION ALL SELECT f, 'missing' FROM (VALUES ('product_category'), ('seller_state'), ('payment_type')) t(f))
+  WHERE value IS NOT NULL""",
+}
+
+
+def _row_rules() -> str:
+    parts = []
+    for c in NUMERIC:
+        neg = f" WHEN {c} < 0 THEN '{c}=must be non-negative'" if c in _NONNEG else ""
+        parts.append(f"CASE WHEN {c} IS NULL OR isnan({c}) THEN '{c}=required field missing'{neg} END")
+    for c in CATEGORICAL:
+        parts.append(f"CASE WHEN {c} IS NULL THEN '{c}=required field missing' "
+                     f"WHEN {c} NOT IN (SELECT value FROM allowed WHERE field = '{c}') "
+                     f"THEN '{c}=unknown value: ''' || {c} || '''' END")
+    return "nullif(array_to_string(list_sort(list_filter([" + ", ".join(parts) + \
+        "], lambda x: x IS NOT NULL)), '; '), '')"
+
+
+ORACLE["validate_rows"] = with_ctes(_SF, VALIDATE, final=f"""
+SELECT order_id, CAST(errs IS NULL AS INT) AS is_valid, errs AS errors
+FROM (SELECT order_id, {_row_rules()} AS errs FROM feat)""")
+
+ORACLE["validation_summary"] = with_ctes(_SF, VALIDATE, final=f"""
+SELECT split_part(e, '=', 1) AS field, substr(e, strpos(e, '=') + 1) AS message, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT unnest(string_split(errs, '; ')) AS e FROM (SELECT {_row_rules()} AS errs FROM feat) WHERE errs IS NOT NULL)
+GROUP BY ALL""")
+
+
+def _json_rules() -> str:
+    parts = []
+    for c in NUMERIC:
+        t = f"json_type(jb, '$.{c}')"
+        neg = (f" WHEN CAST(json_extract(jb, '$.{c}') AS DOUBLE) < 0 THEN '{c}=must be non-negative'"
+               if c in _NONNEG else "")
+        parts.append(f"CASE WHEN {t} IS NULL OR {t} = 'NULL' THEN '{c}=required field missing' "
+                     f"WHEN {t} NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN '{c}=must be a number'{neg} END")
+    for c in CATEGORICAL:
+        t = f"json_type(jb, '$.{c}')"
+        v = f"json_extract_string(jb, '$.{c}')"
+        parts.append(f"CASE WHEN {t} IS NULL OR {t} = 'NULL' THEN '{c}=required field missing' "
+                     f"WHEN {t} <> 'VARCHAR' THEN '{c}=must be a string' "
+                     f"WHEN {v} NOT IN (SELECT value FROM allowed WHERE field = '{c}') "
+                     f"THEN '{c}=unknown value: ''' || {v} || '''' END")
+    return "nullif(array_to_string(list_sort(list_filter([" + ", ".join(parts) + \
+        "], lambda x: x IS NOT NULL)), '; '), '')"
+
+
+_JREC = "CASE k " + " ".join([
+    f"WHEN 1 THEN {_json_obj(drop='total_order_value')}",
+    f"WHEN 2 THEN {_json_obj({'total_order_value': repr('not a number')})}",
+    f"WHEN 3 THEN {_json_obj({'delivery_days': 'true'})}",
+    f"WHEN 4 THEN {_json_obj({'avg_product_price': '-1.5'})}",
+    f"WHEN 5 THEN {_json_obj({'delivery_vs_estimated': '-5.0'})}",
+    f"WHEN 6 THEN {_json_obj({'product_category': '42'})}",
+    f"WHEN 7 THEN {_json_obj({'seller_state': repr('ZZ')})}",
+    f"WHEN 8 THEN {_json_obj({'payment_type': repr('')})}",
+    f"WHEN 9 THEN {_json_obj({'note': repr('x')})}",
+    f"WHEN 10 THEN {_json_obj({'min_product_photos_qty': 'NULL'})}",
+    f"WHEN 11 THEN '[' || {_json_obj()} || ']'",
+    f"WHEN 12 THEN rtrim(CAST({_json_obj()} AS VARCHAR), '}}')",
+    f"ELSE {_json_obj()} END"])
+
+ORACLE["validate_json_records"] = with_ctes(_SF, VALIDATE, {
+    "jr0": f"SELECT order_id, CAST({_JREC} AS VARCHAR) AS body FROM (SELECT *, order_id % 13 AS k FROM feat)",
+    "jr": "SELECT *, CASE WHEN coalesce(json_valid(body), false) THEN body END AS jb FROM jr0",
+}, final=f"""
+SELECT order_id, CAST(errs IS NULL AS INT) AS is_valid, errs AS errors FROM (
+  SELECT order_id,
+         CASE WHEN jb IS NULL OR json_type(jb) = 'NULL'
+                THEN 'body=request body must be valid json with content-type application/json'
+              WHEN json_type(jb) <> 'OBJECT' THEN 'body=request body must be a json object'
+              ELSE {_json_rules()} END AS errs
+  FROM jr)""")
