@@ -473,3 +473,81 @@ def q_validate_json_batches(spark, sf_dir):
     v = val.validate_json_batches(bodies, "batch_id", "body", allowed_from_training(spark, sf_dir))
     return v.select("batch_id", "pos", "status", "body_error",
                     val.canonical_errors("errors").alias("errors"))
+
+
+# --- step 7: preprocessing, models, scoring, runs ---------------------------
+
+from orderpulse.operators import models as mdl  # noqa: E402
+from orderpulse.operators import preprocess as pre  # noqa: E402
+from orderpulse.plans.store import memo, stage_path  # noqa: E402
+
+
+def split_features(spark, sf_dir) -> DataFrame:
+    return sampling.stratified_split(features(spark, sf_dir), LABEL, KEY, 0.2, SEED)
+
+
+@register("impute_scale")
+def q_impute_scale(spark, sf_dir):
+    """Exact-median impute + population-std scale, fitted on the training
+    split and applied to every row."""
+    f = split_features(spark, sf_dir)
+    m = pre.MedianStandardizer(inputCols=NUMERIC_FEATURES, outputCols=NUMERIC_FEATURES) \
+        .fit(f.where("split = 'train'"))
+    return snapped(m.transform(f).select(KEY, *NUMERIC_FEATURES), NUMERIC_FEATURES)
+
+
+@register("onehot_missing")
+def q_onehot_missing(spark, sf_dir):
+    """One-hot slot of each categorical (alphabetical index of the training
+    categories, 'missing' for NULL); unseen values -> NULL (all-zero vector)."""
+    from pyspark.ml import Pipeline
+    f = split_features(spark, sf_dir)
+    filled = [f"{c}__filled" for c in CATEGORICAL_FEATURES]
+    idx = [f"{c}__idx" for c in CATEGORICAL_FEATURES]
+    stages = pre.build_preprocessor()[1:4]
+    model = Pipeline(stages=stages).fit(f.where("split = 'train'"))
+    out = model.transform(f)
+    sizes = {c: len(lbl) for c, lbl in zip(CATEGORICAL_FEATURES, model.stages[1].labelsArray)}
+    return out.select(KEY, *[
+        F.when(F.col(i) < sizes[c], F.col(i).cast("int")).alias(f"{c}_slot")
+        for c, i in zip(CATEGORICAL_FEATURES, idx)] + [
+        F.lit(sizes[c]).alias(f"{c}_size") for c in CATEGORICAL_FEATURES]).drop(*filled)
+
+
+def trained(spark, sf_dir, spec: dict, name: str):
+    """Fit once per session on the training split; saved in the model store."""
+    def build():
+        f = split_features(spark, sf_dir)
+        return mdl.train_and_log(
+            spark, f.where("split = 'train'"), f.where("split = 'test'"), spec, name,
+            stage_path(spark, "runs", sf_dir), stage_path(spark, f"model_{name}", sf_dir))
+    return memo(spark, f"model_{name}", sf_dir, build)
+
+
+@register("train_forest")
+def q_train_forest(spark, sf_dir):
+    _, metrics = trained(spark, sf_dir, mdl.FOREST, "forest")
+    return metrics.withColumn("model", F.lit("forest"))
+
+
+@register("train_boosting")
+def q_train_boosting(spark, sf_dir):
+    _, metrics = trained(spark, sf_dir, mdl.BOOSTING, "boosting")
+    return metrics.withColumn("model", F.lit("boosting"))
+
+
+@register("score_batch")
+def q_score_batch(spark, sf_dir):
+    """Score the held-out orders with the boosting model; response structs."""
+    model, _ = trained(spark, sf_dir, mdl.BOOSTING, "boosting")
+    test = split_features(spark, sf_dir).where("split = 'test'")
+    s = mdl.response(mdl.score(model, test))
+    return s.select(KEY, "response.*", F.to_json("response").alias("response_json"))
+
+
+@register("run_leaderboard")
+def q_run_leaderboard(spark, sf_dir):
+    trained(spark, sf_dir, mdl.FOREST, "forest")
+    trained(spark, sf_dir, mdl.BOOSTING, "boosting")
+    runs = spark.read.parquet(stage_path(spark, "runs", sf_dir))
+    return mdl.leaderboard(runs, "roc_auc")

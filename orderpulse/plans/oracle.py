@@ -658,3 +658,25 @@ SELECT order_id, CAST(errs IS NULL AS INT) AS is_valid, errs AS errors FROM (
               WHEN json_type(jb) <> 'OBJECT' THEN 'body=request body must be a json object'
               ELSE {_json_rules()} END AS errs
   FROM jr)""")
+
+
+# --- preprocessing ------------------------------------------------------------
+
+_TRAIN = {"spl": VALIDATE["spl"], "trn": "SELECT * FROM spl WHERE split = 'train'"}
+
+ORACLE["impute_scale"] = with_ctes(_SF, _TRAIN, {
+    "med": "SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in NUMERIC) + " FROM trn",
+    "mom": "SELECT " + ", ".join(
+        f"avg(coalesce(t.{c}, m.{c})) AS mu_{c}, stddev_pop(coalesce(t.{c}, m.{c})) AS sd_{c}"
+        for c in NUMERIC) + " FROM trn t, med m",
+}, final="SELECT s.order_id, " + ", ".join(
+    snap(f"(coalesce(s.{c}, m.{c}) - o.mu_{c}) / (CASE WHEN o.sd_{c} IS NULL OR o.sd_{c} = 0 THEN 1.0 ELSE o.sd_{c} END)")
+    + f" AS {c}" for c in NUMERIC) + " FROM spl s, med m, mom o")
+
+ORACLE["onehot_missing"] = with_ctes(_SF, _TRAIN, {
+    **{f"lv_{c}": f"""
+  SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS slot, count(*) OVER () AS size
+  FROM (SELECT DISTINCT coalesce({c}, 'missing') AS v FROM trn)""" for c in CATEGORICAL},
+}, final="SELECT s.order_id, " + ", ".join(
+    f"(SELECT slot FROM lv_{c} WHERE v = coalesce(s.{c}, 'missing')) AS {c}_slot, "
+    f"CAST((SELECT max(size) FROM lv_{c}) AS INT) AS {c}_size" for c in CATEGORICAL) + " FROM spl s")

@@ -33,3 +33,19 @@ def materialize(spark: SparkSession, name: str, sf_dir: str,
     df = spark.read.parquet(path)
     _MEMO[key] = df
     return df
+
+
+_OBJ: dict[tuple, object] = {}
+
+
+def memo(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], object]):
+    """Once-per-session cache for non-table results (fitted models)."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    if key not in _OBJ:
+        _OBJ[key] = build()
+    return _OBJ[key]
+
+
+def stage_path(spark: SparkSession, name: str, sf_dir: str) -> str:
+    tag = hashlib.md5(f"{os.path.abspath(sf_dir)}:{name}".encode()).hexdigest()[:10]
+    return scratch_path(spark, f"tables/{_RUN}/{name}-{tag}")
