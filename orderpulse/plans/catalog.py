@@ -551,3 +551,123 @@ def q_run_leaderboard(spark, sf_dir):
     trained(spark, sf_dir, mdl.BOOSTING, "boosting")
     runs = spark.read.parquet(stage_path(spark, "runs", sf_dir))
     return mdl.leaderboard(runs, "roc_auc")
+
+
+# --- step 9: streaming ---------------------------------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from orderpulse.streaming import jobs as st  # noqa: E402
+
+EVENT_SCHEMA = "order_id bigint, event_ts timestamp, event_type string, value double, user_id bigint"
+LABEL_SCHEMA = "order_id bigint, review_id bigint, review_score int, review_ts timestamp"
+
+
+def _stream_dir(spark, sf_dir, name) -> str:
+    """A fresh folder (landing, sinks, checkpoints) under the shared checkpoint dir."""
+    return stage_path(spark, f"{name}-{_uuid.uuid4().hex[:8]}", sf_dir)
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return read_driver_tables(spark, sf_dir, ["events"])["events"]
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    """Events (with one range delivered twice) -> dedup -> features ->
+    validate -> score / quarantine, idempotent per micro-batch."""
+    base = _stream_dir(spark, sf_dir, "stream_score")
+    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    feats = features(spark, sf_dir).drop("order_purchase_timestamp")
+    q = st.stream_score(src, feats, allowed_from_training(spark, sf_dir), deterministic_score,
+                        f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt")
+    st.run_available_now(q)
+    good = spark.read.parquet(f"{base}/scored").select(
+        KEY, F.lit("scored").alias("status"), snap("y_proba").alias("y_proba"), "y_pred",
+        F.lit(None).cast("string").alias("errors"))
+    bad = spark.read.parquet(f"{base}/quarantine").select(
+        KEY, F.lit("quarantined").alias("status"), F.lit(None).cast("double").alias("y_proba"),
+        F.lit(None).cast("int").alias("y_pred"), "errors")
+    return good.unionByName(bad)
+
+
+@register("stream_window_stats")
+def q_stream_window_stats(spark, sf_dir):
+    base = _stream_dir(spark, sf_dir, "stream_window_stats")
+    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    st.run_available_now(st.stream_window_stats(src, f"{base}/out", f"{base}/_ckpt"))
+    out = st.latest_per_key(spark, f"{base}/out", ["window_start", "event_type"])
+    return out.select(F.to_date("window_start").alias("window_day"), "event_type",
+                      F.col("n").cast("bigint").alias("n"), snap("mean_value").alias("mean_value"),
+                      "min_value", "max_value")
+
+
+def _event_reference(spark, sf_dir) -> DataFrame:
+    """Reference values: events of the first 7 days (long form)."""
+    ev = _events(spark, sf_dir)
+    start = ev.agg(F.min("ts")).scalar()
+    ref = ev.where(F.col("ts") < start + F.expr("INTERVAL 7 DAYS"))
+    return drift_ops.to_long(ref, ["value"])
+
+
+@register("stream_drift")
+def q_stream_drift(spark, sf_dir):
+    """Daily PSI of event values against fixed edges from the first week."""
+    base = _stream_dir(spark, sf_dir, "stream_drift")
+    ref = _event_reference(spark, sf_dir)
+    edges = drift_ops.reference_edges(ref)
+    rc = (ref.join(F.broadcast(edges.select("feature", "edges")), "feature")
+          .withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
+          .groupBy("bin").count())
+    shares = rc.select("bin", (F.col("count") / F.sum("count").over(
+        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())).alias("r_share"))
+    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    st.run_available_now(st.stream_drift(src, edges, f"{base}/out", f"{base}/_ckpt"))
+    counts = st.latest_per_key(spark, f"{base}/out", ["window_start", "bin"])
+    p = st.psi_from_counts(counts, shares)
+    return p.select(F.to_date("window_start").alias("window_day"),
+                    snap("psi").alias("psi"), drift_ops.severity(snap("psi")).alias("severity"))
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    base = _stream_dir(spark, sf_dir, "stream_dedup")
+    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    st.run_available_now(st.stream_dedup(src, f"{base}/out", f"{base}/_ckpt"))
+    return spark.read.parquet(f"{base}/out").select(
+        KEY, F.unix_micros(st.EVENT_TS).alias("event_us"), "event_type", "value", "user_id")
+
+
+@register("stream_label_join")
+def q_stream_label_join(spark, sf_dir):
+    """Predictions at event time joined to reviews arriving 0-119 hours
+    later (kept when within 4 days)."""
+    base = _stream_dir(spark, sf_dir, "stream_label_join")
+    ev = _events(spark, sf_dir)
+    st.land_events(ev, f"{base}/landing", 8)
+    rv = tables(spark, sf_dir)["order_reviews"]
+    lab = (ev.select(F.col("event_id").alias(KEY), F.col("ts").cast("timestamp").alias("_t"))
+           .join(rv, KEY, "inner")
+           .select(KEY, "review_id", "review_score",
+                   (F.col("_t") + F.make_dt_interval(F.lit(0), ((F.col("review_id") * 7) % 120)
+                                                     .cast("int"))).alias("review_ts")))
+    n = 8
+    bounds = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    width = max(1, (bounds[1] - bounds[0] + n) // n)
+    for b in range(n):  # arrival order follows the event ranges, as for the events
+        lab.where((F.col(KEY) >= bounds[0] + b * width) & (F.col(KEY) < bounds[0] + (b + 1) * width)) \
+            .coalesce(1).write.mode("append").parquet(f"{base}/labels")
+    scored = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
+    preds = (st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+             .join(scored, KEY, "inner")
+             .select(KEY, F.col(st.EVENT_TS).alias("scored_ts"), "y_proba", "y_pred"))
+    labels = st.file_stream(spark, f"{base}/labels", LABEL_SCHEMA, 1)
+    st.run_available_now(st.stream_label_join(preds, labels, f"{base}/out", f"{base}/_ckpt"))
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(KEY, "review_id", snap("y_proba").alias("y_proba"), "y_pred", "review_score",
+                      "y_true", ((F.unix_micros("review_ts") - F.unix_micros("scored_ts"))
+                                 / 3600000000).cast("int").alias("lag_hours"))

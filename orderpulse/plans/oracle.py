@@ -680,3 +680,42 @@ ORACLE["onehot_missing"] = with_ctes(_SF, _TRAIN, {
 }, final="SELECT s.order_id, " + ", ".join(
     f"(SELECT slot FROM lv_{c} WHERE v = coalesce(s.{c}, 'missing')) AS {c}_slot, "
     f"CAST((SELECT max(size) FROM lv_{c}) AS INT) AS {c}_size" for c in CATEGORICAL) + " FROM spl s")
+
+
+# --- streaming (batch equivalents) ---------------------------------------------
+
+ORACLE["stream_score"] = with_ctes(_SF, VALIDATE, {
+    "j": """
+  SELECT e.event_id AS order_id, f.* EXCLUDE (order_id)
+  FROM events e LEFT JOIN feat f ON e.event_id = f.order_id""",
+}, final=f"""
+SELECT order_id, CASE WHEN errs IS NULL THEN 'scored' ELSE 'quarantined' END AS status,
+       CASE WHEN errs IS NULL THEN {snap('coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5)')} END AS y_proba,
+       CASE WHEN errs IS NULL THEN CAST(coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) >= 0.5 AS INT) END AS y_pred,
+       errs AS errors
+FROM (SELECT *, {_row_rules()} AS errs FROM j)""")
+
+ORACLE["stream_window_stats"] = """
+SELECT CAST(ts AS DATE) AS window_day, event_type, CAST(count(*) AS BIGINT) AS n,
+       floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean_value, min(value) AS min_value, max(value) AS max_value
+FROM events GROUP BY ALL"""
+
+ORACLE["stream_drift"] = with_ctes({
+    "lref": "SELECT 'value' AS feature, value FROM events WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 7 DAYS AND value IS NOT NULL AND NOT isnan(value)",
+    "lcur": "SELECT CAST(ts AS DATE) AS month, 'value' AS feature, value FROM events WHERE value IS NOT NULL",
+    **{k: v for k, v in DRIFT.items() if k not in ("lref", "lcur")},
+}, final=f"""
+SELECT month AS window_day, {snap('psi')} AS psi, {_sev(snap('psi'))} AS severity FROM psil""")
+
+ORACLE["stream_dedup"] = """
+SELECT event_id AS order_id, epoch_us(ts) AS event_us, event_type, value, user_id FROM events"""
+
+ORACLE["stream_label_join"] = with_ctes(_SF, final=f"""
+SELECT e.event_id AS order_id, r.review_id,
+       {snap('coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5)')} AS y_proba,
+       CAST(coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS y_pred,
+       r.review_score, CAST(r.review_score >= 4 AS INT) AS y_true,
+       CAST((r.review_id * 7) % 120 AS INT) AS lag_hours
+FROM events e JOIN feat f ON e.event_id = f.order_id
+JOIN rv0 r ON r.order_id = e.event_id
+WHERE (r.review_id * 7) % 120 <= 96""")
