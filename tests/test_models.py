@@ -46,7 +46,7 @@ def test_onehot_unknown_all_zero(spark):
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
     stages += [StringIndexer(inputCols=["cf"], outputCols=["ci"], handleInvalid="keep",
                              stringOrderType="alphabetAsc"),
-               OneHotEncoder(inputCols=["ci"], outputCols=["cv"], handleInvalid="keep", dropLast=True)]
+               OneHotEncoder(inputCols=["ci"], outputCols=["cv"], dropLast=True)]
     model = Pipeline(stages=stages).fit(tr)
     rows = model.transform(te).select(vector_to_array("cv").alias("v")).collect()
     # categories sorted: a, b, missing
