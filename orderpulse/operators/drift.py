@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderpulse.functions.columns import bin_index, ks_pvalue, linspace_inner, severity
-from orderpulse.operators.metrics import running_below
+from orderpulse.operators.metrics import exact_quantile, running_below
 
 # PSI defaults (10 equal-width bins over [min, p99] of the
 # reference, 1e-4 added to every share) and the KS significance level.
@@ -33,12 +33,17 @@ def reference_edges(ref: DataFrame, n_bins: int = N_BINS, clip: float = CLIP_QUA
                     approx: bool = False) -> DataFrame:
     """(feature, edges): the inner edges of ``linspace(min, p_clip, n_bins+1)``.
 
-    The clip quantile is exact (linear interpolation) by default; ``approx``
-    switches to ``percentile_approx`` for very large references.
+    The clip quantile is exact and equal to numpy's (distributed: see
+    :func:`~orderpulse.operators.metrics.exact_quantile`); ``approx`` uses a
+    ``percentile_approx`` sketch instead (one pass, bounded memory).
     """
-    q = (F.percentile_approx("value", clip, 100000) if approx
-         else F.percentile("value", clip))
-    stats = ref.groupBy("feature").agg(F.min("value").alias("ref_min"), q.alias("ref_clip"))
+    mins = ref.groupBy("feature").agg(F.min("value").alias("ref_min"))
+    if approx:
+        clip_q = ref.groupBy("feature").agg(
+            F.percentile_approx("value", clip, 100000).alias("ref_clip"))
+    else:
+        clip_q = exact_quantile(ref, "value", clip, "feature", "ref_clip")
+    stats = mins.join(clip_q, "feature", "inner")
     return stats.select("feature", "ref_min", "ref_clip",
                         linspace_inner("ref_min", "ref_clip", n_bins).alias("edges"))
 

@@ -25,8 +25,8 @@ def distribution(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
     """value_counts sorted by value; with ``share`` = n / total when normalize."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     if normalize:
-        # the window runs over the grouped rows (one per distinct value)
-        g = g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+        # total as a scalar subquery: no single-partition window
+        g = g.withColumn("share", F.col("n") / g.agg(F.sum("n")).scalar())
     return g.orderBy(col)
 
 
@@ -185,3 +185,37 @@ def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
     """Counts of ``row`` x ``col`` with the given column values; gaps are 0."""
     return (df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1)))
             .na.fill(0).orderBy(row))
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, by=None, out: str = "q",
+                   buckets: int | None = 64) -> DataFrame:
+    """Exact quantile with linear interpolation (numpy's default) per group.
+
+    Distributed: values are grouped (ties collapse), cumulative counts come
+    from the two-level prefix sum, and only the rows holding ranks
+    floor((n-1)q) and the next one are kept. No buffer ever holds all values
+    of a group (unlike the ``percentile`` aggregate).
+    """
+    keys = _by(by)
+    v = col_(value)
+    g = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.cast("double").alias("_v"))
+         .agg(F.count(F.lit(1)).alias("_c")))
+    g = running_below(g, keys, "_v", "_c", "_below", buckets)
+    n = g.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+    n = n.select(*keys, "_n", pos.alias("_pos"), F.floor(pos).cast("long").alias("_lo"))
+    n = n.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
+    # one row per group: broadcast
+    j = g.join(F.broadcast(n), keys, "inner") if keys else g.withColumns({
+        c: n.select(c).scalar() for c in ("_n", "_pos", "_lo", "_hi")})
+    hit = lambda r: (F.col("_below") <= F.col(r)) & (F.col(r) < F.col("_below") + F.col("_c"))
+    picked = j.where(hit("_lo") | hit("_hi")).groupBy(*keys).agg(
+        F.max(F.when(hit("_lo"), F.col("_v"))).alias("_a"),
+        F.max(F.when(hit("_hi"), F.col("_v"))).alias("_b"),
+        F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
+    t = F.col("_pos") - F.col("_lo").cast("double")
+    d = F.col("_b") - F.col("_a")
+    # numpy's linear interpolation, bit for bit: a + d*t below t = 0.5,
+    # b - d*(1-t) from there on
+    val = F.when(t >= 0.5, F.col("_b") - d * (F.lit(1.0) - t)).otherwise(F.col("_a") + d * t)
+    return picked.select(*keys, val.alias(out))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.functions.columns import hash_uniform
+from orderpulse.sources.local import literal_table
 from orderpulse.operators.sampling import choose_many, choose_within
 
 # The drift scenario by month (months without a row are
@@ -28,7 +29,7 @@ SHIFT_TO = "electronics"
 
 
 def scenario_table(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows or SCENARIO, SCENARIO_SCHEMA)
+    return literal_table(spark, rows or SCENARIO, SCENARIO_SCHEMA)
 
 
 def jitter(df: DataFrame, cols: list[str], pct: float, key: str, seed=42) -> DataFrame:

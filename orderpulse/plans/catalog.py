@@ -17,6 +17,7 @@ from orderpulse import CATEGORICAL_FEATURES, KEY, LABEL, NUMERIC_FEATURES
 from orderpulse.functions.columns import snap
 from orderpulse.operators import features as feat
 from orderpulse.plans.store import materialize
+from orderpulse.sources import standin
 from orderpulse.sources.standin import standin_tables
 from orderpulse.sources.tables import read_driver_tables
 
@@ -311,15 +312,43 @@ from orderpulse.operators import text as txt  # noqa: E402
 METRICS6 = ["accuracy", "precision_pos", "recall_pos", "f1_pos", "recall_neg", "f1_macro"]
 
 
-def cleaned_reviews(spark, sf_dir) -> DataFrame:
-    c = txt.clean_text(tables(spark, sf_dir)["review_comments"], "review_comment_message", "text")
-    return c.select("review_id", "order_id", "review_score", "text", "doc_n_chars")
+def clean_documents(spark, sf_dir) -> DataFrame:
+    """Document texts cleaned once: (doc_id, text, doc_n_chars)."""
+    d = read_driver_tables(spark, sf_dir, ["documents"])["documents"]
+    c = txt.clean_text(d.select("doc_id", F.col("text").alias("_raw"), "n_chars"), "_raw", "text")
+    return c.select("doc_id", "text", F.col("n_chars").alias("doc_n_chars"))
+
+
+def cleaned_reviews(spark, sf_dir, with_text=True, text_fn=None) -> DataFrame:
+    """Reviews whose comment is non-empty after stripping, with the cleaned
+    comment. Many reviews share one document text in the stand-in, so each
+    distinct text is cleaned once (and optionally reduced by ``text_fn``)
+    before the join; reviews with a whitespace-only comment go through the
+    same cleaning (Catalyst folds it to an empty relation). Without
+    ``with_text`` the wide text column never enters the join."""
+    t = tables(spark, sf_dir)
+    docs = read_driver_tables(spark, sf_dir, ["documents"])["documents"]
+    refs = standin.comment_refs(t["order_reviews"], docs)
+    cd = clean_documents(spark, sf_dir)
+    if text_fn is not None:
+        cd = cd.withColumn("text", text_fn(F.col("text")))
+    if not with_text:
+        cd = cd.drop("text")
+    keys = ["review_id", "order_id", "review_score"]
+    doc_rows = refs.where("kind = 'doc'").join(cd, "doc_id", "inner")
+    ws = txt.clean_text(refs.where("kind = 'ws'").withColumn(
+        "_raw", F.lit(standin.WHITESPACE_COMMENT)), "_raw", "text")
+    if text_fn is not None:
+        ws = ws.withColumn("text", text_fn(F.col("text")))
+    ws = ws.withColumn("doc_n_chars", F.lit(None).cast("bigint"))
+    cols = keys + ["doc_id"] + (["text"] if with_text else []) + ["doc_n_chars"]
+    return doc_rows.select(*cols).unionByName(ws.select(*cols))
 
 
 def text_predictions(spark, sf_dir) -> DataFrame:
     """Stand-in text model output: '<k> stars' with k = 1 + n_chars % 5 and a
     confidence 0.5 + (n_chars % 50) / 100, as a real scorer would return."""
-    c = cleaned_reviews(spark, sf_dir)
+    c = cleaned_reviews(spark, sf_dir, with_text=False)
     c = (c.withColumn("text_label", stars_label(1 + F.col("doc_n_chars") % 5))
          .withColumn("text_score", F.lit(0.5) + (F.col("doc_n_chars") % 50) / 100.0))
     return txt.stars_to_binary(c, "text_label")
@@ -334,13 +363,18 @@ def q_text_clean(spark, sf_dir):
 
 @register("text_sample_500")
 def q_text_sample_500(spark, sf_dir):
-    c = cleaned_reviews(spark, sf_dir).select("review_id", "order_id", "review_score", "text")
-    return sampling.sample_n(c, 500, "review_id", SEED)
+    """500 reviews in hash order, chosen on keys; texts joined for those only."""
+    keys = cleaned_reviews(spark, sf_dir, with_text=False)
+    pick = sampling.sample_n(keys.select("review_id", "order_id", "review_score", "doc_id"),
+                             500, "review_id", SEED)
+    return pick.join(clean_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "inner") \
+        .select("review_id", "order_id", "review_score", "text")
 
 
 @register("text_preview")
 def q_text_preview(spark, sf_dir):
-    return cleaned_reviews(spark, sf_dir).select("review_id", preview("text", 60).alias("preview"))
+    c = cleaned_reviews(spark, sf_dir, text_fn=lambda t: preview(t, 60))
+    return c.select("review_id", F.col("text").alias("preview"))
 
 
 @register("stars_crosstab")
@@ -384,9 +418,13 @@ def q_score_text(spark, sf_dir):
     train = (t["documents"].join(t["labels"], "doc_id", "inner")
              .select("text", F.col("quality").cast("double").alias("label")))
     model = txt.fit_text_model(train, "text", "label")
-    c = cleaned_reviews(spark, sf_dir).select("review_id", "order_id", "text")
-    return txt.score_text(model, c, "text").select("review_id", "order_id", "text_label",
-                                                   "text_score")
+    # every distinct cleaned text is scored once, then joined to its reviews
+    scored = txt.score_text(model, clean_documents(spark, sf_dir), "text") \
+        .select("doc_id", "text_label", "text_score")
+    docs = read_driver_tables(spark, sf_dir, ["documents"])["documents"]
+    refs = standin.comment_refs(tables(spark, sf_dir)["order_reviews"], docs)
+    return refs.where("kind = 'doc'").join(scored, "doc_id", "inner") \
+        .select("review_id", "order_id", "text_label", "text_score")
 
 
 # --- step 6: validation ------------------------------------------------------
@@ -396,9 +434,14 @@ from orderpulse.operators import validate as val  # noqa: E402
 
 
 def allowed_from_training(spark, sf_dir) -> DataFrame:
-    """Allowed values = categories seen in the training split, plus 'missing'."""
-    f = sampling.stratified_split(features(spark, sf_dir), LABEL, KEY, 0.2, SEED)
-    return val.allowed_from_data(f.where("split = 'train'"))
+    """Allowed values = categories seen in the training split, plus 'missing'.
+
+    Written once per session (a few rows), so micro-batches and validation
+    queries read a tiny table instead of re-scanning the features."""
+    def build():
+        f = sampling.stratified_split(features(spark, sf_dir), LABEL, KEY, 0.2, SEED)
+        return val.allowed_from_data(f.where("split = 'train'")).coalesce(1)
+    return materialize(spark, "allowed_values", sf_dir, build)
 
 
 def json_records(f: DataFrame, malformed: bool = True) -> DataFrame:
@@ -578,7 +621,7 @@ def q_stream_score(spark, sf_dir):
     validate -> score / quarantine, idempotent per micro-batch."""
     base = _stream_dir(spark, sf_dir, "stream_score")
     st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
     feats = features(spark, sf_dir).drop("order_purchase_timestamp")
     q = st.stream_score(src, feats, allowed_from_training(spark, sf_dir), deterministic_score,
                         f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt")
@@ -596,7 +639,7 @@ def q_stream_score(spark, sf_dir):
 def q_stream_window_stats(spark, sf_dir):
     base = _stream_dir(spark, sf_dir, "stream_window_stats")
     st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
     st.run_available_now(st.stream_window_stats(src, f"{base}/out", f"{base}/_ckpt"))
     out = st.latest_per_key(spark, f"{base}/out", ["window_start", "event_type"])
     return out.select(F.to_date("window_start").alias("window_day"), "event_type",
@@ -624,7 +667,7 @@ def q_stream_drift(spark, sf_dir):
     shares = rc.select("bin", (F.col("count") / F.sum("count").over(
         __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())).alias("r_share"))
     st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
     st.run_available_now(st.stream_drift(src, edges, f"{base}/out", f"{base}/_ckpt"))
     counts = st.latest_per_key(spark, f"{base}/out", ["window_start", "bin"])
     p = st.psi_from_counts(counts, shares)
@@ -636,7 +679,7 @@ def q_stream_drift(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     base = _stream_dir(spark, sf_dir, "stream_dedup")
     st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
     st.run_available_now(st.stream_dedup(src, f"{base}/out", f"{base}/_ckpt"))
     return spark.read.parquet(f"{base}/out").select(
         KEY, F.unix_micros(st.EVENT_TS).alias("event_us"), "event_type", "value", "user_id")
@@ -662,10 +705,10 @@ def q_stream_label_join(spark, sf_dir):
         lab.where((F.col(KEY) >= bounds[0] + b * width) & (F.col(KEY) < bounds[0] + (b + 1) * width)) \
             .coalesce(1).write.mode("append").parquet(f"{base}/labels")
     scored = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
-    preds = (st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 1)
+    preds = (st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
              .join(scored, KEY, "inner")
              .select(KEY, F.col(st.EVENT_TS).alias("scored_ts"), "y_proba", "y_pred"))
-    labels = st.file_stream(spark, f"{base}/labels", LABEL_SCHEMA, 1)
+    labels = st.file_stream(spark, f"{base}/labels", LABEL_SCHEMA, 3)
     st.run_available_now(st.stream_label_join(preds, labels, f"{base}/out", f"{base}/_ckpt"))
     out = spark.read.parquet(f"{base}/out")
     return out.select(KEY, "review_id", snap("y_proba").alias("y_proba"), "y_pred", "review_score",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderpulse.functions.columns import plus_days_hours
+from orderpulse.sources.local import literal_table
 from orderpulse.sources.tables import read_driver_tables
 
 # Stand-in category translation (the fifth type, 'promo', is
@@ -66,19 +67,26 @@ def _reviews(so: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def comment_refs(rv: DataFrame, documents: DataFrame) -> DataFrame:
+    """Which comment each review has: ``kind`` = 'null' (every third order),
+    'ws' (whitespace only, every eleventh) or 'doc' (the text of document
+    ``order_id % n_docs``; n_docs is a scalar subquery, evaluated once)."""
+    k = F.col("order_id")
+    n_docs = documents.select(F.count(F.lit(1))).scalar()
+    kind = (F.when(k % 3 == 0, F.lit("null")).when(k % 11 == 0, F.lit("ws"))
+            .otherwise(F.lit("doc")))
+    return rv.select("review_id", "order_id", "review_score", (k % n_docs).alias("doc_id"),
+                     kind.alias("kind"))
+
+
 def _comments(rv: DataFrame, documents: DataFrame) -> DataFrame:
     """Reviews with their comment text (kept apart so that the feature
     build, which needs no text, never scans or joins the documents)."""
-    k = F.col("order_id")
-    # Comments: document text with doc_id = order_id % n_docs (a scalar
-    # subquery, evaluated once), NULL for every third order and
-    # whitespace only for every eleventh.
-    n_docs = documents.select(F.count(F.lit(1))).scalar()
+    refs = comment_refs(rv, documents)
     docs = documents.select(F.col("doc_id"), F.col("text"), F.col("n_chars"))
-    rv = rv.withColumn("doc_id", k % n_docs)
-    rv = rv.join(docs, "doc_id", "left")
-    comment = (F.when(k % 3 == 0, F.lit(None).cast("string"))
-               .when(k % 11 == 0, F.lit(WHITESPACE_COMMENT))
+    rv = refs.join(docs, "doc_id", "left")
+    comment = (F.when(F.col("kind") == "null", F.lit(None).cast("string"))
+               .when(F.col("kind") == "ws", F.lit(WHITESPACE_COMMENT))
                .otherwise(F.col("text")))
     return rv.select("review_id", "order_id", "review_score",
                      comment.alias("review_comment_message"), "doc_id",
@@ -136,6 +144,6 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "review_comments": _comments(reviews, t["documents"]),
         "products": _products(t["part"]),
         "sellers": _sellers(t["supplier"], t["nation"]),
-        "category_translation": spark.createDataFrame(
-            TRANSLATION, "product_category_name string, product_category_name_english string"),
+        "category_translation": literal_table(
+            spark, TRANSLATION, "product_category_name string, product_category_name_english string"),
     }

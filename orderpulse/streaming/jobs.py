@@ -96,12 +96,16 @@ def stream_score(src: DataFrame, features: DataFrame, allowed: DataFrame,
          .join(features, "order_id", "left"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        v = val.validate_rows(batch, allowed)
-        good = scorer(v.where("is_valid = 1")).select("order_id", EVENT_TS, "y_proba", "y_pred")
-        bad = v.where("is_valid = 0").select(
-            "order_id", EVENT_TS, val.canonical_errors("errors").alias("errors"))
-        _write_batch(good, batch_id, out)
-        _write_batch(bad, batch_id, quarantine)
+        # validated once per micro-batch, then split into the two sinks
+        v = val.validate_rows(batch, allowed).persist()
+        try:
+            good = scorer(v.where("is_valid = 1")).select("order_id", EVENT_TS, "y_proba", "y_pred")
+            bad = v.where("is_valid = 0").select(
+                "order_id", EVENT_TS, val.canonical_errors("errors").alias("errors"))
+            _write_batch(good, batch_id, out)
+            _write_batch(bad, batch_id, quarantine)
+        finally:
+            v.unpersist()
 
     return (s.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).queryName("stream_score").start())
