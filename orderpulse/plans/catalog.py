@@ -714,3 +714,30 @@ def q_stream_label_join(spark, sf_dir):
     return out.select(KEY, "review_id", snap("y_proba").alias("y_proba"), "y_pred", "review_score",
                       "y_true", ((F.unix_micros("review_ts") - F.unix_micros("scored_ts"))
                                  / 3600000000).cast("int").alias("lag_hours"))
+
+
+# --- shapes and sample alignment -------------------------------------------------
+
+from orderpulse.sources.tables import shape_report  # noqa: E402
+
+
+@register("table_shapes")
+def q_table_shapes(spark, sf_dir):
+    """Row and column counts of the order tables (one aggregate each)."""
+    return shape_report(tables(spark, sf_dir))
+
+
+@register("text_sample_features")
+def q_text_sample_features(spark, sf_dir):
+    """The 500 sampled reviews left-joined to their orders' features, with
+    the review's own binary truth and a matched flag."""
+    keys = cleaned_reviews(spark, sf_dir, with_text=False)
+    pick = sampling.sample_n(keys.select("review_id", "order_id", "review_score"),
+                             500, "review_id", SEED)
+    f = features(spark, sf_dir).drop("order_purchase_timestamp", "review_score", LABEL)
+    j = pick.join(f.withColumn("_m", F.lit(1)), KEY, "left")
+    out = j.select("review_id", KEY, F.expr("CAST(review_score >= 4 AS INT)").alias("actual_binary"),
+                   F.coalesce("_m", F.lit(0)).alias("matched"), *NUMERIC_FEATURES,
+                   *CATEGORICAL_FEATURES)
+    return snapped(out, ["total_order_value", "avg_product_price", "total_freight_value",
+                         "avg_freight_value"])

@@ -719,3 +719,30 @@ SELECT e.event_id AS order_id, r.review_id,
 FROM events e JOIN feat f ON e.event_id = f.order_id
 JOIN rv0 r ON r.order_id = e.event_id
 WHERE (r.review_id * 7) % 120 <= 96""")
+
+
+# --- shapes and sample alignment -------------------------------------------------
+
+ORACLE["table_shapes"] = with_ctes(_S, {"rvc": "SELECT * FROM rv"}, final="""
+SELECT 'orders' AS "table", CAST(count(*) AS BIGINT) AS n_rows, 4 AS n_columns FROM so
+UNION ALL SELECT 'order_items', count(*), 6 FROM it
+UNION ALL SELECT 'order_payments', count(*), 2 FROM pay
+UNION ALL SELECT 'order_reviews', count(*), 3 FROM rv0
+UNION ALL SELECT 'review_comments', count(*), 6 FROM rvc
+UNION ALL SELECT 'products', count(*), 3 FROM pr
+UNION ALL SELECT 'sellers', count(*), 2 FROM se
+UNION ALL SELECT 'category_translation', count(*), 2 FROM tr""")
+
+ORACLE["text_sample_features"] = with_ctes(_SF, TEXT, {
+    "smp": f"""
+  SELECT review_id, order_id, review_score FROM cln
+  ORDER BY {md5_sql('42', 'review_id')}, review_id LIMIT 500""",
+}, final=f"""
+SELECT s.review_id, s.order_id, CAST(s.review_score >= 4 AS INT) AS actual_binary,
+       CAST(f.order_id IS NOT NULL AS INT) AS matched,
+       f.delivery_days, f.delivery_vs_estimated, f.number_of_items,
+       {snap('f.total_order_value')} AS total_order_value, {snap('f.avg_product_price')} AS avg_product_price,
+       f.max_product_price, f.min_product_price, {snap('f.total_freight_value')} AS total_freight_value,
+       {snap('f.avg_freight_value')} AS avg_freight_value, f.max_freight_value, f.min_product_photos_qty,
+       f.product_category, f.seller_state, f.payment_type
+FROM smp s LEFT JOIN feat f ON s.order_id = f.order_id""")
