@@ -746,3 +746,39 @@ SELECT s.review_id, s.order_id, CAST(s.review_score >= 4 AS INT) AS actual_binar
        {snap('f.avg_freight_value')} AS avg_freight_value, f.max_freight_value, f.min_product_photos_qty,
        f.product_category, f.seller_state, f.payment_type
 FROM smp s LEFT JOIN feat f ON s.order_id = f.order_id""")
+
+
+_JREC_NO_MALFORMED = _JREC[:_JREC.index("WHEN 12 THEN")] + _JREC[_JREC.index("ELSE "):]
+
+ORACLE["validate_json_batches"] = with_ctes(_SF, VALIDATE, {
+    "jr0": f"SELECT order_id, CAST({_JREC_NO_MALFORMED} AS VARCHAR) AS body FROM (SELECT *, order_id % 13 AS k FROM feat)",
+    "jba": "SELECT floor(order_id / 100) AS batch_id, string_agg(body, ',' ORDER BY order_id) AS items FROM jr0 GROUP BY 1",
+    "jbb": """
+  SELECT batch_id, CASE WHEN batch_id % 10 = 7 THEN '[]' WHEN batch_id % 10 = 8 THEN '{"orders": []}'
+                        WHEN batch_id % 10 = 9 THEN '[' || items || ',' || items || ']'
+                        ELSE '[' || items || ']' END AS body
+  FROM jba""",
+    "jbc": "SELECT batch_id, CASE WHEN coalesce(json_valid(body), false) THEN body END AS jv FROM jbb",
+    "jbe": """
+  SELECT batch_id, jv,
+         CASE WHEN jv IS NULL OR json_type(jv) = 'NULL' THEN 'request body must be valid json with content-type application/json'
+              WHEN json_type(jv) <> 'ARRAY' THEN 'request body must be a json array of order objects'
+              WHEN json_array_length(jv) = 0 THEN 'batch must contain at least one record'
+              WHEN json_array_length(jv) > 100 THEN 'batch size ' || json_array_length(jv) || ' exceeds limit of 100'
+         END AS body_error
+  FROM jbc""",
+    "jel": """
+  SELECT batch_id, CAST(pos - 1 AS INT) AS pos, jb FROM (
+    SELECT batch_id, unnest(json_extract(jv, '$[*]')) AS jb, unnest(range(1, CAST(json_array_length(jv) AS BIGINT) + 1)) AS pos
+    FROM jbe WHERE body_error IS NULL)""",
+    "jer": f"""
+  SELECT batch_id, pos, CASE WHEN json_type(jb) <> 'OBJECT' THEN 'body=must be a json object'
+                             ELSE {_json_rules()} END AS errs
+  FROM jel""",
+}, final="""
+SELECT batch_id, pos,
+       CASE WHEN bool_or(errs IS NOT NULL) OVER (PARTITION BY batch_id) THEN 'rejected' ELSE 'accepted' END AS status,
+       CAST(NULL AS VARCHAR) AS body_error, errs AS errors
+FROM jer
+UNION ALL
+SELECT batch_id, CAST(NULL AS INT), 'rejected', body_error, CAST(NULL AS VARCHAR) FROM jbe WHERE body_error IS NOT NULL""")

@@ -127,3 +127,17 @@ def test_confusion_metrics_zero_division(spark):
     r = met.confusion_metrics(df, "y", "p").first()
     assert r.accuracy == 1.0 and r.precision_neg == 0.0 and r.recall_neg == 0.0
     assert r.f1_macro == 0.5
+
+
+def test_exact_quantile_equals_numpy(spark):
+    rng = np.random.default_rng(11)
+    vals = np.round(rng.lognormal(3, 1, 997), 2).tolist() + [5.0] * 40
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(v)) for i, v in enumerate(vals)],
+                               "g string, v double")
+    pdf = df.toPandas()
+    for q in (0.0, 0.01, 0.37, 0.5, 0.99, 1.0):
+        got = {r.g: r.q for r in met.exact_quantile(df, "v", q, "g", buckets=8).collect()}
+        for g, part in pdf.groupby("g"):
+            assert got[g] == float(np.quantile(part.v.values, q)), (g, q)
+    whole = met.exact_quantile(df, "v", 0.99).first().q
+    assert whole == float(np.quantile(pdf.v.values, 0.99))
