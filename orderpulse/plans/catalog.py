@@ -17,6 +17,7 @@ from orderpulse import CATEGORICAL_FEATURES, KEY, LABEL, NUMERIC_FEATURES
 from orderpulse.functions.columns import snap
 from orderpulse.operators import features as feat
 from orderpulse.plans.store import materialize
+from orderpulse.session import ensure_checkpoint_dir
 from orderpulse.sources import standin
 from orderpulse.sources.standin import standin_tables
 from orderpulse.sources.tables import read_driver_tables
@@ -24,10 +25,23 @@ from orderpulse.sources.tables import read_driver_tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session requirements of every query: UTC session time (the data's
+    timestamps are zone-less; day differences and event-time windows must
+    not shift with a local zone's daylight saving) and a checkpoint folder."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def register(name: str):
     def deco(fn):
-        QUERIES[name] = fn
-        return fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
+        return run
     return deco
 
 
