@@ -21,6 +21,21 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+# Groups with at most this many distinct ordering values are ordered by one
+# window per group (bounded memory: the sort spills); larger groups use the
+# two-level bucketed plan so that no single task orders them.
+SINGLE_WINDOW_LIMIT = 1_000_000
+
+
+def _resolve_buckets(g: DataFrame, keys: list[str], buckets, default: int = 64):
+    """``buckets='auto'``: one small job reads the largest group's row count
+    and picks a plain window (<= SINGLE_WINDOW_LIMIT) or ``default`` buckets."""
+    if buckets != "auto":
+        return buckets
+    biggest = g.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return None if biggest <= SINGLE_WINDOW_LIMIT else default
+
+
 def distribution(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
     """value_counts sorted by value; with ``share`` = n / total when normalize."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
@@ -73,16 +88,17 @@ def _score_counts(df: DataFrame, y: str, score: str, by) -> DataFrame:
 
 
 def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
-                  buckets: int | None = 64) -> DataFrame:
+                  buckets="auto") -> DataFrame:
     """For each value column, the sum over rows with a smaller ``order_col``
     in the same ``by`` group (strictly below; ``order_col`` unique per group).
 
     Two levels: bucket the order values by approximate quantiles, prefix-sum
     the per-bucket totals (tiny table), then window inside each bucket only.
     The result is exact whatever the quantiles are. ``buckets=None`` uses
-    one window per group (only for small groups).
+    one window per group; ``'auto'`` picks by the largest group's size.
     """
     keys = _by(by)
+    buckets = _resolve_buckets(g, keys, buckets)
     vals = [value_cols] if isinstance(value_cols, str) else list(value_cols)
     outs = [outs] if isinstance(outs, str) else list(outs)
     prev = Window.partitionBy(*keys, *(["_b"] if buckets else [])).orderBy(order_col) \
@@ -111,7 +127,7 @@ def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
     return gb.drop("_b", *[f"_off{i}" for i in range(len(vals))])
 
 
-def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets: int | None = 64) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets="auto") -> DataFrame:
     """Exact ROC AUC per group: P(s+ > s-) + P(s+ = s-) / 2.
 
     Integer numerator ``sum(2 * pos * neg_below + pos * neg)`` over distinct
@@ -188,34 +204,52 @@ def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, by=None, out: str = "q",
-                   buckets: int | None = 64) -> DataFrame:
+                   buckets="auto") -> DataFrame:
     """Exact quantile with linear interpolation (numpy's default) per group.
 
-    Distributed: values are grouped (ties collapse), cumulative counts come
-    from the two-level prefix sum, and only the rows holding ranks
-    floor((n-1)q) and the next one are kept. No buffer ever holds all values
-    of a group (unlike the ``percentile`` aggregate).
+    Distributed: values are grouped (ties collapse) and cut into buckets at
+    approximate quantiles; per-bucket counts (a tiny table) locate the one or
+    two buckets holding ranks floor((n-1)q) and the next, and only those
+    buckets' rows are ordered. No buffer or window ever holds all values of
+    a group (unlike the ``percentile`` aggregate). ``buckets=None`` orders
+    whole groups; ``'auto'`` picks by the largest group's distinct count.
     """
     keys = _by(by)
     v = col_(value)
     g = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.cast("double").alias("_v"))
          .agg(F.count(F.lit(1)).alias("_c")))
-    g = running_below(g, keys, "_v", "_c", "_below", buckets)
-    n = g.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    buckets = _resolve_buckets(g, keys, buckets)
+    if buckets:
+        fracs = [i / buckets for i in range(1, buckets)]
+        bounds = g.groupBy(*keys).agg(F.percentile_approx("_v", fracs, 10000).alias("_bounds"))
+        gb = (g.join(F.broadcast(bounds), keys, "inner") if keys
+              else g.withColumn("_bounds", bounds.select("_bounds").scalar()))
+        gb = gb.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_v")))) \
+            .drop("_bounds")
+    else:
+        gb = g.withColumn("_b", F.lit(0))
+    # per-bucket counts and offsets: at most groups * buckets rows
+    tot = gb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bt"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    tot = (tot.withColumn("_off", F.coalesce(F.sum("_bt").over(before), F.lit(0)))
+           .withColumn("_n", F.sum("_bt").over(whole)))
     pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-    n = n.select(*keys, "_n", pos.alias("_pos"), F.floor(pos).cast("long").alias("_lo"))
-    n = n.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-    # one row per group: broadcast
-    j = g.join(F.broadcast(n), keys, "inner") if keys else g.withColumns({
-        c: n.select(c).scalar() for c in ("_n", "_pos", "_lo", "_hi")})
+    tot = (tot.withColumn("_pos", pos).withColumn("_lo", F.floor(pos).cast("long"))
+           .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)))
+    inb = lambda r: (F.col("_off") <= F.col(r)) & (F.col(r) < F.col("_off") + F.col("_bt"))
+    target = tot.where(inb("_lo") | inb("_hi")).select(*keys, "_b", "_off", "_pos", "_lo", "_hi")
+    rows = gb.join(F.broadcast(target), [*keys, "_b"], "inner")
+    prev = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_below", F.col("_off") + F.coalesce(F.sum("_c").over(prev), F.lit(0)))
     hit = lambda r: (F.col("_below") <= F.col(r)) & (F.col(r) < F.col("_below") + F.col("_c"))
-    picked = j.where(hit("_lo") | hit("_hi")).groupBy(*keys).agg(
+    picked = rows.where(hit("_lo") | hit("_hi")).groupBy(*keys).agg(
         F.max(F.when(hit("_lo"), F.col("_v"))).alias("_a"),
-        F.max(F.when(hit("_hi"), F.col("_v"))).alias("_b"),
+        F.max(F.when(hit("_hi"), F.col("_v"))).alias("_bv"),
         F.first("_pos").alias("_pos"), F.first("_lo").alias("_lo"))
     t = F.col("_pos") - F.col("_lo").cast("double")
-    d = F.col("_b") - F.col("_a")
+    d = F.col("_bv") - F.col("_a")
     # numpy's linear interpolation, bit for bit: a + d*t below t = 0.5,
     # b - d*(1-t) from there on
-    val = F.when(t >= 0.5, F.col("_b") - d * (F.lit(1.0) - t)).otherwise(F.col("_a") + d * t)
+    val = F.when(t >= 0.5, F.col("_bv") - d * (F.lit(1.0) - t)).otherwise(F.col("_a") + d * t)
     return picked.select(*keys, val.alias(out))
