@@ -89,7 +89,7 @@ def psi_with_severity(psi_df: DataFrame) -> DataFrame:
 
 
 def ks(ref: DataFrame, cur: DataFrame, groups: list, by: str = "month",
-       alpha: float = ALPHA, buckets="auto") -> DataFrame:
+       alpha: float = ALPHA, buckets=64) -> DataFrame:
     """Two-sample KS statistic and asymptotic p-value per (feature, group).
 
     Values are grouped first (ties collapse), the groups are pivoted into

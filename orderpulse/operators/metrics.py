@@ -88,14 +88,15 @@ def _score_counts(df: DataFrame, y: str, score: str, by) -> DataFrame:
 
 
 def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
-                  buckets="auto") -> DataFrame:
+                  buckets=64) -> DataFrame:
     """For each value column, the sum over rows with a smaller ``order_col``
     in the same ``by`` group (strictly below; ``order_col`` unique per group).
 
     Two levels: bucket the order values by approximate quantiles, prefix-sum
     the per-bucket totals (tiny table), then window inside each bucket only.
-    The result is exact whatever the quantiles are. ``buckets=None`` uses
-    one window per group; ``'auto'`` picks by the largest group's size.
+    The result is exact whatever the quantiles are. Every row is ordered
+    here, so buckets also spread a group over tasks: 64 by default;
+    ``None`` uses one window per group, ``'auto'`` picks by group size.
     """
     keys = _by(by)
     buckets = _resolve_buckets(g, keys, buckets)
@@ -127,7 +128,7 @@ def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
     return gb.drop("_b", *[f"_off{i}" for i in range(len(vals))])
 
 
-def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets="auto") -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets=64) -> DataFrame:
     """Exact ROC AUC per group: P(s+ > s-) + P(s+ = s-) / 2.
 
     Integer numerator ``sum(2 * pos * neg_below + pos * neg)`` over distinct
