@@ -755,3 +755,13 @@ def q_text_sample_features(spark, sf_dir):
                    *CATEGORICAL_FEATURES)
     return snapped(out, ["total_order_value", "avg_product_price", "total_freight_value",
                          "avg_freight_value"])
+
+
+@register("monthly_performance_model")
+def q_monthly_performance_model(spark, sf_dir):
+    """Monthly accuracy / F1 / AUC of the trained boosting model on the
+    drifted production months (the reference's D7 with a real model)."""
+    model, _ = trained(spark, sf_dir, mdl.BOOSTING, "boosting")
+    prod = monitoring(spark, sf_dir)["prod"]
+    s = mdl.score(model, prod).withColumn("y_true", F.col(LABEL))
+    return snapped(mon.monthly_performance(s), ["accuracy", "f1", "positive_rate", "auc"])

@@ -51,7 +51,7 @@ def test_rows_only(spark, name):
 def test_every_query_has_oracle_or_is_ml():
     missing = set(E.queries()) - set(E.oracle_sql())
     assert missing <= {"train_forest", "train_boosting", "score_batch", "run_leaderboard",
-                       "score_text", "validate_json_batches"}
+                       "score_text", "monthly_performance_model"}
 
 
 def test_entry(spark):
