@@ -42,17 +42,26 @@ def stars_to_binary(df: DataFrame, label_col: str, out_stars: str = "pred_stars"
             .withColumn(out_binary, binarize(out_stars, cutoff)))
 
 
-def fit_text_model(df: DataFrame, text: str, label: str, num_features: int = 1 << 18,
+def fit_text_model(df: DataFrame, text: str, label: str, num_features: int = 1 << 16,
                    max_iter: int = 50, reg: float = 0.01) -> PipelineModel:
-    """Tokenize on non-word characters (Unicode aware), hashed TF-IDF, LR."""
+    """Tokenize on non-word characters (Unicode aware), hashed TF-IDF, LR.
+
+    The featurizer is fitted once and its output cached for the regression's
+    iterations (a plain Pipeline would tokenize the corpus twice).
+    """
     tok = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\W+",
                          toLowercase=True, minTokenLength=1)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=1)
-    lr = LogisticRegression(featuresCol="_tfidf", labelCol=label, maxIter=max_iter,
-                            regParam=reg, predictionCol="_pred", probabilityCol="_prob",
-                            rawPredictionCol="_raw")
-    return Pipeline(stages=[tok, tf, idf, lr]).fit(df)
+    feat = Pipeline(stages=[tok, tf, idf]).fit(df)
+    data = feat.transform(df).select("_tfidf", label).cache()
+    try:
+        lr = LogisticRegression(featuresCol="_tfidf", labelCol=label, maxIter=max_iter,
+                                regParam=reg, predictionCol="_pred", probabilityCol="_prob",
+                                rawPredictionCol="_raw").fit(data)
+    finally:
+        data.unpersist()
+    return PipelineModel(stages=[*feat.stages, lr])
 
 
 def score_text(model: PipelineModel, df: DataFrame, text: str,
