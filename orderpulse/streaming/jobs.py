@@ -71,6 +71,18 @@ def run_available_now(query: StreamingQuery, timeout_s: int = 900) -> None:
         raise RuntimeError(str(query.exception()))
 
 
+def dropped_late_rows(query: StreamingQuery) -> int:
+    """Rows the stateful operators dropped as later than the watermark, summed
+    over the query's recent progress reports (kept by Spark per run). For an
+    aggregation these are rows after the partial (map-side) aggregation,
+    i.e. late groups per micro-batch, not raw input rows."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) or []:
+            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
+    return total
+
+
 def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
     (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
