@@ -107,3 +107,18 @@ def shape_report(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def land_tables(tables: dict[str, DataFrame], base: str) -> dict[str, DataFrame]:
+    """Write typed tables as Parquet once and return readers over the copies.
+
+    multiLine CSV cannot be split across tasks, so every later scan of the
+    raw files would be one task per file; the Parquet copies split, prune
+    columns and push filters down.
+    """
+    out = {}
+    for name, df in tables.items():
+        path = f"{base.rstrip('/')}/{name}.parquet"
+        df.write.mode("overwrite").parquet(path)
+        out[name] = df.sparkSession.read.parquet(path)
+    return out

@@ -12,7 +12,7 @@ from orderpulse.operators import models as mdl
 from orderpulse.operators import text as txt
 from orderpulse.operators import validate as val
 from orderpulse.plans import catalog
-from orderpulse.sources.tables import read_tables, shape_report
+from orderpulse.sources.tables import land_tables, read_tables, shape_report
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,10 @@ def test_csv_reader_multiline_and_coercion(spark, tmp_path):
     assert d.delivery_days == 3.0 and d.delivery_vs_estimated == -5.0
     shapes = {r.table: (r.n_rows, r.n_columns) for r in shape_report(t).collect()}
     assert shapes["orders"] == (2, 4)
+    landed = land_tables(t, str(tmp_path / "parquet"))
+    assert landed["order_reviews"].where("review_id = 'r1'").first().review_comment_message \
+        == "line one\nline two, with comma"
+    assert sorted(landed["orders"].columns) == sorted(t["orders"].columns)
 
 
 def test_fused_equals_unfused(spark):
