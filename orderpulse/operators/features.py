@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse import ALL_FEATURES, CATEGORICAL_FEATURES, KEY, LABEL, NUMERIC_FEATURES
+from orderpulse import CATEGORICAL_FEATURES, KEY, LABEL, NUMERIC_FEATURES
 from orderpulse.functions.columns import binarize, floor_days
 
 ITEM_MEASURES = ["number_of_items", "total_order_value", "avg_product_price",
@@ -128,12 +128,14 @@ def delivery_days(orders: DataFrame) -> DataFrame:
         "order_purchase_timestamp")
 
 
-def order_features(tables: dict[str, DataFrame], fused: bool | None = True,
+def order_features(tables: dict[str, DataFrame], fused: bool | None = None,
                    cutoff: float = 4) -> DataFrame:
     """One row per order with a review: key, score, label, 14 features.
 
-    ``fused=None`` checks dimension key uniqueness first and picks the plan.
-    The purchase timestamp is carried for month tagging.
+    ``fused=None`` (default) checks dimension key uniqueness first (three
+    small aggregates over the dimension tables) and picks the fused plan
+    only when it is exact. The purchase timestamp is carried for month
+    tagging.
     """
     if fused is None:
         fused = dimensions_unique(tables)
@@ -146,7 +148,3 @@ def order_features(tables: dict[str, DataFrame], fused: bool | None = True,
           .join(payments, KEY, "left"))
     return df.select(KEY, "review_score", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES,
                      "order_purchase_timestamp")
-
-
-def feature_columns() -> list[str]:
-    return list(ALL_FEATURES)

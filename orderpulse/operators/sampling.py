@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderpulse.functions.columns import col_, hash_hex, hash_uniform
+from orderpulse.functions.columns import hash_hex, hash_uniform
 
 
 def _by(by) -> list[str]:

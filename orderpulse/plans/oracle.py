@@ -133,11 +133,6 @@ def with_ctes(*groups: dict[str, str], final: str) -> str:
     return f"WITH {body}\n{final.strip()}"
 
 
-def feature_select(prefix: str = "") -> str:
-    cols = ["order_id", "review_score", "is_positive_review"] + NUMERIC + CATEGORICAL
-    return ", ".join(prefix + c for c in cols)
-
-
 # --- registered oracle queries -----------------------------------------------
 
 ORACLE: dict[str, str] = {}
