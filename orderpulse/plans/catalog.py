@@ -634,8 +634,8 @@ def q_stream_score(spark, sf_dir):
     """Events (with one range delivered twice) -> dedup -> features ->
     validate -> score / quarantine, idempotent per micro-batch."""
     base = _stream_dir(spark, sf_dir, "stream_score")
-    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
+    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
     feats = features(spark, sf_dir).drop("order_purchase_timestamp")
     q = st.stream_score(src, feats, allowed_from_training(spark, sf_dir), deterministic_score,
                         f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt")
@@ -652,8 +652,8 @@ def q_stream_score(spark, sf_dir):
 @register("stream_window_stats")
 def q_stream_window_stats(spark, sf_dir):
     base = _stream_dir(spark, sf_dir, "stream_window_stats")
-    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
+    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
     st.run_available_now(st.stream_window_stats(src, f"{base}/out", f"{base}/_ckpt"))
     out = st.latest_per_key(spark, f"{base}/out", ["window_start", "event_type"])
     return out.select(F.to_date("window_start").alias("window_day"), "event_type",
@@ -680,8 +680,8 @@ def q_stream_drift(spark, sf_dir):
           .groupBy("bin").count())
     shares = rc.select("bin", (F.col("count") / F.sum("count").over(
         __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())).alias("r_share"))
-    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
+    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
     st.run_available_now(st.stream_drift(src, edges, f"{base}/out", f"{base}/_ckpt"))
     counts = st.latest_per_key(spark, f"{base}/out", ["window_start", "bin"])
     p = st.psi_from_counts(counts, shares)
@@ -692,8 +692,8 @@ def q_stream_drift(spark, sf_dir):
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
     base = _stream_dir(spark, sf_dir, "stream_dedup")
-    st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
+    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
+    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
     st.run_available_now(st.stream_dedup(src, f"{base}/out", f"{base}/_ckpt"))
     return spark.read.parquet(f"{base}/out").select(
         KEY, F.unix_micros(st.EVENT_TS).alias("event_us"), "event_type", "value", "user_id")
@@ -705,24 +705,21 @@ def q_stream_label_join(spark, sf_dir):
     later (kept when within 4 days)."""
     base = _stream_dir(spark, sf_dir, "stream_label_join")
     ev = _events(spark, sf_dir)
-    st.land_events(ev, f"{base}/landing", 8)
+    k = st.land_events(ev, f"{base}/landing", 8)
     rv = tables(spark, sf_dir)["order_reviews"]
     lab = (ev.select(F.col("event_id").alias(KEY), F.col("ts").cast("timestamp").alias("_t"))
            .join(rv, KEY, "inner")
            .select(KEY, "review_id", "review_score",
                    (F.col("_t") + F.make_dt_interval(F.lit(0), ((F.col("review_id") * 7) % 120)
                                                      .cast("int"))).alias("review_ts")))
-    n = 8
-    bounds = ev.agg(F.min("event_id"), F.max("event_id")).first()
-    width = max(1, (bounds[1] - bounds[0] + n) // n)
-    for b in range(n):  # arrival order follows the event ranges, as for the events
-        lab.where((F.col(KEY) >= bounds[0] + b * width) & (F.col(KEY) < bounds[0] + (b + 1) * width)) \
-            .coalesce(1).write.mode("append").parquet(f"{base}/labels")
+    # arrival order follows the event ranges, as for the events
+    b = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    kl = st.land_ranges(lab, KEY, f"{base}/labels", 8, bounds=(int(b[0]), int(b[1])))
     scored = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
-    preds = (st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3)
+    preds = (st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
              .join(scored, KEY, "inner")
              .select(KEY, F.col(st.EVENT_TS).alias("scored_ts"), "y_proba", "y_pred"))
-    labels = st.file_stream(spark, f"{base}/labels", LABEL_SCHEMA, 3)
+    labels = st.file_stream(spark, f"{base}/labels", LABEL_SCHEMA, 3 * kl)
     st.run_available_now(st.stream_label_join(preds, labels, f"{base}/out", f"{base}/_ckpt"))
     out = spark.read.parquet(f"{base}/out")
     return out.select(KEY, "review_id", snap("y_proba").alias("y_proba"), "y_pred", "review_score",

@@ -25,34 +25,54 @@ EVENT_TS = "event_ts"
 
 # --- landing files --------------------------------------------------------
 
+def land_ranges(df: DataFrame, key: str, path: str, n_buckets: int = 8,
+                files_per_range: int | None = None, duplicate_last: bool = False,
+                bounds: tuple[int, int] | None = None) -> int:
+    """Write ``df`` as arriving files: ``n_buckets`` ranges of ``key``, one
+    write per range in range order (file times follow the key, which a
+    watermark needs when the key follows event time), plus an optional
+    second copy of the last range (at-least-once delivery).
+
+    Each range is range-partitioned on ``key`` into ``files_per_range``
+    files written in parallel (default: the input's partitions spread over
+    the ranges), so no task holds more than its share of a range. Returns
+    the files per range; a reader taking ``m * files_per_range`` files per
+    trigger sees ``m`` whole ranges per micro-batch. ``bounds`` (min, max of
+    ``key``) lines the ranges up with another landed table's.
+    """
+    k = files_per_range or max(1, -(-df.rdd.getNumPartitions() // n_buckets))
+    if bounds is None:
+        row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        bounds = (int(row["lo"]), int(row["hi"]))
+    lo, hi = bounds
+    width = max(1, (hi - lo + n_buckets) // n_buckets)
+
+    def write(part: DataFrame) -> None:
+        # k = 1: the input has at most n_buckets partitions, so a range is
+        # at most one partition's worth and needs no shuffle
+        part = part.coalesce(1) if k == 1 else part.repartitionByRange(k, key)
+        part.write.mode("append").parquet(path)
+
+    for b in range(n_buckets):
+        write(df.where((F.col(key) >= lo + b * width) & (F.col(key) < lo + (b + 1) * width)))
+    if duplicate_last:
+        write(df.where(F.col(key) >= lo + (n_buckets - 1) * width))
+    return k
+
+
 def land_events(events: DataFrame, path: str, n_buckets: int = 8,
-                duplicate_last: bool = False) -> int:
-    """Write events as time-ordered arriving files: ``n_buckets`` event_id
-    ranges, one file per range written in range order (file times follow
-    event time, which a watermark needs), plus an optional second copy of
-    the last range (at-least-once delivery). This simulates an upstream
-    feed for tests and benchmarks; a real deployment points ``readStream``
-    at the feed's own folder.
+                duplicate_last: bool = False, files_per_range: int | None = None) -> int:
+    """Land the events table as an upstream feed (:func:`land_ranges` on
+    ``order_id``). This simulates a feed for tests and benchmarks; a real
+    deployment points ``readStream`` at the feed's own folder.
 
     ``order_id = event_id``; ``event_ts = CAST(ts AS TIMESTAMP)`` (watermarks
-    refuse TIMESTAMP_NTZ). Returns the number of writes.
+    refuse TIMESTAMP_NTZ). Returns the files per range.
     """
     ev = events.select(F.col("event_id").alias("order_id"),
                        F.col("ts").cast("timestamp").alias(EVENT_TS),
                        "event_type", "value", "user_id")
-    bounds = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
-    lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    width = max(1, (hi - lo + n_buckets) // n_buckets)
-    writes = 0
-    for b in range(n_buckets):
-        part = ev.where((F.col("order_id") >= lo + b * width) & (F.col("order_id") < lo + (b + 1) * width))
-        part.coalesce(1).write.mode("append").parquet(path)
-        writes += 1
-    if duplicate_last:
-        last = ev.where(F.col("order_id") >= lo + (n_buckets - 1) * width)
-        last.coalesce(1).write.mode("append").parquet(path)
-        writes += 1
-    return writes
+    return land_ranges(ev, "order_id", path, n_buckets, files_per_range, duplicate_last)
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = 1) -> DataFrame:
