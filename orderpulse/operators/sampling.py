@@ -25,21 +25,43 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+# rows per hash bucket aimed at when the bucket count is picked from the data
+ROWS_PER_BUCKET = 2_000_000
+
+
+def bucket_digits(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of the hash bucket so that the largest group's buckets hold
+    about ``rows_per_bucket`` rows: one small job reads that group's size.
+    At least 3 digits (4096 buckets), at most 8."""
+    biggest = (df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys
+               else df.count()) or 0
+    d = 3
+    while d < 8 and biggest > rows_per_bucket * 16 ** d:
+        d += 1
+    return d
+
+
 def dense_row_number(df: DataFrame, order_hash: str, tie: str, by=None,
-                     out: str = "row_no", hex_digits: int = 3) -> DataFrame:
+                     out: str = "row_no", hex_digits: int | None = None) -> DataFrame:
     """0-based position of each row in ``(order_hash, tie)`` order per group.
 
     ``order_hash`` is a hex string column (e.g. :func:`hash_hex`). Buckets =
-    first ``hex_digits`` hex characters (16**hex_digits buckets).
+    first ``hex_digits`` hex characters (16**hex_digits buckets; default
+    from the largest group's size, :func:`bucket_digits`), so a hot group is
+    spread over as many window tasks as its size needs.
     """
     keys = _by(by)
+    if hex_digits is None:
+        hex_digits = bucket_digits(df, keys)
     b = df.withColumn("_bk", F.substring(order_hash, 1, hex_digits))
     sizes = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inner = Window.partitionBy(*keys, "_bk").orderBy(order_hash, tie)
-    # offs has at most groups * 16**hex_digits rows: small enough to broadcast
-    return (b.join(F.broadcast(offs), [*keys, "_bk"], "inner")
+    # offs has groups * 16**hex_digits rows: no hint, AQE broadcasts it when
+    # its measured size is small; otherwise the join's (keys, _bk) shuffle is
+    # the one the bucket window needs anyway
+    return (b.join(offs, [*keys, "_bk"], "inner")
             .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("bigint"))
             .drop("_bk", "_off"))
 
