@@ -25,15 +25,22 @@ def _by(by) -> list[str]:
 # window per group (bounded memory: the sort spills); larger groups use the
 # two-level bucketed plan so that no single task orders them.
 SINGLE_WINDOW_LIMIT = 1_000_000
+# the bucketed plan aims at this many rows per bucket, up to MAX_BUCKETS
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 4096
 
 
 def _resolve_buckets(g: DataFrame, keys: list[str], buckets, default: int = 64):
     """``buckets='auto'``: one small job reads the largest group's row count
-    and picks a plain window (<= SINGLE_WINDOW_LIMIT) or ``default`` buckets."""
+    and picks a plain window (<= SINGLE_WINDOW_LIMIT) or enough buckets for
+    about ROWS_PER_BUCKET rows each (at least ``default``), so a hot group
+    is spread over tasks in proportion to its size."""
     if buckets != "auto":
         return buckets
     biggest = g.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return None if biggest <= SINGLE_WINDOW_LIMIT else default
+    if biggest <= SINGLE_WINDOW_LIMIT:
+        return None
+    return int(min(MAX_BUCKETS, max(default, -(-biggest // ROWS_PER_BUCKET))))
 
 
 def distribution(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
@@ -88,15 +95,16 @@ def _score_counts(df: DataFrame, y: str, score: str, by) -> DataFrame:
 
 
 def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
-                  buckets=64) -> DataFrame:
+                  buckets="auto") -> DataFrame:
     """For each value column, the sum over rows with a smaller ``order_col``
     in the same ``by`` group (strictly below; ``order_col`` unique per group).
 
     Two levels: bucket the order values by approximate quantiles, prefix-sum
     the per-bucket totals (tiny table), then window inside each bucket only.
     The result is exact whatever the quantiles are. Every row is ordered
-    here, so buckets also spread a group over tasks: 64 by default;
-    ``None`` uses one window per group, ``'auto'`` picks by group size.
+    here, so buckets also spread a group over tasks. ``'auto'`` (default)
+    picks by the largest group's size (:func:`_resolve_buckets`); ``None``
+    uses one window per group; an int fixes the bucket count.
     """
     keys = _by(by)
     buckets = _resolve_buckets(g, keys, buckets)
@@ -128,7 +136,7 @@ def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
     return gb.drop("_b", *[f"_off{i}" for i in range(len(vals))])
 
 
-def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets=64) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets="auto") -> DataFrame:
     """Exact ROC AUC per group: P(s+ > s-) + P(s+ = s-) / 2.
 
     Integer numerator ``sum(2 * pos * neg_below + pos * neg)`` over distinct
