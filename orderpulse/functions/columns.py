@@ -48,14 +48,18 @@ def hash_uniform(seed, *cols) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-# Unicode whitespace as Python's ``str.strip`` sees it: the Unicode
-# White_Space class plus the four ASCII separators U+001C..U+001F.
-_STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters Python's ``str.strip`` removes (str.isspace),
+# in code point order: U+0009-U+000D, U+001C-U+001F, U+0020, U+0085, U+00A0,
+# U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+STRIP_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_unicode(c) -> Column:
-    """``str.strip()`` semantics; ``trim`` removes only U+0020."""
-    return F.regexp_replace(col_(c), _STRIP_PATTERN, "")
+    """``str.strip()`` semantics; plain ``trim`` removes only U+0020. Trims
+    the character set from both ends only: whole texts are never scanned."""
+    return F.trim(col_(c), F.lit(STRIP_CHARS))
 
 
 def preview(c, n: int = 60) -> Column:
