@@ -26,3 +26,29 @@ def test_drift_and_metrics_have_no_pair_joins(spark):
         plan = _plan(catalog.QUERIES[name](spark, SF))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
             assert bad not in plan, (name, bad)
+
+
+def test_checkpoint_dir_required_on_a_cluster():
+    """No machine-local fallback unless the master is local."""
+    import pytest
+
+    from orderpulse.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+        def set(self, key, value):
+            raise AssertionError("must not set a local folder on a cluster")
+
+    class Ctx:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Ctx()
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        ensure_checkpoint_dir(Session())
