@@ -77,16 +77,16 @@ def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame
                     "product_photos_qty"))
 
 
-def _unique(df: DataFrame, key: str) -> bool:
-    return df.groupBy(key).count().where("count > 1").limit(1).count() == 0
-
-
 def dimensions_unique(tables: dict[str, DataFrame]) -> bool:
-    return (_unique(tables["sellers"].where(F.col("seller_id").isNotNull()), "seller_id")
-            and _unique(tables["products"].where(F.col("product_id").isNotNull()), "product_id")
-            and _unique(tables["category_translation"]
-                        .where(F.col("product_category_name").isNotNull()),
-                        "product_category_name"))
+    """True when sellers, products and translations have unique join keys:
+    one grouped job over the three tagged key columns."""
+    keys = [("sellers", "seller_id"), ("products", "product_id"),
+            ("category_translation", "product_category_name")]
+    tagged = [tables[t].where(F.col(k).isNotNull())
+              .select(F.lit(t).alias("_t"), F.col(k).cast("string").alias("_k"))
+              for t, k in keys]
+    allk = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return allk.groupBy("_t", "_k").count().where("count > 1").limit(1).count() == 0
 
 
 def _fused_items(tables: dict[str, DataFrame]) -> DataFrame:
