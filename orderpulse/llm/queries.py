@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderpulse.llm import bpe, packing
+from orderpulse.llm import bpe, langid, packing, quality
 from orderpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,14 +20,34 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def fold(of: int, key: str = "doc_id") -> Column:
+    """crc32 of the id's decimal text, modulo ``of``."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of
+
+
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"),
                         public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.sample_text(docs.where(fold(3) != 1))
+    return langid.identify(docs, samples).select(
+        "doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+@query
+def op10_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "d2")
