@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.llm import bpe, langid, packing, quality, substring_dedup
+from orderpulse.llm import bpe, jaccard_join, langid, packing, quality, sharding, substring_dedup
 from orderpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,11 +46,21 @@ def op3_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+@query
+def op4_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 @query
 def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digest(table(spark, sf_dir, "documents"), 20)
 
 
+@query
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
