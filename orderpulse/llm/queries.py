@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderpulse.llm import bpe, jaccard_join, langid, packing, quality, sharding, substring_dedup
+from orderpulse.llm import (bpe, jaccard_join, langid, packing, quality, secret_scan, sharding, substring_dedup,
+                            toxicity)
 from orderpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,11 +57,29 @@ def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digest(table(spark, sf_dir, "documents"), 20)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Trained on the labelled rows outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0)
+    return toxicity.fit(toxicity.labelled_sample(docs, labels))
+
+
+@query
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
