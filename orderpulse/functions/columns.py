@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,9 +47,10 @@ def hash_hex(seed, *cols) -> Column:
 
 
 def hash_uniform(seed, *cols) -> Column:
-    """Uniform double in [0, 1) from the first 32 bits of :func:`hash_hex`."""
+    """Uniform double in [0, 1) from the first 52 bits of :func:`hash_hex`
+    (as many as a double holds, so draws reach every row of any table)."""
     h = hash_hex(seed, *cols)
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 # The characters Python's ``str.strip`` removes (str.isspace),
@@ -69,8 +74,9 @@ def preview(c, n: int = 60) -> Column:
 
 
 def parse_stars(label) -> Column:
-    """``"4 stars"`` / ``"1 star"`` -> 4 / 1; anything else -> NULL."""
-    return F.split(col_(label), " ").getItem(0).try_cast("int")
+    """``"4 stars"`` / ``"1 star"`` -> 4 / 1; anything else -> NULL. Words are
+    separated by any white space, also at the start."""
+    return F.split(strip_unicode(label), r"\s+").getItem(0).try_cast("int")
 
 
 def stars_label(stars) -> Column:
@@ -93,10 +99,12 @@ def snap(c, digits: int = 6) -> Column:
 
     Used on floating results whose last bits depend on summation order, so
     two engines print the same number. ``round`` is avoided on purpose: it
-    rounds the shortest decimal form, which differs between engines.
+    rounds the shortest decimal form, which differs between engines. Values
+    whose scaled form has no fraction left (2**53 and more) stay as they are.
     """
-    scale = float(10 ** digits)
-    return F.floor(col_(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    scale, c = float(10 ** digits), col_(c)
+    return F.when(F.abs(c * F.lit(scale)) >= float(1 << 53), c.cast("double")).otherwise(
+        F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
 
 
 def severity(psi) -> Column:
@@ -124,19 +132,21 @@ def linspace_inner(lo, hi, n_bins: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n_bins - 1)), lambda i: lo + i * step)
 
 
-def ks_pvalue(d, n_ref, n_cur, terms: int = 100) -> Column:
-    """Asymptotic two-sample KS p-value (Kolmogorov series), clamped to [0, 1].
+def ks_pvalue(d, n_ref, n_cur) -> Column:
+    """Asymptotic two-sample KS p-value (Kolmogorov distribution), in [0, 1].
 
-    ``2 * sum_{k>=1} (-1)^(k-1) exp(-2 k^2 n d^2)`` with ``n = nr*nc/(nr+nc)``;
-    returns 1 when d is 0.
+    With ``l = sqrt(nr * nc / (nr + nc)) * d``: from 1 on the alternating series
+    ``2 * sum (-1)^(k-1) exp(-2 k^2 l^2)``, below 1 its theta transform
+    ``1 - sqrt(2 pi) / l * sum exp(-(2k-1)^2 pi^2 / (8 l^2))``. Either converges
+    to double precision in a few terms on its side. NULL when ``d`` is.
     """
     d, nr, nc = col_(d), col_(n_ref).cast("double"), col_(n_cur).cast("double")
-    en = nr * nc / (nr + nc)
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-        lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(F.lit(-2.0) * k * k * en * d * d))
-    p = F.lit(2.0) * series
-    return F.when(d <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+    lam = F.sqrt(nr * nc / (nr + nc)) * d
+    terms = range(1, 9)
+    tail = reduce(add, [F.lit(2.0 if k % 2 else -2.0) * F.exp(F.lit(-2.0 * k * k) * lam * lam) for k in terms])
+    body = reduce(add, [F.exp(F.lit(-((2 * k - 1) ** 2) * math.pi ** 2 / 8) / (lam * lam)) for k in terms])
+    p = F.when(lam >= 1, tail).otherwise(F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / lam * body)
+    return F.when(d <= 0, F.lit(1.0)).when(d.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def plus_days_hours(ts, days, hours) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpulse.functions.columns import bin_index, ks_pvalue, linspace_inner, severity
+from orderpulse.functions.columns import bin_index, ks_pvalue, linspace_inner, nan_to_null, severity
 from orderpulse.operators.metrics import exact_quantile, running_below
 
 # PSI defaults (10 equal-width bins over [min, p99] of the
@@ -22,11 +22,11 @@ ALPHA = 0.05
 
 
 def to_long(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
-    """(keep..., feature, value) with NULL values dropped, values as double."""
+    """(keep..., feature, value), values as double, NaN as NULL. NULL values stay,
+    so that a group without any value of a feature is still a group."""
     keep = keep or []
-    cast = df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features])
-    return (cast.unpivot(keep, features, "feature", "value")
-            .where(F.col("value").isNotNull() & ~F.isnan("value")))
+    cast = df.select(*keep, *[nan_to_null(F.col(f).cast("double")).alias(f) for f in features])
+    return cast.unpivot(keep, features, "feature", "value")
 
 
 def reference_edges(ref: DataFrame, n_bins: int = N_BINS, clip: float = CLIP_QUANTILE,
@@ -37,6 +37,7 @@ def reference_edges(ref: DataFrame, n_bins: int = N_BINS, clip: float = CLIP_QUA
     :func:`~orderpulse.operators.metrics.exact_quantile`); ``approx`` uses a
     ``percentile_approx`` sketch instead (one pass, bounded memory).
     """
+    ref = ref.where(F.col("value").isNotNull())
     mins = ref.groupBy("feature").agg(F.min("value").alias("ref_min"))
     if approx:
         clip_q = ref.groupBy("feature").agg(
@@ -49,8 +50,8 @@ def reference_edges(ref: DataFrame, n_bins: int = N_BINS, clip: float = CLIP_QUA
 
 
 def _bin_counts(df: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    # edges: one row per feature (small) -> broadcast equi-join on feature
-    return (df.join(F.broadcast(edges.select("feature", "edges")), "feature", "inner")
+    # edges: one row per feature, so the planner broadcasts it by its measured size
+    return (df.where(F.col("value").isNotNull()).join(edges.select("feature", "edges"), "feature", "inner")
             .withColumn("bin", bin_index("value", "edges"))
             .groupBy("feature", *by, "bin").agg(F.count(F.lit(1)).alias("n")))
 
@@ -60,7 +61,8 @@ def psi(ref: DataFrame, cur: DataFrame, by: list[str] | str = "month", n_bins: i
     """PSI per (feature, by...): sum((c - r) * ln(c / r)) over bins.
 
     Shares are count / total + eps (not renormalised); bins are [e_i, e_i+1)
-    with infinite outer bins; empty bins count as share eps.
+    with infinite outer bins; empty bins count as share eps. A group without
+    any value of a feature has a NULL PSI (severity RED).
     """
     by = [by] if isinstance(by, str) else list(by)
     edges = reference_edges(ref, n_bins, clip, approx)
@@ -71,13 +73,13 @@ def psi(ref: DataFrame, cur: DataFrame, by: list[str] | str = "month", n_bins: i
     r_share = rc.select("feature", "bin",
                         (F.col("n") / F.sum("n").over(r_tot)).alias("r_share"))
     # scaffold: every (feature, group) gets all n_bins bins, so empty bins exist
-    groups = cc.select("feature", *by).distinct()
+    groups = cur.select("feature", *by).distinct()
     scaffold = groups.select("feature", *by,
                              F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     c_share = (scaffold.join(cc, ["feature", *by, "bin"], "left")
                .withColumn("n", F.coalesce("n", F.lit(0)))
-               .withColumn("c_share", F.col("n") / F.sum("n").over(c_tot)))
-    j = c_share.join(F.broadcast(r_share), ["feature", "bin"], "left") \
+               .withColumn("c_share", F.try_divide(F.col("n"), F.sum("n").over(c_tot))))
+    j = c_share.join(r_share, ["feature", "bin"], "left") \
         .withColumn("r", F.coalesce("r_share", F.lit(0.0)) + F.lit(eps)) \
         .withColumn("c", F.col("c_share") + F.lit(eps))
     return (j.groupBy("feature", *by)
@@ -94,8 +96,11 @@ def ks(ref: DataFrame, cur: DataFrame, groups: list, by: str = "month",
 
     Values are grouped first (ties collapse), the groups are pivoted into
     columns (reference + one per ``groups`` value) and ONE ordered running
-    sum per feature gives every CDF; the statistic is max |F_ref - F_g|.
+    sum per feature gives every CDF; the statistic is max |F_ref - F_g|. A
+    group without any value of a feature has NULL statistic and p-value and
+    counts as significant.
     """
+    ref, cur = (x.where(F.col("value").isNotNull()) for x in (ref, cur))
     names = [f"_c{i}" for i in range(len(groups))]
     rc = ref.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_r"))
     cc = (cur.where(F.col(by).isin(groups)).groupBy("feature", "value")
@@ -108,20 +113,19 @@ def ks(ref: DataFrame, cur: DataFrame, groups: list, by: str = "month",
     run = running_below(allv, ["feature"], "value", cols, [f"{c}_below" for c in cols], buckets)
     # per-feature totals: one small aggregate, broadcast back on feature
     tot = allv.groupBy("feature").agg(*[F.sum(c).alias(f"_t{c}") for c in cols])
-    run = run.join(F.broadcast(tot), "feature", "inner")
+    run = run.join(tot, "feature", "inner")
     stats = []
     for c in names:
         cdf_r = (F.col("_r_below") + F.col("_r")) / F.col("_t_r")
-        cdf_c = (F.col(f"{c}_below") + F.col(c)) / F.col(f"_t{c}")
+        cdf_c = F.try_divide(F.col(f"{c}_below") + F.col(c), F.col(f"_t{c}"))
         stats.append(F.abs(cdf_r - cdf_c).alias(f"_d{c}"))
     agg = run.select("feature", *stats).groupBy("feature").agg(
         *[F.max(f"_d{c}").alias(f"_D{c}") for c in names])
-    agg = agg.join(F.broadcast(tot), "feature", "inner")
+    agg = agg.join(tot, "feature", "inner")
     rows = agg.select("feature", F.col("_t_r").alias("n_ref"), F.explode(F.array(*[
         F.struct(F.lit(g).alias(by), F.col(f"_t{c}").alias("n_cur"), F.col(f"_D{c}").alias("ks_stat"))
         for g, c in zip(groups, names)])).alias("s")).select("feature", "n_ref", "s.*")
-    rows = rows.where(F.col("n_cur") > 0)
     p = ks_pvalue("ks_stat", "n_ref", "n_cur")
     return rows.select("feature", by, "ks_stat", p.alias("p_value"),
-                       (p < F.lit(alpha)).cast("int").alias("significant"),
+                       F.coalesce(p < F.lit(alpha), F.lit(True)).cast("int").alias("significant"),
                        F.col("n_ref").cast("bigint"), F.col("n_cur").cast("bigint"))

@@ -70,7 +70,7 @@ def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame
     pandas merge which pairs NULL with NULL: they are dropped explicitly.
     """
     tr = translation.where(F.col("product_category_name").isNotNull())
-    return (products.join(F.broadcast(tr), "product_category_name", "left")
+    return (products.join(tr, "product_category_name", "left")
             .select("product_id",
                     F.coalesce("product_category_name_english", "product_category_name")
                     .alias("product_category"),

@@ -21,26 +21,18 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-# Groups with at most this many distinct ordering values are ordered by one
-# window per group (bounded memory: the sort spills); larger groups use the
-# two-level bucketed plan so that no single task orders them.
-SINGLE_WINDOW_LIMIT = 1_000_000
-# the bucketed plan aims at this many rows per bucket, up to MAX_BUCKETS
+# the ordered plans aim at this many distinct ordering values per bucket
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
 
 
-def _resolve_buckets(g: DataFrame, keys: list[str], buckets, default: int = 64):
+def _resolve_buckets(g: DataFrame, keys: list[str], buckets, default: int = 16):
     """``buckets='auto'``: one small job reads the largest group's row count
-    and picks a plain window (<= SINGLE_WINDOW_LIMIT) or enough buckets for
-    about ROWS_PER_BUCKET rows each (at least ``default``), so a hot group
-    is spread over tasks in proportion to its size."""
+    and takes a bucket per ROWS_PER_BUCKET rows (at least ``default``), so a
+    hot group is spread over tasks in proportion to its size."""
     if buckets != "auto":
         return buckets
     biggest = g.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= SINGLE_WINDOW_LIMIT:
-        return None
-    return int(min(MAX_BUCKETS, max(default, -(-biggest // ROWS_PER_BUCKET))))
+    return int(max(default, -(-biggest // ROWS_PER_BUCKET)))
 
 
 def distribution(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
@@ -120,7 +112,7 @@ def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
     bounds = g.groupBy(*keys).agg(
         F.percentile_approx(order_col, fracs, 10000).alias("_bounds"))
     if keys:
-        gb = g.join(F.broadcast(bounds), keys, "inner")
+        gb = g.join(bounds, keys, "inner")
     else:
         gb = g.withColumn("_bounds", bounds.select("_bounds").scalar())
     gb = gb.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(order_col)))) \
@@ -129,8 +121,7 @@ def running_below(g: DataFrame, by, order_col: str, value_cols, outs,
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(*keys, "_b", *[F.coalesce(F.sum(f"_bt{i}").over(before), F.lit(0))
                                     .alias(f"_off{i}") for i in range(len(vals))])
-    # at most groups * buckets rows: broadcast
-    gb = gb.join(F.broadcast(tot), [*keys, "_b"], "inner")
+    gb = gb.join(tot, [*keys, "_b"], "inner")
     for i, (v, o) in enumerate(zip(vals, outs)):
         gb = gb.withColumn(o, F.col(f"_off{i}") + F.coalesce(F.sum(v).over(prev), F.lit(0)))
     return gb.drop("_b", *[f"_off{i}" for i in range(len(vals))])
@@ -145,11 +136,12 @@ def roc_auc(df: DataFrame, y: str, score: str, by=None, buckets="auto") -> DataF
     keys = _by(by)
     g = _score_counts(df, y, score, keys)
     g = running_below(g, keys, "_s", "_neg", "_neg_below", buckets)
+    wide = lambda c: F.col(c).cast("decimal(18,0)")  # noqa: E731  products beyond 64 bits
     agg = g.groupBy(*keys).agg(
-        F.sum(2 * F.col("_pos") * F.col("_neg_below") + F.col("_pos") * F.col("_neg"))
+        F.sum((wide("_pos") * (wide("_neg_below") * 2 + wide("_neg"))).cast("decimal(38,0)"))
         .alias("_num"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
-    den = 2 * F.col("n_pos") * F.col("n_neg")
+    den = wide("n_pos") * wide("n_neg") * 2
     return agg.select(*keys, F.try_divide(F.col("_num").cast("double"), den.cast("double"))
                       .alias("auc"), F.col("n_pos").cast("bigint"), F.col("n_neg").cast("bigint"))
 
@@ -231,7 +223,7 @@ def exact_quantile(df: DataFrame, value: str, q: float, by=None, out: str = "q",
     if buckets:
         fracs = [i / buckets for i in range(1, buckets)]
         bounds = g.groupBy(*keys).agg(F.percentile_approx("_v", fracs, 10000).alias("_bounds"))
-        gb = (g.join(F.broadcast(bounds), keys, "inner") if keys
+        gb = (g.join(bounds, keys, "inner") if keys
               else g.withColumn("_bounds", bounds.select("_bounds").scalar()))
         gb = gb.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col("_v")))) \
             .drop("_bounds")
@@ -248,7 +240,7 @@ def exact_quantile(df: DataFrame, value: str, q: float, by=None, out: str = "q",
            .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1)))
     inb = lambda r: (F.col("_off") <= F.col(r)) & (F.col(r) < F.col("_off") + F.col("_bt"))
     target = tot.where(inb("_lo") | inb("_hi")).select(*keys, "_b", "_off", "_pos", "_lo", "_hi")
-    rows = gb.join(F.broadcast(target), [*keys, "_b"], "inner")
+    rows = gb.join(target, [*keys, "_b"], "inner")
     prev = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_below", F.col("_off") + F.coalesce(F.sum("_c").over(prev), F.lit(0)))
     hit = lambda r: (F.col("_below") <= F.col(r)) & (F.col(r) < F.col("_below") + F.col("_c"))

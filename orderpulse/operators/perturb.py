@@ -46,12 +46,12 @@ def apply_scenario(df: DataFrame, scenario: DataFrame, by: str = "month",
                    shift_col: str = "delivery_days", mult_cols=None) -> DataFrame:
     """Additive shift on ``shift_col`` and multiplicative on ``mult_cols``.
 
-    The scenario table has one row per month (small): broadcast left join.
+    The scenario table has one row per month (small): left join.
     Its ``electronics_shift_pp`` and ``flip_pct`` columns stay on the rows
     for :func:`reassign_category` and :func:`flip_labels`.
     """
     mult_cols = mult_cols or FREIGHT_COLS
-    j = df.join(F.broadcast(scenario), by, "left")
+    j = df.join(scenario, by, "left")
     j = j.withColumn(shift_col, F.col(shift_col) + F.coalesce("delivery_add", F.lit(0.0)))
     for c in mult_cols:
         j = j.withColumn(c, F.col(c) * F.coalesce("freight_mult", F.lit(1.0)))

@@ -25,34 +25,19 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-# rows per hash bucket aimed at when the bucket count is picked from the data
-ROWS_PER_BUCKET = 2_000_000
-
-
-def bucket_digits(df: DataFrame, keys: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Hex digits of the hash bucket so that the largest group's buckets hold
-    about ``rows_per_bucket`` rows: one small job reads that group's size.
-    At least 3 digits (4096 buckets), at most 8."""
-    biggest = (df.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys
-               else df.count()) or 0
-    d = 3
-    while d < 8 and biggest > rows_per_bucket * 16 ** d:
-        d += 1
-    return d
+# hex digits of the hash bucket: 65,536 buckets per group at any size of table
+BUCKET_DIGITS = 4
 
 
 def dense_row_number(df: DataFrame, order_hash: str, tie: str, by=None,
-                     out: str = "row_no", hex_digits: int | None = None) -> DataFrame:
+                     out: str = "row_no", hex_digits: int = BUCKET_DIGITS) -> DataFrame:
     """0-based position of each row in ``(order_hash, tie)`` order per group.
 
     ``order_hash`` is a hex string column (e.g. :func:`hash_hex`). Buckets =
-    first ``hex_digits`` hex characters (16**hex_digits buckets; default
-    from the largest group's size, :func:`bucket_digits`), so a hot group is
-    spread over as many window tasks as its size needs.
+    first ``hex_digits`` hex characters (16**hex_digits buckets), so a hot
+    group is spread over many windows.
     """
     keys = _by(by)
-    if hex_digits is None:
-        hex_digits = bucket_digits(df, keys)
     b = df.withColumn("_bk", F.substring(order_hash, 1, hex_digits))
     sizes = b.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +78,7 @@ def stratified_split(df: DataFrame, label: str, key: str, frac: float = 0.2, see
                              .otherwise(F.lit("train")))
     ranked = dense_row_number(df.withColumn("_h", hash_hex(seed, key)), "_h", key, label, "_r")
     quota = ranked.groupBy(label).agg(F.ceil(F.count(F.lit(1)) * F.lit(frac)).alias("_q"))
-    return (ranked.join(F.broadcast(quota), label, "inner")
+    return (ranked.join(quota, label, "inner")
             .withColumn(out, F.when(F.col("_r") < F.col("_q"), F.lit("test"))
                         .otherwise(F.lit("train")))
             .drop("_h", "_r", "_q"))
@@ -156,8 +141,7 @@ def choose_many(df: DataFrame, specs: list[tuple], key: str, by=None) -> DataFra
         cand = marked.where(f"_c{i}").select(*keys, key).withColumn("_h", hash_hex(seed, key))
         ranked = dense_row_number(cand, "_h", key, keys, f"_r{i}").drop("_h")
         out = out.join(ranked, [*keys, key], "left")
-    # one row per group: broadcast
-    out = out.join(F.broadcast(need), keys, "inner")
+    out = out.join(need, keys, "inner")
     drop = ["_n"]
     for i, (name, _, _, _) in enumerate(specs):
         k = F.floor(F.col("_n") * F.col(f"_s{i}"))

@@ -83,18 +83,16 @@ def score_text_batches(df: DataFrame, text: str, scorer_factory: Callable[[], Sc
                        batch: int = 32) -> DataFrame:
     """Apply an external scorer in batches of ``batch`` texts per call.
 
-    ``scorer_factory`` builds the model once per Python worker; the scorer
-    maps a list of texts to ``(label, score)`` pairs. Output adds
+    ``scorer_factory`` builds the model once per task; the scorer maps a list of
+    texts to ``(label, score)`` pairs (a NULL text counts as empty). Output adds
     ``text_label`` and ``text_score``.
     """
     schema = T.StructType(df.schema.fields + [T.StructField("text_label", T.StringType()),
                                               T.StructField("text_score", T.DoubleType())])
-    cache: dict = {}
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = cache.get("s") or cache.setdefault("s", scorer_factory())
+        scorer = scorer_factory()
         for pdf in frames:
-            texts = pdf[text].astype(str).tolist()
+            texts = pdf[text].fillna("").astype(str).tolist()
             labels, scores = [], []
             for i in range(0, len(texts), batch):
                 for lab, sc in scorer(texts[i:i + batch]):

@@ -139,17 +139,20 @@ from orderpulse.sources.standin import FIRST_MONTH, N_MONTHS  # noqa: E402
 
 SEED = 42
 DRIFT_FEATURES = ["delivery_days", "total_freight_value", "total_order_value"]
-MONTHS = list(range(1, N_MONTHS + 1))
 
 
 def tag_months(df: DataFrame, ts_col: str = "order_purchase_timestamp",
-               first: str = FIRST_MONTH, n: int = N_MONTHS) -> DataFrame:
-    """month = 1..n for the n calendar months from ``first``; 0 before them
-    (the reference period); rows after the last month are dropped."""
+               first: str = FIRST_MONTH) -> DataFrame:
+    """month = 1, 2, ... for the calendar months from ``first`` on, as many as
+    the data has; 0 before them (the reference period)."""
     y0, m0 = int(first[:4]), int(first[5:7])
     idx = F.year(ts_col) * 12 + F.month(ts_col) - F.lit(y0 * 12 + m0)
-    month = F.when(idx < 0, F.lit(0)).when(idx < n, idx + 1)
-    return df.withColumn("month", month.cast("int")).where(F.col("month").isNotNull())
+    return df.withColumn("month", F.greatest(idx + 1, F.lit(0)).cast("int"))
+
+
+def months_present(df: DataFrame) -> list[int]:
+    """The months of the rows, in order (a few values)."""
+    return [r["month"] for r in df.select("month").distinct().orderBy("month").collect()]
 
 
 def deterministic_score(df: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def deterministic_score(df: DataFrame) -> DataFrame:
 
 
 def monitoring(spark, sf_dir) -> dict[str, DataFrame]:
-    """Reference rows (month 0) and drifted, scored production months 1..6."""
+    """Reference rows (month 0) and drifted, scored production months 1, 2, ..."""
     f = tag_months(features(spark, sf_dir))
     ref = f.where(F.col("month") == 0)
     prod = materialize(spark, "production_months", sf_dir, lambda: perturb.drift_months(
@@ -194,23 +197,24 @@ def q_bootstrap_sample(spark, sf_dir):
 @register("psi_matrix")
 def q_psi_matrix(spark, sf_dir):
     p = psi_long(spark, sf_dir)
-    return drift_ops.psi_with_severity(p.withColumn("psi", snap("psi")))
+    return drift_ops.psi_with_severity(p).withColumn("psi", snap("psi"))
 
 
 @register("psi_wide")
 def q_psi_wide(spark, sf_dir):
-    p = drift_ops.psi_with_severity(psi_long(spark, sf_dir).withColumn("psi", snap("psi")))
-    w = (p.groupBy("feature").pivot("month", MONTHS)
+    p = drift_ops.psi_with_severity(psi_long(spark, sf_dir)).withColumn("psi", snap("psi"))
+    months = months_present(monitoring(spark, sf_dir)["prod"])
+    w = (p.groupBy("feature").pivot("month", months)
          .agg(F.first("psi").alias("psi"), F.first("severity").alias("severity")))
     return w.select("feature", *[F.col(f"{m}_{k}").alias(f"{k}_m{m}")
-                                 for m in MONTHS for k in ("psi", "severity")])
+                                 for m in months for k in ("psi", "severity")])
 
 
 def ks_table(spark, sf_dir) -> DataFrame:
     m = monitoring(spark, sf_dir)
     ref = drift_ops.to_long(m["ref"], DRIFT_FEATURES)
     cur = drift_ops.to_long(m["prod"], DRIFT_FEATURES, ["month"])
-    return drift_ops.ks(ref, cur, MONTHS, "month").withColumn("p_value", snap("p_value"))
+    return drift_ops.ks(ref, cur, months_present(m["prod"]), "month").withColumn("p_value", snap("p_value"))
 
 
 @register("ks_matrix")
@@ -304,7 +308,7 @@ def q_threshold_sweep(spark, sf_dir):
 
 @register("retrain_set")
 def q_retrain_set(spark, sf_dir):
-    """Reference rows faded by age (half-life 6 months) + labelled months 4-6."""
+    """Reference rows faded by age (half-life 6 months) + labelled months from 4 on."""
     m = monitoring(spark, sf_dir)
     y0, m0 = int(FIRST_MONTH[:4]), int(FIRST_MONTH[5:7])
     last_idx = y0 * 12 + m0 - 1 + N_MONTHS  # month index of production month N
@@ -454,7 +458,7 @@ def allowed_from_training(spark, sf_dir) -> DataFrame:
     queries read a tiny table instead of re-scanning the features."""
     def build():
         f = sampling.stratified_split(features(spark, sf_dir), LABEL, KEY, 0.2, SEED)
-        return val.allowed_from_data(f.where("split = 'train'")).coalesce(1)
+        return val.allowed_from_data(f.where("split = 'train'"))
     return materialize(spark, "allowed_values", sf_dir, build)
 
 
@@ -617,11 +621,15 @@ import uuid as _uuid  # noqa: E402
 from orderpulse.streaming import jobs as st  # noqa: E402
 
 EVENT_SCHEMA = "order_id bigint, event_ts timestamp, event_type string, value double, user_id bigint"
-LABEL_SCHEMA = "order_id bigint, review_id bigint, review_score int, review_ts timestamp"
+SCORED_SCHEMA = "order_id bigint, event_ts timestamp, y_proba double, y_pred int"
+QUARANTINE_SCHEMA = "order_id bigint, event_ts timestamp, errors string"
+WINDOW_SCHEMA = ("window_start timestamp, event_type string, n bigint, mean_value double, "
+                 "min_value double, max_value double")
+BIN_SCHEMA = "window_start timestamp, bin int, n bigint"
 
 
 def _stream_dir(spark, sf_dir, name) -> str:
-    """A fresh folder (landing, sinks, checkpoints) under the shared checkpoint dir."""
+    """A fresh folder (sinks, checkpoints) under the shared checkpoint dir."""
     return stage_path(spark, f"{name}-{_uuid.uuid4().hex[:8]}", sf_dir)
 
 
@@ -629,21 +637,37 @@ def _events(spark, sf_dir) -> DataFrame:
     return read_driver_tables(spark, sf_dir, ["events"])["events"]
 
 
+def event_stream(spark, sf_dir) -> DataFrame:
+    """The events table as a stream (``order_id = event_id``; watermarks refuse
+    TIMESTAMP_NTZ)."""
+    raw = st.file_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", _events(spark, sf_dir).schema, None)
+    return raw.select(F.col("event_id").alias("order_id"), F.col("ts").cast("timestamp").alias(st.EVENT_TS),
+                      "event_type", "value", "user_id")
+
+
+def redelivered(spark, sf_dir) -> DataFrame:
+    """The event stream with an eighth of the events delivered twice."""
+    return event_stream(spark, sf_dir).union(event_stream(spark, sf_dir).where(F.col(KEY) % 8 == 7))
+
+
+def read_sink(spark, path: str, schema: str) -> DataFrame:
+    """A sink's rows; none when nothing was written."""
+    return spark.read.schema(schema).parquet(path)
+
+
 @register("stream_score")
 def q_stream_score(spark, sf_dir):
-    """Events (with one range delivered twice) -> dedup -> features ->
-    validate -> score / quarantine, idempotent per micro-batch."""
+    """Events (some delivered twice) -> dedup -> features -> validate ->
+    score / quarantine, idempotent per micro-batch."""
     base = _stream_dir(spark, sf_dir, "stream_score")
-    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
     feats = features(spark, sf_dir).drop("order_purchase_timestamp")
-    q = st.stream_score(src, feats, allowed_from_training(spark, sf_dir), deterministic_score,
-                        f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt")
+    q = st.stream_score(redelivered(spark, sf_dir), feats, allowed_from_training(spark, sf_dir),
+                        deterministic_score, f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt")
     st.run_available_now(q)
-    good = spark.read.parquet(f"{base}/scored").select(
+    good = read_sink(spark, f"{base}/scored", SCORED_SCHEMA).select(
         KEY, F.lit("scored").alias("status"), snap("y_proba").alias("y_proba"), "y_pred",
         F.lit(None).cast("string").alias("errors"))
-    bad = spark.read.parquet(f"{base}/quarantine").select(
+    bad = read_sink(spark, f"{base}/quarantine", QUARANTINE_SCHEMA).select(
         KEY, F.lit("quarantined").alias("status"), F.lit(None).cast("double").alias("y_proba"),
         F.lit(None).cast("int").alias("y_pred"), "errors")
     return good.unionByName(bad)
@@ -652,10 +676,9 @@ def q_stream_score(spark, sf_dir):
 @register("stream_window_stats")
 def q_stream_window_stats(spark, sf_dir):
     base = _stream_dir(spark, sf_dir, "stream_window_stats")
-    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
+    src = event_stream(spark, sf_dir)
     st.run_available_now(st.stream_window_stats(src, f"{base}/out", f"{base}/_ckpt"))
-    out = st.latest_per_key(spark, f"{base}/out", ["window_start", "event_type"])
+    out = st.latest_per_key(spark, f"{base}/out", ["window_start", "event_type"], WINDOW_SCHEMA)
     return out.select(F.to_date("window_start").alias("window_day"), "event_type",
                       F.col("n").cast("bigint").alias("n"), snap("mean_value").alias("mean_value"),
                       "min_value", "max_value")
@@ -673,29 +696,25 @@ def _event_reference(spark, sf_dir) -> DataFrame:
 def q_stream_drift(spark, sf_dir):
     """Daily PSI of event values against fixed edges from the first week."""
     base = _stream_dir(spark, sf_dir, "stream_drift")
-    ref = _event_reference(spark, sf_dir)
+    ref = _event_reference(spark, sf_dir).where(F.col("value").isNotNull())
     edges = drift_ops.reference_edges(ref)
-    rc = (ref.join(F.broadcast(edges.select("feature", "edges")), "feature")
+    rc = (ref.join(edges.select("feature", "edges"), "feature")
           .withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("value"))))
           .groupBy("bin").count())
     # total as a scalar subquery: no single-partition window
     shares = rc.select("bin", (F.col("count") / rc.agg(F.sum("count")).scalar()).alias("r_share"))
-    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
-    st.run_available_now(st.stream_drift(src, edges, f"{base}/out", f"{base}/_ckpt"))
-    counts = st.latest_per_key(spark, f"{base}/out", ["window_start", "bin"])
+    st.run_available_now(st.stream_drift(event_stream(spark, sf_dir), edges, f"{base}/out", f"{base}/_ckpt"))
+    counts = st.latest_per_key(spark, f"{base}/out", ["window_start", "bin"], BIN_SCHEMA)
     p = st.psi_from_counts(counts, shares)
     return p.select(F.to_date("window_start").alias("window_day"),
-                    snap("psi").alias("psi"), drift_ops.severity(snap("psi")).alias("severity"))
+                    snap("psi").alias("psi"), drift_ops.severity("psi").alias("severity"))
 
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
     base = _stream_dir(spark, sf_dir, "stream_dedup")
-    k = st.land_events(_events(spark, sf_dir), f"{base}/landing", 8, duplicate_last=True)
-    src = st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
-    st.run_available_now(st.stream_dedup(src, f"{base}/out", f"{base}/_ckpt"))
-    return spark.read.parquet(f"{base}/out").select(
+    st.run_available_now(st.stream_dedup(redelivered(spark, sf_dir), f"{base}/out", f"{base}/_ckpt"))
+    return read_sink(spark, f"{base}/out", EVENT_SCHEMA).select(
         KEY, F.unix_micros(st.EVENT_TS).alias("event_us"), "event_type", "value", "user_id")
 
 
@@ -704,24 +723,16 @@ def q_stream_label_join(spark, sf_dir):
     """Predictions at event time joined to reviews arriving 0-119 hours
     later (kept when within 4 days)."""
     base = _stream_dir(spark, sf_dir, "stream_label_join")
-    ev = _events(spark, sf_dir)
-    k = st.land_events(ev, f"{base}/landing", 8)
-    rv = tables(spark, sf_dir)["order_reviews"]
-    lab = (ev.select(F.col("event_id").alias(KEY), F.col("ts").cast("timestamp").alias("_t"))
-           .join(rv, KEY, "inner")
-           .select(KEY, "review_id", "review_score",
-                   (F.col("_t") + F.make_dt_interval(F.lit(0), ((F.col("review_id") * 7) % 120)
-                                                     .cast("int"))).alias("review_ts")))
-    # arrival order follows the event ranges, as for the events
-    b = ev.agg(F.min("event_id"), F.max("event_id")).first()
-    kl = st.land_ranges(lab, KEY, f"{base}/labels", 8, bounds=(int(b[0]), int(b[1])))
+    rv = tables(spark, sf_dir)["order_reviews"].select(KEY, "review_id", "review_score")
+    delay = F.make_dt_interval(F.lit(0), ((F.col("review_id") * 7) % 120).cast("int"))
+    labels = event_stream(spark, sf_dir).select(KEY, st.EVENT_TS).join(rv, KEY, "inner").select(
+        KEY, "review_id", "review_score", (F.col(st.EVENT_TS) + delay).alias("review_ts"))
     scored = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
-    preds = (st.file_stream(spark, f"{base}/landing", EVENT_SCHEMA, 3 * k)
-             .join(scored, KEY, "inner")
+    preds = (event_stream(spark, sf_dir).join(scored, KEY, "inner")
              .select(KEY, F.col(st.EVENT_TS).alias("scored_ts"), "y_proba", "y_pred"))
-    labels = st.file_stream(spark, f"{base}/labels", LABEL_SCHEMA, 3 * kl)
     st.run_available_now(st.stream_label_join(preds, labels, f"{base}/out", f"{base}/_ckpt"))
-    out = spark.read.parquet(f"{base}/out")
+    out = read_sink(spark, f"{base}/out", f"{KEY} bigint, scored_ts timestamp, review_ts timestamp, "
+                    "y_proba double, y_pred int, review_id bigint, review_score int, y_true int")
     return out.select(KEY, "review_id", snap("y_proba").alias("y_proba"), "y_pred", "review_score",
                       "y_true", ((F.unix_micros("review_ts") - F.unix_micros("scored_ts"))
                                  / 3600000000).cast("int").alias("lag_hours"))

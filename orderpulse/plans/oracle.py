@@ -198,7 +198,7 @@ FROM (SELECT is_positive_review, CAST(count(*) AS BIGINT) AS n FROM feat GROUP B
 def u_sql(seed: str, *parts: str) -> str:
     """Uniform [0,1) from md5('seed:part1:...'), as in the Spark plans."""
     s = " || ':' || ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts])
-    return f"(('0x' || substr(md5({s}), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(md5({s}), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
 def md5_sql(seed: str, *parts: str) -> str:
@@ -213,9 +213,9 @@ _JIT = ",\n         ".join(
 MONITOR = {
     "mf": """
   SELECT * FROM (
-    SELECT *, CASE WHEN ym < 0 THEN 0 WHEN ym < 6 THEN ym + 1 END AS month
+    SELECT *, CASE WHEN ym < 0 THEN 0 ELSE ym + 1 END AS month
     FROM (SELECT feat.*, year(order_purchase_timestamp) * 12 + month(order_purchase_timestamp) - (2001 * 12 + 2) AS ym
-          FROM feat)) WHERE month IS NOT NULL""",
+          FROM feat))""",
     "mref": "SELECT * FROM mf WHERE month = 0",
     "scen": """
   SELECT CAST(month AS INT) AS month, CAST(a AS DOUBLE) AS delivery_add, CAST(m AS DOUBLE) AS freight_mult,
@@ -315,12 +315,15 @@ KS = {
     "kd": """
   SELECT feature, month, max(abs(fr - fc)) AS ks_stat, CAST(max(n_ref) AS DOUBLE) AS nr, CAST(max(n_cur) AS DOUBLE) AS nc
   FROM kc GROUP BY feature, month""",
+    # Kolmogorov's distribution in its theta form for all values (the plans use the
+    # alternating series above 1); beyond 20 the p-value is 0 in any case
     "kp": """
   SELECT feature, month, ks_stat, nr, nc,
-         CASE WHEN ks_stat <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 2.0 * list_reduce(
-              list_prepend(0.0, list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(CAST(-2.0 AS DOUBLE) * k * k * (nr * nc / (nr + nc)) * ks_stat * ks_stat))),
+         CASE WHEN ks_stat <= 0 THEN 1.0 WHEN lam > 20 THEN 0.0
+              ELSE greatest(0.0, least(1.0, 1.0 - sqrt(2 * pi()) / lam * list_reduce(
+              list_prepend(0.0, list_transform(range(1, 201), lambda k: exp(-(2 * k - 1) * (2 * k - 1) * pi() * pi() / (8 * lam * lam)))),
               lambda a, b: a + b))) END AS p
-  FROM kd""",
+  FROM (SELECT *, sqrt(nr * nc / (nr + nc)) * ks_stat AS lam FROM kd)""",
 }
 
 _KS_FINAL = f"""
@@ -395,11 +398,11 @@ FROM (SELECT pid AS draw, floor({u_sql('42', '1', 'pid')} * (SELECT count(*) FRO
 JOIN pop p ON d.pid = p.pid""")
 
 ORACLE["psi_matrix"] = with_ctes(_MD, final=f"""
-SELECT feature, month, {snap('psi')} AS psi, {_sev(snap('psi'))} AS severity FROM psil""")
+SELECT feature, month, {snap('psi')} AS psi, {_sev('psi')} AS severity FROM psil""")
 
 ORACLE["psi_wide"] = with_ctes(_MD, final="SELECT feature, " + ", ".join(
     f"max({snap('psi')}) FILTER (WHERE month = {m}) AS psi_m{m}, "
-    f"max({_sev(snap('psi'))}) FILTER (WHERE month = {m}) AS severity_m{m}" for m in range(1, 7))
+    f"max({_sev('psi')}) FILTER (WHERE month = {m}) AS severity_m{m}" for m in range(1, 8))
     + " FROM psil GROUP BY feature")
 
 ORACLE["ks_matrix"] = with_ctes(_MD, KS, final=_KS_FINAL)
@@ -700,7 +703,7 @@ ORACLE["stream_drift"] = with_ctes({
     "lcur": "SELECT CAST(ts AS DATE) AS month, 'value' AS feature, value FROM events WHERE value IS NOT NULL",
     **{k: v for k, v in DRIFT.items() if k not in ("lref", "lcur")},
 }, final=f"""
-SELECT month AS window_day, {snap('psi')} AS psi, {_sev(snap('psi'))} AS severity FROM psil""")
+SELECT month AS window_day, {snap('psi')} AS psi, {_sev('psi')} AS severity FROM psil""")
 
 ORACLE["stream_dedup"] = """
 SELECT event_id AS order_id, epoch_us(ts) AS event_us, event_type, value, user_id FROM events"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -18,7 +19,6 @@ DEFAULT_CONF = {
     # this bound; larger sides fall back to a shuffled join.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.shuffle.partitions": "8",
     # streaming state (label joins hold days of predictions) lives in RocksDB
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,14 +29,20 @@ DEFAULT_CONF = {
 
 def get_spark(master: str | None = None, app: str = "orderpulse",
               conf: dict[str, str] | None = None) -> SparkSession:
-    """Build (or reuse) a session with the defaults above.
+    """Build (or reuse) a session. ``conf`` is set as given; the defaults above
+    only where neither the launcher nor a running session has a value.
 
-    ``master`` is only set when given, so a cluster launcher keeps its own.
+    ``master`` is only set when given, so a cluster launcher keeps its own. The
+    number of shuffle partitions is left to the cluster.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
+    launched, running = SparkConf(), SparkSession.getActiveSession()
+    for k, v in DEFAULT_CONF.items():
+        if not launched.contains(k) and (running is None or running.conf.get(k, None) is None):
+            b = b.config(k, v)
+    for k, v in (conf or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -23,57 +23,7 @@ from orderpulse.operators import validate as val
 EVENT_TS = "event_ts"
 
 
-# --- landing files --------------------------------------------------------
-
-def land_ranges(df: DataFrame, key: str, path: str, n_buckets: int = 8,
-                files_per_range: int | None = None, duplicate_last: bool = False,
-                bounds: tuple[int, int] | None = None) -> int:
-    """Write ``df`` as arriving files: ``n_buckets`` ranges of ``key``, one
-    write per range in range order (file times follow the key, which a
-    watermark needs when the key follows event time), plus an optional
-    second copy of the last range (at-least-once delivery).
-
-    Each range is range-partitioned on ``key`` into ``files_per_range``
-    files written in parallel (default: the input's partitions spread over
-    the ranges), so no task holds more than its share of a range. Returns
-    the files per range; a reader taking ``m * files_per_range`` files per
-    trigger sees ``m`` whole ranges per micro-batch. ``bounds`` (min, max of
-    ``key``) lines the ranges up with another landed table's.
-    """
-    k = files_per_range or max(1, -(-df.rdd.getNumPartitions() // n_buckets))
-    if bounds is None:
-        row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-        bounds = (int(row["lo"]), int(row["hi"]))
-    lo, hi = bounds
-    width = max(1, (hi - lo + n_buckets) // n_buckets)
-
-    def write(part: DataFrame) -> None:
-        # k = 1: the input has at most n_buckets partitions, so a range is
-        # at most one partition's worth and needs no shuffle
-        part = part.coalesce(1) if k == 1 else part.repartitionByRange(k, key)
-        part.write.mode("append").parquet(path)
-
-    for b in range(n_buckets):
-        write(df.where((F.col(key) >= lo + b * width) & (F.col(key) < lo + (b + 1) * width)))
-    if duplicate_last:
-        write(df.where(F.col(key) >= lo + (n_buckets - 1) * width))
-    return k
-
-
-def land_events(events: DataFrame, path: str, n_buckets: int = 8,
-                duplicate_last: bool = False, files_per_range: int | None = None) -> int:
-    """Land the events table as an upstream feed (:func:`land_ranges` on
-    ``order_id``). This simulates a feed for tests and benchmarks; a real
-    deployment points ``readStream`` at the feed's own folder.
-
-    ``order_id = event_id``; ``event_ts = CAST(ts AS TIMESTAMP)`` (watermarks
-    refuse TIMESTAMP_NTZ). Returns the files per range.
-    """
-    ev = events.select(F.col("event_id").alias("order_id"),
-                       F.col("ts").cast("timestamp").alias(EVENT_TS),
-                       "event_type", "value", "user_id")
-    return land_ranges(ev, "order_id", path, n_buckets, files_per_range, duplicate_last)
-
+# --- sources ------------------------------------------------------------------
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = 1) -> DataFrame:
     r = spark.readStream.schema(schema)
@@ -82,11 +32,9 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return r.parquet(path)
 
 
-def run_available_now(query: StreamingQuery, timeout_s: int = 900) -> None:
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError(f"stream {query.name} did not finish in {timeout_s}s")
+def run_available_now(query: StreamingQuery) -> None:
+    """Wait for the end of an available-now run, however long it takes."""
+    query.awaitTermination()
     if query.exception():
         raise RuntimeError(str(query.exception()))
 
@@ -95,9 +43,19 @@ def dropped_late_rows(query: StreamingQuery) -> int:
     """Rows the stateful operators dropped as later than the watermark, summed
     over the query's recent progress reports (kept by Spark per run). For an
     aggregation these are rows after the partial (map-side) aggregation,
-    i.e. late groups per micro-batch, not raw input rows."""
+    i.e. late groups per micro-batch, not raw input rows.
+
+    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates``
+    reports; when that many are held, earlier ones may be gone and the sum
+    would be too small, which is an error."""
     total = 0
-    for p in query.recentProgress:
+    reports = query.recentProgress
+    held = int(SparkSession.getActiveSession().conf.get(
+        "spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(reports) >= held:
+        raise RuntimeError("progress reports were dropped: raise "
+                           "spark.sql.streaming.numRecentProgressUpdates")
+    for p in reports:
         for op in p.get("stateOperators", []) or []:
             total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
     return total
@@ -109,9 +67,10 @@ def _write_batch(df: DataFrame, batch_id: int, path: str) -> None:
      .partitionBy("batch_id").parquet(path))
 
 
-def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Last emitted version of each key from an update-mode batch log."""
-    df = spark.read.parquet(path)
+def latest_per_key(spark: SparkSession, path: str, keys: list[str], schema: str) -> DataFrame:
+    """Last emitted version of each key from an update-mode batch log; the
+    ``schema`` (without batch_id) also reads a log without any row."""
+    df = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
     vals = [c for c in df.columns if c not in keys and c != "batch_id"]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
     return last.select(*keys, "_v.*")
@@ -173,7 +132,7 @@ def stream_drift(src: DataFrame, edges: DataFrame, out: str, checkpoint: str,
     binned = (src.withWatermark(EVENT_TS, watermark)
               .where(F.col(feature).isNotNull())
               .withColumn("feature", F.lit(feature))
-              .join(F.broadcast(e), "feature", "inner")
+              .join(e, "feature", "inner")
               .withColumn("bin", bin_index(F.col(feature).cast("double"), "edges")))
     counts = (binned.groupBy(F.window(EVENT_TS, window).alias("w"), "bin")
               .agg(F.count(F.lit(1)).alias("n"))
@@ -195,7 +154,7 @@ def psi_from_counts(counts: DataFrame, ref_shares: DataFrame, n_bins: int = 10,
          .withColumn("n", F.coalesce("n", F.lit(0)))
          .withColumn("c", F.col("n") / F.sum("n").over(Window.partitionBy("window_start"))
                      + F.lit(eps)))
-    j = c.join(F.broadcast(ref_shares), "bin", "left") \
+    j = c.join(ref_shares, "bin", "left") \
         .withColumn("r", F.coalesce("r_share", F.lit(0.0)) + F.lit(eps))
     return j.groupBy("window_start").agg(
         F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r"))).alias("psi"))

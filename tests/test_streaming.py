@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderpulse.plans import catalog
 from orderpulse.streaming import jobs as st
+from tests.landing import land_events
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_late_rows_dropped_and_counted(spark):
     base = tempfile.mkdtemp(prefix="op-late-")
     ev = catalog._events(spark, SF)
-    st.land_events(ev, f"{base}/landing", 4)
+    land_events(ev, f"{base}/landing", 4)
     # a late delivery: the first day's events arrive after everything else
     first_day = ev.where(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
     n_late = first_day.count()
@@ -27,7 +28,7 @@ def test_late_rows_dropped_and_counted(spark):
     # one row per late (window, event_type) group
     late_groups = first_day.select("event_type").distinct().count()
     assert n_late > 0 and st.dropped_late_rows(q) == late_groups
-    out = st.latest_per_key(spark, f"{base}/out", ["window_start", "event_type"])
+    out = st.latest_per_key(spark, f"{base}/out", ["window_start", "event_type"], catalog.WINDOW_SCHEMA)
     assert out.agg(F.sum("n")).first()[0] == ev.count()  # late copies not counted twice
 
 
@@ -47,12 +48,22 @@ def test_landing_in_parallel_files_keeps_every_row(spark):
     whole ranges per trigger loses and duplicates nothing."""
     base = tempfile.mkdtemp(prefix="op-land-")
     ev = catalog._events(spark, "/root/testdata/sf0.01")
-    k = st.land_events(ev, f"{base}/landing", 4, duplicate_last=True, files_per_range=3)
+    k = 3
+    land_events(ev, f"{base}/landing", 4, files=k, duplicate_last=True)
     files = [f for f in os.listdir(f"{base}/landing") if f.endswith(".parquet")]
-    assert k == 3 and len(files) == 5 * k
+    assert len(files) == 5 * k
     src = st.file_stream(spark, f"{base}/landing", catalog.EVENT_SCHEMA, 2 * k)
     q = st.stream_dedup(src, f"{base}/out", f"{base}/_ckpt")
     st.run_available_now(q)
     assert len(q.recentProgress) >= 3  # 15 files, 6 per trigger
     out = spark.read.parquet(f"{base}/out")
     assert out.count() == ev.count() == out.select("order_id").distinct().count()
+
+
+def test_empty_quarantine_reads_as_no_rows(spark):
+    base = tempfile.mkdtemp(prefix="op-quar-")
+    empty = spark.createDataFrame([], catalog.QUARANTINE_SCHEMA)
+    st._write_batch(empty, 0, base)
+    assert catalog.read_sink(spark, base, catalog.QUARANTINE_SCHEMA).count() == 0
+    log = st.latest_per_key(spark, base, ["order_id"], catalog.QUARANTINE_SCHEMA)
+    assert log.count() == 0
