@@ -123,16 +123,16 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.codes = Codes([samples[k] for k in self.langs])
-        tables, at, self.roots = [], 0, []
+        tables, at, self.idle = [], 0, []
         for lang in self.langs:
             step = suffix_automaton(self.codes.encode(samples[lang]))
-            root = step[0]
-            # a move that fails ends the phrase and starts one at the root; a symbol
-            # the language never shows is a phrase by itself
-            restart = np.where(root >= 0, root, 0) + at + (1 << 30)
-            tables.append(np.where(step >= 0, step + at, restart[None, :]).astype(np.int32))
-            self.roots.append(at)
-            at += len(step)
+            idle = at + len(step)  # between phrases: every symbol starts one
+            # a move that fails ends the phrase, and the symbol starts the next one; a
+            # symbol the language never shows is a phrase by itself
+            start = (np.where(step[0] >= 0, step[0] + at, idle) + (1 << 30)).astype(np.int32)
+            tables += [np.where(step >= 0, step + at, start[None, :]).astype(np.int32), start[None, :]]
+            self.idle.append(idle)
+            at = idle + 1
         self.moves = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -148,8 +148,8 @@ class CrossParser:
         for j, i in enumerate(order):
             grid[:size[i], j] = lanes[i]
         live = np.searchsorted(-size[order], -np.arange(LANE), "left")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(lanes), 1)
-        count = np.ones((k, len(lanes)), np.int32)
+        state = np.repeat(np.array(self.idle, np.int32)[:, None], len(lanes), 1)
+        count = np.zeros((k, len(lanes)), np.int32)
         for pos in range(LANE):
             n = int(live[pos])
             if not n:

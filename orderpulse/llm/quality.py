@@ -219,15 +219,14 @@ def judge(docs: DataFrame, quantile: float = 1 - 1e-7, min_rows: int = 50) -> Da
     everyone = own.withColumn("glang", F.lit("*")).withColumn("gsource", F.lit("*"))
     model = stage(fit(own.unionByName(everyone)), "mcd")
     use = [c for c in model.columns if c not in ("glang", "gsource")]
-    rest = model.where(F.col("glang") == "*").select("glang", *(F.col(c).alias(f"all_{c}") for c in use))
-    # every group of the table, with its own model row or the one over all documents
-    groups = counts.groupBy("lang", "source").count().select(
-        "lang", "source", F.lit("*").alias("everyone"))
-    ours = model.where((F.col("glang") != "*") & (F.col("rows") >= min_rows))
-    groups = (groups.join(ours, (F.concat(F.lit("="), "lang") == ours["glang"])
-                          & (F.concat(F.lit("="), "source") == ours["gsource"]), "left")
-              .drop("glang", "gsource").join(rest, F.col("everyone") == rest["glang"], "left")
-              .select("lang", "source", *(F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in use)))
+    # every group of the table names its own model row, or the one over all documents
+    ours = model.where((F.col("glang") != "*") & (F.col("rows") >= min_rows)).select("glang", "gsource")
+    groups = counts.groupBy("lang", "source").count()
+    groups = groups.join(ours, (F.concat(F.lit("="), "lang") == ours["glang"])
+                         & (F.concat(F.lit("="), "source") == ours["gsource"]), "left").select(
+        "lang", "source", F.coalesce("glang", F.lit("*")).alias("glang"),
+        F.when(F.col("glang").isNull(), "*").otherwise(F.col("gsource")).alias("gsource"))
+    groups = groups.join(model, ["glang", "gsource"]).select("lang", "source", *use)
     joined = counts.alias("c").join(
         groups.alias("g"), F.col("c.lang").eqNullSafe(F.col("g.lang"))
         & F.col("c.source").eqNullSafe(F.col("g.source")), "left").select("c.*", *use)
