@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderpulse.llm.common import stage
 
@@ -220,4 +221,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 [*names, "score", "predicted"])
 
     kept = docs.select(*names)
-    return kept.mapInArrow(run, kept.schema.add("score", "double").add("predicted", "int"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
