@@ -640,7 +640,8 @@ def _events(spark, sf_dir) -> DataFrame:
 def event_stream(spark, sf_dir) -> DataFrame:
     """The events table as a stream (``order_id = event_id``; watermarks refuse
     TIMESTAMP_NTZ)."""
-    raw = st.file_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", _events(spark, sf_dir).schema, None)
+    # a pattern, because a stream takes a folder or a pattern but not the path of one file
+    raw = st.file_stream(spark, f"{sf_dir.rstrip('/')}/event[s].parquet", _events(spark, sf_dir).schema, None)
     return raw.select(F.col("event_id").alias("order_id"), F.col("ts").cast("timestamp").alias(st.EVENT_TS),
                       "event_type", "value", "user_id")
 

@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from orderpulse.plans.catalog import QUERIES
+from orderpulse.plans.oracle import ORACLE
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
@@ -26,7 +28,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns
@@ -43,13 +45,14 @@ def test_matches_oracle(spark, con, name):
     assert not bad, bad[:2]
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
 def test_rows_only(spark, name):
     assert E.queries()[name](spark, SF).count() > 0
 
 
 def test_every_query_has_oracle_or_is_ml():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(QUERIES) - set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
     assert missing <= {"train_forest", "train_boosting", "score_batch", "run_leaderboard",
                        "score_text", "monthly_performance_model"}
 
