@@ -186,6 +186,13 @@ def q_split_stratified(spark, sf_dir):
     return sampling.stratified_split(f, LABEL, KEY, 0.2, SEED)
 
 
+@register("split_exact")
+def q_split_exact(spark, sf_dir):
+    """Exact stratified split: ceil(0.2 n) test rows of every class."""
+    f = features(spark, sf_dir).select(KEY, LABEL)
+    return sampling.stratified_split(f, LABEL, KEY, 0.2, SEED, exact=True)
+
+
 @register("bootstrap_sample")
 def q_bootstrap_sample(spark, sf_dir):
     """N draws with replacement from the test split (N = its size)."""
@@ -766,6 +773,28 @@ def q_text_sample_features(spark, sf_dir):
                          "avg_freight_value"])
 
 
+@register("sample_feature_rows")
+def q_sample_feature_rows(spark, sf_dir):
+    """Feature rows of the orders whose reviews are in the 500-review sample
+    (semi join on the sampled keys)."""
+    keys = cleaned_reviews(spark, sf_dir, with_text=False)
+    pick = sampling.sample_n(keys.select("review_id", KEY), 500, "review_id", SEED)
+    f = features(spark, sf_dir).join(pick, KEY, "left_semi")
+    return snapped(f.select(KEY, LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES),
+                   ["total_order_value", "avg_product_price", "total_freight_value", "avg_freight_value"])
+
+
+@register("comment_share")
+def q_comment_share(spark, sf_dir):
+    """Reviews, reviews with a comment, and their share."""
+    docs = read_driver_tables(spark, sf_dir, ["documents"])["documents"]
+    refs = standin.comment_refs(tables(spark, sf_dir)["order_reviews"], docs)
+    has = refs.join(docs.select("doc_id", F.col("text").isNotNull().alias("_t")), "doc_id", "left")
+    n = F.count_if((F.col("kind") == "ws") | ((F.col("kind") == "doc") & F.coalesce("_t", F.lit(False))))
+    out = has.agg(F.count(F.lit(1)).alias("n_reviews"), n.alias("n_comments"))
+    return out.withColumn("comment_share", snap(F.col("n_comments") / F.col("n_reviews")))
+
+
 @register("monthly_performance_model")
 def q_monthly_performance_model(spark, sf_dir):
     """Monthly accuracy / F1 / AUC of the trained boosting model on the

@@ -387,6 +387,13 @@ SELECT order_id, is_positive_review,
        CASE WHEN {u_sql('42', 'order_id')} < 0.2 THEN 'test' ELSE 'train' END AS split
 FROM feat""")
 
+ORACLE["split_exact"] = with_ctes(_SF, final=f"""
+SELECT order_id, is_positive_review,
+       CASE WHEN row_number() OVER (PARTITION BY is_positive_review ORDER BY {md5_sql('42', 'order_id')}, order_id)
+                 <= ceil(count(*) OVER (PARTITION BY is_positive_review) * CAST(0.2 AS DOUBLE))
+            THEN 'test' ELSE 'train' END AS split
+FROM feat""")
+
 ORACLE["bootstrap_sample"] = with_ctes(_SF, {
     "pop": f"""
   SELECT order_id, is_positive_review,
@@ -746,6 +753,23 @@ SELECT s.review_id, s.order_id, CAST(s.review_score >= 4 AS INT) AS actual_binar
 FROM smp s LEFT JOIN feat f ON s.order_id = f.order_id""")
 
 
+ORACLE["sample_feature_rows"] = with_ctes(_SF, TEXT, {
+    "smp": f"""
+  SELECT review_id, order_id FROM cln
+  ORDER BY {md5_sql('42', 'review_id')}, review_id LIMIT 500""",
+}, final=f"""
+SELECT f.order_id, f.is_positive_review, f.delivery_days, f.delivery_vs_estimated, f.number_of_items,
+       {snap('f.total_order_value')} AS total_order_value, {snap('f.avg_product_price')} AS avg_product_price,
+       f.max_product_price, f.min_product_price, {snap('f.total_freight_value')} AS total_freight_value,
+       {snap('f.avg_freight_value')} AS avg_freight_value, f.max_freight_value, f.min_product_photos_qty,
+       f.product_category, f.seller_state, f.payment_type
+FROM feat f WHERE f.order_id IN (SELECT order_id FROM smp)""")
+
+ORACLE["comment_share"] = with_ctes(STANDIN, final=f"""
+SELECT CAST(count(*) AS BIGINT) AS n_reviews, CAST(count(review_comment_message) AS BIGINT) AS n_comments,
+       {snap('count(review_comment_message) / CAST(count(*) AS DOUBLE)')} AS comment_share FROM rv""")
+
+
 _JREC_NO_MALFORMED = _JREC[:_JREC.index("WHEN 12 THEN")] + _JREC[_JREC.index("ELSE "):]
 
 ORACLE["validate_json_batches"] = with_ctes(_SF, VALIDATE, {
