@@ -6,6 +6,7 @@ Every operator takes and returns lazy DataFrames; the layout is
 validation, ML), ``plans`` (the registered queries) and ``streaming``.
 """
 
+# The model's feature, label and key names, in schema order.
 NUMERIC_FEATURES = [
     "delivery_days", "delivery_vs_estimated", "number_of_items",
     "total_order_value", "avg_product_price", "max_product_price",

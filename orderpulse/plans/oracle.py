@@ -8,6 +8,9 @@ named CTEs so each one states only its own final step.
 
 from __future__ import annotations
 
+from orderpulse import CATEGORICAL_FEATURES as CATEGORICAL
+from orderpulse import NUMERIC_FEATURES as NUMERIC
+
 # --- stand-in tables (FIXTURES.md section 2) -------------------------------
 
 STANDIN = {
@@ -114,10 +117,6 @@ FEATURES = {
   LEFT JOIN ph ON o.order_id = ph.order_id""",
 }
 
-NUMERIC = ["delivery_days", "delivery_vs_estimated", "number_of_items", "total_order_value",
-           "avg_product_price", "max_product_price", "min_product_price", "total_freight_value",
-           "avg_freight_value", "max_freight_value", "min_product_photos_qty"]
-CATEGORICAL = ["product_category", "seller_state", "payment_type"]
 
 
 def snap(expr: str, digits: int = 6) -> str:
