@@ -101,15 +101,21 @@ def _best(name: np.ndarray, sim: np.ndarray, k: int) -> pd.DataFrame:
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
     """(src, near): the ``k`` best (sim, dst) of each vector."""
-    return edges.groupBy("src").agg(
+    return _top(edges, ["src"], k)
+
+
+def _top(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
+    return edges.groupBy(*keys).agg(
         F.slice(F.sort_array(F.collect_set(F.struct("sim", "dst")), asc=False), 1, k).alias("near"))
 
 
 def _refine(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     """Edges found by comparing the neighbours of every vector with each other."""
     forth = lists.select("src", F.explode("near").alias("e")).select("src", "e.dst", "e.sim")
-    back = _lists(forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"), k).select(
-        "src", F.explode("near").alias("e")).select("src", "e.dst", "e.sim")
+    # a vector may be named by very many: the best of each of 64 parts first
+    back = forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim",
+                        F.pmod(F.xxhash64("src"), F.lit(64)).alias("part"))
+    back = _flat(_lists(_flat(_top(back, ["src", "part"], k)), k))
     around = forth.union(back).select("src", "dst").distinct()
     worst = lists.select(F.col("src").alias("node"), F.when(F.size("near") < k, -2.0).otherwise(
         F.element_at("near", -1)["sim"]).alias("worst"))
