@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orderpulse.session import ensure_checkpoint_dir
 
@@ -52,6 +53,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A staged join side, broadcast when its counted rows (of a few numbers each)
+    stay within ``rows``; beyond that the planner joins it by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that a piece holds about SLICE_BYTES of ``column``."""
     for batch in batches:

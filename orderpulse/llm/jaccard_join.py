@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import Words, mix, slices, stage, text_buffer
+from orderpulse.llm.common import Words, mix, slices, small_side, stage, text_buffer
 from orderpulse.llm.components import components
 
 FREQUENT = 64  # sets: a token or signature of more is frequent
@@ -280,7 +280,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int, rule: Rule) -> DataFrame
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(family.select("node")).distinct()
     wanted = stage(wanted.join(sets, "node").select("node", "rep"), "wanted")
     key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    full = stage(_shingles(docs.join(wanted, key == F.col("rep")), words), "sets")
+    full = stage(_shingles(docs.join(small_side(wanted), key == F.col("rep")), words), "sets")
     a = full.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     b = full.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
