@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orderpulse.llm import jaccard_join, packing, secret_scan, substring_dedup, toxicity
-from orderpulse.llm.common import stage, table
+from orderpulse.llm.common import ship, stage, table
 from orderpulse.llm.queries import toxicity_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,21 +27,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8)."""
+    ship(spark)
     return jaccard_join.dedup(docs, words=5, num=8, den=10)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that occur earlier."""
+    ship(spark)
     return substring_dedup.dedup(docs, min_words=50)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with the secrets replaced by a mark."""
+    ship(spark)
     return secret_scan.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

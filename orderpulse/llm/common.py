@@ -7,8 +7,11 @@ whole Arrow slice at once.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,21 @@ _INV = pow(_BASE, -1, 1 << 64)
 _POW: dict[int, np.ndarray] = {}
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once per application
+    (nothing to do when it was submitted as an archive)."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if sc.applicationId not in _SHIPPED and root.is_dir():
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='orderpulse-')}/orderpulse", "zip", root, "orderpulse")
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
