@@ -16,6 +16,7 @@ ordinary text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,13 +53,20 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _different(texts: list[str], gram: int = 5) -> list[str]:
-    """The texts without those that mostly repeat earlier ones (copies would count as support)."""
+def _different(texts: list[str], gram: int = 5, part: int = 8) -> list[str]:
+    """The texts without those that mostly repeat earlier ones (copies would count as support).
+
+    Judged by the word runs that start with an eighth of the words (by hash).
+    """
+    first: dict[str, bool] = {}
     seen: set[int] = set()
     out = []
     for t in texts:
         w = _words(t)
-        grams = {hash(tuple(w[i:i + gram])) for i in range(max(1, len(w) - gram + 1))}
+        for x in set(w):
+            if x not in first:
+                first[x] = zlib.crc32(x.encode()) % part == 0
+        grams = {hash(tuple(w[i:i + gram])) for i in range(max(1, len(w) - gram + 1)) if w and first[w[i]]}
         if 2 * len(grams & seen) <= len(grams):
             out.append(t)
         seen |= grams
