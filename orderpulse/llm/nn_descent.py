@@ -8,6 +8,9 @@ best. The edges at or above the threshold give families (connected components).
 Where lists are saturated (all ``k`` neighbours are near-duplicates) a list
 cannot name them all, so lists are enlarged to whole families: the members of a
 family are compared exactly, in pairs of blocks, which return counts, not pairs.
+A link that both lists leave out may lead to another family. So the vectors with
+saturated lists are searched again, each for its best outside its own family;
+families that meet become one, until such a search finds no link.
 
 The recall is audited: a sample of vectors is compared with all rows, and the
 share of their true links inside families is measured. Below the target, more
@@ -63,7 +66,10 @@ def vector_nodes(vectors: DataFrame) -> DataFrame:
 
 
 def _leaves(nodes: DataFrame, bits: int, trees: range, k: int) -> DataFrame:
-    """Edges between the nearest vectors of equal sides of ``bits`` random planes, per tree."""
+    """Edges between the nearest vectors of equal sides of ``bits`` random planes, per tree.
+
+    Vectors of one ``family`` are not compared (the vector itself, where each is its own).
+    """
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,30 +79,32 @@ def _leaves(nodes: DataFrame, bits: int, trees: range, k: int) -> DataFrame:
                     side = (v @ plane > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(v), np.int64)
                     part = b.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(v), dim * 1000 + tree, np.int64)), pa.array(side.astype(np.int64)),
-                         part.column(0), part.column(1)], ["tree", "side", "node", "v"])
+                        [pa.array(np.full(len(v), dim * 100_000 + tree, np.int64)), pa.array(side.astype(np.int64)),
+                         part.column(0), part.column(1), part.column(2)], ["tree", "side", "node", "v", "family"])
 
-    placed = nodes.select("node", "v").mapInArrow(sides, "tree long, side long, node long, v array<double>")
+    placed = nodes.select("node", "v", "family").mapInArrow(
+        sides, "tree long, side long, node long, v array<double>, family long")
     tally = placed.groupBy("tree", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = placed.join(tally, ["tree", "side"]).withColumn(
         "block", F.pmod(F.xxhash64("node", "tree"), F.col("blocks")))
 
     def nearest(f: pd.DataFrame) -> pd.DataFrame:
         v = _unit(np.concatenate(f["v"].to_numpy()), len(f["v"].iloc[0]))
-        return _best(f["node"].to_numpy(), v @ v.T, k)
+        return _best(f["node"].to_numpy(), f["family"].to_numpy(), v @ v.T, k)
 
     return placed.groupBy("tree", "side", "block").applyInPandas(nearest, _EDGE)
 
 
-def _best(name: np.ndarray, sim: np.ndarray, k: int) -> pd.DataFrame:
-    """Each row's ``k`` best columns, itself left out, as edges."""
-    np.fill_diagonal(sim, -2)
+def _best(name: np.ndarray, family: np.ndarray, sim: np.ndarray, k: int) -> pd.DataFrame:
+    """Each row's ``k`` best columns, those of its own family left out, as edges."""
+    sim[family[:, None] == family[None, :]] = -2
     take = min(k, len(name) - 1)
     if take < 1:
         return pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "sim": np.zeros(0)})
     top = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-    return pd.DataFrame({"src": np.repeat(name, take), "dst": name[top.ravel()],
+    best = pd.DataFrame({"src": np.repeat(name, take), "dst": name[top.ravel()],
                          "sim": np.take_along_axis(sim, top, 1).ravel()})
+    return best[best["sim"] > -2]
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
@@ -109,19 +117,23 @@ def _top(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
         F.slice(F.sort_array(F.collect_set(F.struct("sim", "dst")), asc=False), 1, k).alias("near"))
 
 
-def _refine(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Edges found by comparing the neighbours of every vector with each other."""
-    forth = lists.select("src", F.explode("near").alias("e")).select("src", "e.dst", "e.sim")
+def _refine(nodes: DataFrame, lists: DataFrame, k: int, inner: DataFrame | None = None) -> DataFrame:
+    """Edges found by comparing the neighbours of every vector with each other, those of
+    ``inner`` lists included, except vectors of one family."""
+    forth = _flat(lists)
     # a vector may be named by very many: the best of each of 64 parts first
     back = forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim",
                         F.pmod(F.xxhash64("src"), F.lit(64)).alias("part"))
     back = _flat(_lists(_flat(_top(back, ["src", "part"], k)), k))
-    around = forth.union(back).select("src", "dst").distinct()
+    around = forth.union(back)
+    if inner is not None:
+        around = around.union(_flat(inner))
+    around = around.select("src", "dst").distinct()
     worst = lists.select(F.col("src").alias("node"), F.when(F.size("near") < k, -2.0).otherwise(
         F.element_at("near", -1)["sim"]).alias("worst"))
-    known = nodes.select("node", "v").join(worst, "node")
+    known = nodes.select("node", "family", "v").join(worst, "node", "left").fillna(-2.0, ["worst"])
     local = around.join(known, around["dst"] == known["node"]).groupBy("src").agg(
-        F.collect_list(F.struct("node", "worst", "v")).alias("n"))
+        F.collect_list(F.struct("node", "worst", "v", "family")).alias("n"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +144,8 @@ def _refine(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
                 v = n.field("v")
                 v = _unit(v.flatten().to_numpy(), len(v[0]))
                 sim = v @ v.T
-                np.fill_diagonal(sim, -3)
+                family = n.field("family").to_numpy()
+                sim[family[:, None] == family[None, :]] = -3
                 i, j = np.nonzero(sim > worst[:, None])
                 src.append(name[i])
                 dst.append(name[j])
@@ -196,6 +209,46 @@ def _family_links(nodes: DataFrame, families: DataFrame, threshold: float) -> Da
         F.sum("linked").alias("linked"))
 
 
+def _bits(total: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, total) / LEAF))))
+
+
+def _near(lists: DataFrame, threshold: float) -> DataFrame:
+    return _flat(lists).where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+
+
+def _joined(families: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, family) when the families at both ends of each link (a, b) become one."""
+    if families is not None:
+        links = links.union(families.select("node", "family"))
+    return stage(components(links).withColumnRenamed("root", "family"), "families")
+
+
+def _outside(nodes: DataFrame, lists: DataFrame, families: DataFrame, threshold: float, k: int, trees: int,
+             rounds: int, first_tree: int) -> DataFrame:
+    """Families joined by links that saturated lists leave out.
+
+    A link is left out only when it is in neither list, so both ends are
+    saturated. Each search keeps every such vector's ``k`` best of other
+    families; it ends when none of them is a link or one family is left.
+    """
+    full = lists.where((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold))
+    full = stage(full.select(F.col("src").alias("node")), "saturated")
+    inner = lists.join(full, lists["src"] == full["node"], "left_semi")
+    while True:
+        held = stage(nodes.select("node", "v").join(full, "node").join(families, "node"), "outside-vectors")
+        count, several = held.agg(F.count(F.lit(1)), F.min("family") != F.max("family")).first()
+        if not several:
+            return families
+        found = stage(_lists(_leaves(held, _bits(count), range(first_tree, first_tree + trees), k), k), "outside-lists")
+        for _ in range(rounds):
+            found = stage(_lists(_refine(held, found, k, inner).unionByName(_flat(found)), k), "outside-lists")
+        links = _near(found, threshold)
+        if links.isEmpty():
+            return families
+        families, first_tree = _joined(families, links), first_tree + trees
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 12, trees: int = 6, rounds: int = 2,
                     target: float = 0.99, sample: int = 200, attempts: int = 4) -> DataFrame:
     """vec_id, n_links, component_id and kept per row of ``vectors`` (vec_id, embedding).
@@ -209,18 +262,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 12, tre
     """
     nodes = stage(vector_nodes(vectors), "vectors")
     total = nodes.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, total) / LEAF))))
+    alone = nodes.withColumn("family", F.col("node"))
     lists, families = None, None
     for attempt in range(attempts):
-        fresh = _leaves(nodes, bits, range(attempt * trees, (attempt + 1) * trees), k)
+        fresh = _leaves(alone, _bits(total), range(attempt * trees, (attempt + 1) * trees), k)
         if lists is not None:
             fresh = fresh.unionByName(_flat(lists))
         lists = stage(_lists(fresh, k), "lists")
         for _ in range(rounds):
-            lists = stage(_lists(_refine(nodes, lists, k).unionByName(_flat(lists)), k), "lists")
-        near = _flat(lists).where(F.col("sim") >= threshold)
-        families = stage(components(near.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-                         .withColumnRenamed("root", "family"), "families")
+            lists = stage(_lists(_refine(alone, lists, k).unionByName(_flat(lists)), k), "lists")
+        families = _joined(families, _near(lists, threshold))
+        families = _outside(nodes, lists, families, threshold, k, trees, rounds, trees * attempts)
         if _audit(nodes, families, threshold, sample, total) >= target:
             break
     links = _family_links(nodes, families, threshold)

@@ -50,6 +50,25 @@ def test_equals_brute_force(spark, monkeypatch):
     assert all(got[i] == truth[i] for i in truth if i >= 1000)
 
 
+def test_saturated_groups_keep_the_links_between_them(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 32)
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.sqrt(v @ v)
+    rows = [rng.standard_normal(24) for _ in range(300)]
+    for sizes in [(30, 30), (20, 25, 40)]:
+        c = unit(rng.standard_normal(24))
+        for size in sizes:  # inside about 0.99, to the group before about 0.93
+            rows += [c + 0.02 * rng.standard_normal(24) for _ in range(size)]
+            off = rng.standard_normal(24)
+            c = 0.94 * c + (1 - 0.94**2) ** 0.5 * unit(off - (off @ c) * c)
+    rows = [(i, v.tolist()) for i, v in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in N.near_duplicates(df.repartition(4)).collect()}
+    truth = brute(rows, 0.9)
+    assert len({truth[i][1] for i in range(300, 360)}) == 1 and min(truth[i][0] for i in range(300, 360)) > 30
+    assert got == truth
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert N.near_duplicates(df.where("false")).collect() == []
