@@ -12,9 +12,13 @@ A link that both lists leave out may lead to another family. So the vectors with
 saturated lists are searched again, each for its best outside its own family;
 families that meet become one, until such a search finds no link.
 
-The recall is audited: a sample of vectors is compared with all rows, and the
-share of their true links inside families is measured. Below the target, more
-leaves and another refinement follow. Equal vectors are one node throughout.
+The recall is audited: sampled vectors are compared with all rows, and for each
+that has links the share of them inside its family is measured. Vectors with at
+most ``k`` links and those with more are averaged separately, and the sample
+grows until it holds enough of the first. Below the target, more leaves and
+another refinement follow; if that does not help, all vectors are compared.
+Links that a comparison finds between families join them. Equal vectors are one
+node throughout.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from orderpulse.llm.components import components
 
 LEAF = 64  # vectors of an average leaf
 BLOCK = 512  # vectors of a block in a leaf or family
+CHUNK = 2048  # vectors compared with all rows in one pass of the audit
 _EDGE = "src long, dst long, sim double"
 
 
@@ -156,33 +161,72 @@ def _refine(nodes: DataFrame, lists: DataFrame, k: int, inner: DataFrame | None
     return local.select("n").mapInArrow(compare, _EDGE)
 
 
-def _audit(nodes: DataFrame, families: DataFrame, threshold: float, sample: int, total: int) -> float:
-    """Share of the true links of sampled vectors that lie inside a family."""
-    held = nodes.join(families, "node", "left").select(
-        "node", F.coalesce("family", "node").alias("family"), "v")
-    unit = F.xxhash64("node", F.lit(3)) / F.lit(2.0**64) + 0.5
-    queries = [(r["node"], r["family"], r["v"]) for r in held.where(unit < sample / max(1, total)).collect()]
-    if not queries:
-        return 1.0
-    shipped = nodes.sparkSession.sparkContext.broadcast(queries)
+def _against_all(held: DataFrame, queries: list[tuple], threshold: float) -> DataFrame:
+    """(a, b, true, inside): links of each query a, all and inside its family (b null), and
+    families a and b that a link joins."""
+    shipped = held.sparkSession.sparkContext.broadcast(queries)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shipped.value
-        for b in batches:
-            true = inside = 0
-            for dim, (rows, v) in _vectors(b.column(2)).items():
-                mine = [x for x in q if len(x[2]) == dim]
-                if not mine:
-                    continue
-                near = v @ _unit(np.array([x[2] for x in mine]).ravel(), dim).T >= threshold
-                name, fam = (b.column(i).to_numpy()[rows] for i in (0, 1))
-                near &= name[:, None] != np.array([x[0] for x in mine])[None, :]
-                true += int(near.sum())
-                inside += int((near & (fam[:, None] == np.array([x[1] for x in mine])[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([inside])], ["true", "inside"])
-
-    got = held.mapInArrow(count, "true long, inside long").agg(F.sum("true"), F.sum("inside")).first()
-    return got[1] / got[0] if got[0] else 1.0
+        by_dim: dict[int, list] = {}
+        for q in shipped.value:
+            by_dim.setdefault(len(q[2]), []).append(q)
+        unit = {d: (np.array([x[0] for x in q]), np.array([x[1] for x in q]),
+                    _unit(np.array([x[2] for x in q]).ravel(), d)) for d, q in by_dim.items()}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(lo, CHUNK)
+                for dim, (rows, v) in _vectors(b.column(2)).items():
+                    if dim not in unit:
+                        continue
+                    q_name, q_family, q = unit[dim]
+                    name, family = (b.column(i).to_numpy()[rows] for i in (0, 1))
+                    r, c = np.nonzero(v @ q.T >= threshold)
+                    other = name[r] != q_name[c]
+                    r, c = r[other], c[other]
+                    same = family[r] == q_family[c]
+                    true, inside = (np.bincount(x, minlength=len(q)) for x in (c, c[same]))
+                    at = np.flatnonzero(true)
+                    pairs = np.unique(np.stack([q_family[c[~same]], family[r[~same]]], 1), axis=0)
+                    zero = np.zeros(len(pairs), np.int64)
+                    tally = np.arange(len(at) + len(pairs)) < len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([q_name[at], pairs[:, 0]])),
+                         pa.array(np.concatenate([q_name[at], pairs[:, 1]]), mask=tally),
+                         pa.array(np.concatenate([true[at], zero])), pa.array(np.concatenate([inside[at], zero]))],
+                        ["a", "b", "true", "inside"])
+
+    return stage(held.mapInArrow(count, "a long, b long, true long, inside long"), "audit")
+
+
+def _audit(nodes: DataFrame, families: DataFrame, threshold: float, k: int, sample: int, linked: float,
+           total: int) -> tuple[float, DataFrame, bool]:
+    """(recall, families, whole): the recall before the links found here joined families,
+    and whether all vectors were compared, so that no link is missing.
+
+    The sample starts with about ``sample`` vectors and grows until ``linked`` of
+    them have 1 to ``k`` links, or to the whole table.
+    """
+    held = stage(nodes.join(families, "node", "left").select(
+        "node", F.coalesce("family", "node").alias("family"), "v"), "audited")
+    unit = F.xxhash64("node", F.lit(3)) / F.lit(2.0**64) + 0.5
+    lo, width, shares, met = 0.0, sample / max(1, total), {True: [], False: []}, None
+    while lo < 1 and len(shares[True]) < linked:
+        hi = lo + min(width, CHUNK / max(1, total))
+        hi = hi if hi < 1 else 1.0
+        part = (unit >= lo) & ((unit < hi) | F.lit(hi == 1))
+        queries = [(r["node"], r["family"], r["v"]) for r in held.where(part).collect()]
+        lo, width = hi, 4 * width
+        if not queries:
+            continue
+        got = _against_all(held, queries, threshold)
+        for r in got.where("b is null").groupBy("a").agg(F.sum("true"), F.sum("inside")).collect():
+            shares[r[1] <= k].append(r[2] / r[1])
+        pairs = got.where("b is not null").select("a", "b")
+        met = pairs if met is None else met.union(pairs)
+    recall = min((float(np.mean(x)) for x in shares.values() if x), default=1.0)
+    if met is not None and recall < 1:
+        families = _joined(families, met.distinct())
+    return recall, families, lo >= 1
 
 
 def _family_links(nodes: DataFrame, families: DataFrame, threshold: float) -> DataFrame:
@@ -250,15 +294,17 @@ def _outside(nodes: DataFrame, lists: DataFrame, families: DataFrame, threshold:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 12, trees: int = 6, rounds: int = 2,
-                    target: float = 0.99, sample: int = 200, attempts: int = 4) -> DataFrame:
+                    target: float = 0.99, sample: int = 200, attempts: int = 4, linked: int = 100) -> DataFrame:
     """vec_id, n_links, component_id and kept per row of ``vectors`` (vec_id, embedding).
 
     Vectors of one length are compared by cosine in double precision. Vectors
     that are null, empty, zero or hold null or non-finite values link with
     nothing. Equal rows count as links of each other. The component is the least
     id reached by links, null where all ids are null. An empty table gives an
-    empty table; extra columns are ignored. At most ``attempts`` graphs of
-    ``trees`` trees are built until the audited recall reaches ``target``.
+    empty table; extra columns are ignored. Up to ``attempts`` graphs of ``trees``
+    trees are built until the audited recall reaches ``target``; if none does, every
+    vector is compared with all rows. The audit wants ``linked`` vectors with 1 to
+    ``k`` links: a table that holds fewer is compared wholly, too.
     """
     nodes = stage(vector_nodes(vectors), "vectors")
     total = nodes.count()
@@ -273,8 +319,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 12, tre
             lists = stage(_lists(_refine(alone, lists, k).unionByName(_flat(lists)), k), "lists")
         families = _joined(families, _near(lists, threshold))
         families = _outside(nodes, lists, families, threshold, k, trees, rounds, trees * attempts)
-        if _audit(nodes, families, threshold, sample, total) >= target:
+        recall, families, whole = _audit(nodes, families, threshold, k, sample, linked, total)
+        if recall >= target or whole:
             break
+    else:
+        families = _audit(nodes, families, threshold, k, CHUNK, float("inf"), total)[1]
     links = _family_links(nodes, families, threshold)
     least = families.join(nodes, "node").groupBy("family").agg(F.min("rep").alias("component"))
     named = stage(nodes.join(families.join(least, "family"), "node", "left").join(links, "node", "left").select(

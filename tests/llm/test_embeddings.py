@@ -69,6 +69,32 @@ def test_saturated_groups_keep_the_links_between_them(spark, monkeypatch):
     assert got == truth
 
 
+def test_pairs_missed_beside_a_large_family_are_found(spark, monkeypatch):
+    """Search that finds nothing but the large family: the audit must see it and the result be whole."""
+    monkeypatch.setattr(N, "CHUNK", 64, raising=False)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    rows = [(centre + 0.05 * rng.standard_normal(16)).tolist() for _ in range(120)]
+    for _ in range(60):
+        v = rng.standard_normal(16)
+        rows += [v.tolist(), (v + 0.05 * rng.standard_normal(16)).tolist()]
+    rows = list(enumerate(rows))
+    large = {tuple(v) for _, v in rows[:120]}
+    search = N._lists
+
+    def blind(edges, k):
+        nodes = edges.sparkSession.createDataFrame([(list(map(float, v)),) for v in large], "embedding array<double>")
+        seen = N.vector_nodes(nodes.withColumn("vec_id", N.F.lit(0))).select(N.F.col("node").alias("src"))
+        return search(edges, k).join(seen, "src", "left_semi")
+
+    monkeypatch.setattr(N, "_lists", blind)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for more in ({}, {"attempts": 1, "linked": 20, "sample": 40}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in
+               N.near_duplicates(df.repartition(4), trees=1, rounds=0, **more).collect()}
+        assert got == brute(rows, 0.9)
+
+
 def test_empty_and_single(spark):
     df = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert N.near_duplicates(df.where("false")).collect() == []
