@@ -66,6 +66,24 @@ def test_outliers_go_and_ordinary_text_stays(spark):
     assert all(r["base_failed"] <= (not r["kept"]) for r in got)
 
 
+def test_each_repeat_statistic_rejects_by_itself(spark):
+    rng = random.Random(6)
+    lines = ["alpha beta gamma", "delta epsilon", "zeta eta theta iota", "kappa lambda mu"]
+    odd = []
+    for d in range(20):  # every line after the first 4 repeats; a change of order keeps most windows apart
+        text, last = [], None
+        fresh = [" ".join(f"w{d}x{i}y{j}" for j in range(5)) for i in range(12)]
+        for i in range(24):
+            text.append(fresh[i // 2] if i % 2 == 0 else rng.choice([x for x in lines if x != last]))
+            last = text[-1]
+        odd.append((3000 + d, "\n".join(text), "en", f"s{d % 3}", "x"))
+    df = spark.createDataFrame(rows() + odd, "doc_id long, text string, lang string, source string, kept string")
+    got = [r for r in Q.judge(df).collect() if r["doc_id"] >= 3000]
+    assert len(got) == 20 and not any(r["kept"] for r in got)
+    limit = Q.cutoff(Q.NormalDist().inv_cdf(1 - 1e-7))
+    assert 1 / Q.FLOOR[3] ** 2 > limit and 0.2 / Q.FLOOR[4] ** 2 > limit
+
+
 def test_empty_table_and_small_groups(spark):
     schema = "doc_id long, text string, lang string, source string"
     assert Q.judge(spark.createDataFrame([], schema)).collect() == []
