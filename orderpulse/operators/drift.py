@@ -56,6 +56,15 @@ def _bin_counts(df: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
             .groupBy("feature", *by, "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
+def reference_bins(ref: DataFrame, edges: DataFrame, n_bins: int = N_BINS) -> DataFrame:
+    """(feature, edges, shares): the share of each of the reference's bins, one row per feature."""
+    n = _bin_counts(ref, edges, []).groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin"), F.sum("n").alias("total"))
+    share = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)),
+                        lambda b: F.coalesce(F.try_element_at("by_bin", b), F.lit(0)) / F.col("total"))
+    return edges.join(n, "feature").select("feature", "edges", share.alias("shares"))
+
+
 def psi(ref: DataFrame, cur: DataFrame, by: list[str] | str = "month", n_bins: int = N_BINS,
         clip: float = CLIP_QUANTILE, eps: float = EPSILON, approx: bool = False) -> DataFrame:
     """PSI per (feature, by...): sum((c - r) * ln(c / r)) over bins.

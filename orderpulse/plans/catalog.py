@@ -746,6 +746,126 @@ def q_stream_label_join(spark, sf_dir):
                                  / 3600000000).cast("int").alias("lag_hours"))
 
 
+def feed_rows(spark, sf_dir) -> DataFrame:
+    ev = _events(spark, sf_dir)
+    return ev.select(F.col("event_id").alias(KEY), F.col("ts").cast("timestamp").alias(st.EVENT_TS),
+                     "event_type", "value", "user_id")
+
+
+def feed(spark, sf_dir, with_late: bool) -> DataFrame:
+    """The events as a feed in time order, a range per micro-batch. ``with_late``:
+    a sixteenth of the first two days' events comes after everything else."""
+    def land() -> str:
+        path = _stream_dir(spark, sf_dir, "feed")
+        rows = feed_rows(spark, sf_dir)
+        first = rows.agg(F.min(st.EVENT_TS)).scalar()
+        late = (F.col(KEY) % 16 == 5) & (F.col(st.EVENT_TS) < first + F.expr("INTERVAL 2 DAYS"))
+        late = F.lit(with_late) & F.coalesce(late, F.lit(False))
+        st.land_feed(rows.where(~late), path, late=rows.where(late) if with_late else None)
+        return path
+    path = memo(spark, f"feed-{with_late}", sf_dir, land)
+    return st.file_stream(spark, path, EVENT_SCHEMA, 1)
+
+
+def windows_run(spark, sf_dir) -> str:
+    """One run over the feed with late rows: final windows and the progress table."""
+    def run() -> str:
+        base, name = _stream_dir(spark, sf_dir, "stream_windows_final"), f"windows-{_uuid.uuid4().hex[:8]}"
+        with st.progress_logged(spark, f"{base}/progress", name):
+            st.run_available_now(st.stream_windows_final(
+                feed(spark, sf_dir, True), f"{base}/out", f"{base}/_ckpt", name=name))
+        return base
+    return memo(spark, "windows_run", sf_dir, run)
+
+
+@register("stream_windows_final")
+def q_stream_windows_final(spark, sf_dir):
+    """Daily windows, each written once when it is final; late events are left out."""
+    out = read_sink(spark, f"{windows_run(spark, sf_dir)}/out", WINDOW_SCHEMA)
+    return out.select(F.to_date("window_start").alias("window_day"), "event_type",
+                      F.col("n").cast("bigint").alias("n"), snap("mean_value").alias("mean_value"),
+                      "min_value", "max_value")
+
+
+@register("stream_late_rows")
+def q_stream_late_rows(spark, sf_dir):
+    """Rows dropped as late by every progress report, against the rows the windows lack."""
+    base = windows_run(spark, sf_dir)
+    log = spark.read.schema(st.PROGRESS).parquet(f"{base}/progress")
+    out = read_sink(spark, f"{base}/out", WINDOW_SCHEMA)
+    delivered = _events(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
+    kept = out.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return log.agg(F.coalesce(F.sum("n_late"), F.lit(0)).alias("n_late")).select(
+        "n_late", (delivered - kept).alias("n_missing"))
+
+
+def _event_reference_by_type(spark, sf_dir) -> DataFrame:
+    """(feature, edges, shares) of the first 7 days' values of each event type."""
+    ev = _events(spark, sf_dir)
+    start = ev.agg(F.min("ts")).scalar()
+    ref = ev.where(F.col("ts") < start + F.expr("INTERVAL 7 DAYS")).select(
+        F.col("event_type").alias("feature"), F.col("value").cast("double").alias("value"))
+    ref = ref.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return drift_ops.reference_bins(ref, drift_ops.reference_edges(ref))
+
+
+@register("stream_psi_alerts")
+def q_stream_psi_alerts(spark, sf_dir):
+    """PSI, severity and the run of RED days per event type, from state in the stream."""
+    base = _stream_dir(spark, sf_dir, "stream_psi")
+    st.run_available_now(st.stream_psi(
+        feed(spark, sf_dir, False), _event_reference_by_type(spark, sf_dir), f"{base}/out", f"{base}/_ckpt",
+        feature="event_type", name=f"psi-{_uuid.uuid4().hex[:8]}"))
+    out = read_sink(spark, f"{base}/out", st.DRIFT_SCHEMA)
+    return out.select(F.to_date("window_start").alias("window_day"), "feature", "n", snap("psi").alias("psi"),
+                      drift_ops.severity("psi").alias("severity"), "red_run",
+                      (F.col("red_run") >= 2).cast("int").alias("retrain"))
+
+
+@register("stream_label_left")
+def q_stream_label_left(spark, sf_dir):
+    """Every prediction with the reviews of the next 4 days, or without a label once those are over."""
+    base = _stream_dir(spark, sf_dir, "stream_label_left")
+    rv = tables(spark, sf_dir)["order_reviews"].select(KEY, "review_id", "review_score")
+    delay = F.make_dt_interval(F.lit(0), ((F.coalesce("review_id", F.lit(0)) * 7) % 120).cast("int"))
+    closing = F.col(KEY).isNull()
+    labels = (feed(spark, sf_dir, False).select(KEY, st.EVENT_TS).join(rv, KEY, "left")
+              .where(F.col("review_id").isNotNull() | closing)
+              .select(KEY, "review_id", "review_score", (F.col(st.EVENT_TS) + delay).alias("review_ts")))
+    scored = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
+    preds = (feed(spark, sf_dir, False).join(scored, KEY, "left").where(F.col("y_pred").isNotNull() | closing)
+             .select(KEY, F.col(st.EVENT_TS).alias("scored_ts"), "y_proba", "y_pred"))
+    st.run_available_now(st.stream_label_join(preds, labels, f"{base}/out", f"{base}/_ckpt",
+                                              how="leftOuter", name=f"left-{_uuid.uuid4().hex[:8]}"))
+    out = read_sink(spark, f"{base}/out", f"{KEY} bigint, scored_ts timestamp, review_ts timestamp, "
+                    "y_proba double, y_pred int, review_id bigint, review_score int, y_true int")
+    return out.select(KEY, "review_id", snap("y_proba").alias("y_proba"), "y_pred", "review_score",
+                      "y_true", ((F.unix_micros("review_ts") - F.unix_micros("scored_ts"))
+                                 / 3600000000).cast("int").alias("lag_hours"))
+
+
+@register("stream_score_model")
+def q_stream_score_model(spark, sf_dir):
+    """Events scored with the boosting model loaded from the store by version,
+    compared row by row with scoring the feature table as a batch."""
+    base = _stream_dir(spark, sf_dir, "stream_score_model")
+    model, _ = trained(spark, sf_dir, mdl.BOOSTING, "boosting")
+    mdl.publish(spark, model, f"{base}/store")
+    feats = features(spark, sf_dir).drop("order_purchase_timestamp")
+    st.run_available_now(st.stream_score_model(
+        feed(spark, sf_dir, False), feats, allowed_from_training(spark, sf_dir), f"{base}/store",
+        f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt"))
+    batch = mdl.score(model, feats).select(KEY, F.col("y_proba").alias("p"), F.col("y_pred").alias("c"))
+    same = F.col("y_proba").eqNullSafe(F.col("p")) & F.col("y_pred").eqNullSafe(F.col("c"))
+    good = read_sink(spark, f"{base}/scored", SCORED_SCHEMA + ", model_version int").join(batch, KEY, "left").select(
+        KEY, F.lit("scored").alias("status"), "model_version", same.cast("int").alias("same_as_batch"),
+        F.lit(None).cast("string").alias("errors"))
+    bad = read_sink(spark, f"{base}/quarantine", QUARANTINE_SCHEMA).select(
+        KEY, F.lit("quarantined").alias("status"), F.lit(None).cast("int").alias("model_version"),
+        F.lit(None).cast("int").alias("same_as_batch"), "errors")
+    return good.unionByName(bad)
+
+
 # --- shapes and sample alignment -------------------------------------------------
 
 from orderpulse.sources.tables import shape_report  # noqa: E402

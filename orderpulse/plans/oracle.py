@@ -725,6 +725,52 @@ JOIN rv0 r ON r.order_id = e.event_id
 WHERE (r.review_id * 7) % 120 <= 96""")
 
 
+_LATE = "event_id % 16 = 5 AND ts < (SELECT min(ts) FROM events) + INTERVAL 2 DAYS"
+
+ORACLE["stream_windows_final"] = f"""
+SELECT CAST(ts AS DATE) AS window_day, event_type, CAST(count(*) AS BIGINT) AS n,
+       floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean_value, min(value) AS min_value, max(value) AS max_value
+FROM events WHERE NOT ({_LATE}) GROUP BY ALL"""
+
+ORACLE["stream_late_rows"] = f"""
+SELECT CAST(count(*) AS BIGINT) AS n_late, CAST(count(*) AS BIGINT) AS n_missing FROM events WHERE {_LATE}"""
+
+ORACLE["stream_psi_alerts"] = with_ctes({
+    "lref": "SELECT event_type AS feature, value FROM events WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 7 DAYS AND value IS NOT NULL AND NOT isnan(value)",
+    "lcur": "SELECT CAST(ts AS DATE) AS month, event_type AS feature, value FROM events WHERE value IS NOT NULL AND NOT isnan(value)",
+    **{k: v for k, v in DRIFT.items() if k not in ("lref", "lcur")},
+    "tot": "SELECT month, feature, count(*) AS n FROM lcur GROUP BY ALL",
+    "red": "SELECT *, psi >= 0.2 AS red FROM psil",
+    "isl": """
+  SELECT *, month - CAST(row_number() OVER (PARTITION BY feature, red ORDER BY month) AS INT) AS island FROM red""",
+    "runs": """
+  SELECT *, CASE WHEN red THEN row_number() OVER (PARTITION BY feature, red, island ORDER BY month) ELSE 0 END AS red_run
+  FROM isl""",
+}, final=f"""
+SELECT r.month AS window_day, r.feature, CAST(t.n AS BIGINT) AS n, {snap('r.psi')} AS psi, {_sev('r.psi')} AS severity,
+       CAST(r.red_run AS INT) AS red_run, CAST(r.red_run >= 2 AS INT) AS retrain
+FROM runs r JOIN tot t ON t.month = r.month AND t.feature = r.feature""")
+
+ORACLE["stream_label_left"] = with_ctes(_SF, final=f"""
+SELECT e.event_id AS order_id, r.review_id,
+       {snap('coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5)')} AS y_proba,
+       CAST(coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS y_pred,
+       r.review_score, CAST(r.review_score >= 4 AS INT) AS y_true,
+       CAST((r.review_id * 7) % 120 AS INT) AS lag_hours
+FROM events e JOIN feat f ON e.event_id = f.order_id
+LEFT JOIN rv0 r ON r.order_id = e.event_id AND (r.review_id * 7) % 120 <= 96""")
+
+ORACLE["stream_score_model"] = with_ctes(_SF, VALIDATE, {
+    "j": """
+  SELECT e.event_id AS order_id, f.* EXCLUDE (order_id)
+  FROM events e LEFT JOIN feat f ON e.event_id = f.order_id""",
+}, final=f"""
+SELECT order_id, CASE WHEN errs IS NULL THEN 'scored' ELSE 'quarantined' END AS status,
+       CASE WHEN errs IS NULL THEN 1 END AS model_version, CASE WHEN errs IS NULL THEN 1 END AS same_as_batch,
+       errs AS errors
+FROM (SELECT *, {_row_rules()} AS errs FROM j)""")
+
+
 # --- shapes and sample alignment -------------------------------------------------
 
 ORACLE["table_shapes"] = with_ctes(_S, {"rvc": "SELECT * FROM rv"}, final="""

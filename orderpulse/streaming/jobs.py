@@ -11,13 +11,16 @@ once through the checkpoint). Update-mode results are read back with
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from orderpulse.functions.columns import bin_index
+from orderpulse.functions.columns import PSI_RED, bin_index
+from orderpulse.operators import models as mdl
 from orderpulse.operators import validate as val
 
 EVENT_TS = "event_ts"
@@ -25,6 +28,13 @@ EVENT_TS = "event_ts"
 
 # --- sources ------------------------------------------------------------------
 
+def rows_only(ts: str = EVENT_TS) -> Column:
+    """Everything but closing rows (:func:`land_feed`), for use after the watermark.
+    The condition names the event time, or the optimizer would filter before the
+    watermark has seen the closing rows."""
+    return F.col("order_id").isNotNull() | F.col(ts).isNull()
+
+
 def file_stream(spark: SparkSession, path: str, schema, max_files: int | None = 1) -> DataFrame:
     r = spark.readStream.schema(schema)
     if max_files:
@@ -39,6 +49,79 @@ def run_available_now(query: StreamingQuery) -> None:
         raise RuntimeError(str(query.exception()))
 
 
+def land_feed(rows: DataFrame, path: str, ranges: int = 6, late: DataFrame | None = None,
+              files: int = 1, close: str = "60 days") -> None:
+    """Land a table as a feed: ranges of event time one after the other, ``files``
+    files each, then the ``late`` rows, then two closing rows (only an event time,
+    ``close`` after the last one): the first moves the watermark past everything
+    before it, the second brings the micro-batch that acts on it. Read it with ``files`` files per trigger, so that a micro-batch is a range."""
+    lo, hi = rows.agg(F.min(EVENT_TS), F.max(EVENT_TS)).first()
+    step = F.expr(f"timestamp_micros({int(lo.timestamp() * 1e6) if lo else 0})")
+    width = int((hi - lo).total_seconds() * 1e6) // ranges + 1 if lo else 1
+    at = F.floor((F.unix_micros(EVENT_TS) - F.unix_micros(step)) / width)
+    for i in range(ranges):
+        rows.where(at == i).repartition(files).write.mode("append").parquet(path)
+    if late is not None:
+        late.repartition(files).write.mode("append").parquet(path)
+    end = rows.agg((F.max(EVENT_TS) + F.expr(f"INTERVAL {close}")).alias(EVENT_TS))
+    end = end.select(*[F.col(c) if c == EVENT_TS else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    for _ in range(2):
+        end.coalesce(1).write.mode("append").parquet(path)
+
+
+PROGRESS = "name string, run_id string, batch_id bigint, n_input bigint, n_late bigint"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Appends every progress report of the named queries to a table: rows read
+    and rows dropped as later than the watermark. ``recentProgress`` forgets all
+    but the last reports; this keeps them, ``every`` reports per file."""
+
+    def __init__(self, spark: SparkSession, path: str, names: set[str], every: int = 50):
+        self.spark, self.path, self.names, self.every = spark, path, names, every
+        self.rows: list[tuple] = []
+        self.runs: set[str] = set()
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        if event.name in self.names:
+            self.runs.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name in self.names:
+            self.runs.add(str(p.runId))
+            late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+            self.rows.append((p.name, str(p.runId), p.batchId, p.numInputRows, late))
+            if len(self.rows) >= self.every:
+                self.flush()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) in self.runs:
+            self.flush()
+            self.ended.set()
+
+    def flush(self) -> None:
+        rows, self.rows = self.rows, []
+        self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+
+
+@contextmanager
+def progress_logged(spark: SparkSession, path: str, name: str) -> Iterator[None]:
+    """Log the reports of the query ``name`` that runs inside; on leaving, all are written."""
+    log = ProgressLog(spark, path, {name})
+    spark.streams.addListener(log)
+    try:
+        yield
+        if not log.ended.wait(300):
+            raise RuntimeError(f"no end of {name} was reported")
+    finally:
+        spark.streams.removeListener(log)
+
+
 def dropped_late_rows(query: StreamingQuery) -> int:
     """Rows the stateful operators dropped as later than the watermark, summed
     over the query's recent progress reports (kept by Spark per run). For an
@@ -102,6 +185,49 @@ def stream_score(src: DataFrame, features: DataFrame, allowed: DataFrame,
             .trigger(availableNow=True).queryName("stream_score").start())
 
 
+def _features_of(batch: DataFrame, features: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The batch with its orders' features. Up to ``rows`` keys (counted) are sent
+    to the feature table's scan, which then neither shuffles nor sorts as a whole."""
+    keys = batch.select("order_id").distinct()
+    keys = F.broadcast(keys) if keys.count() <= rows else keys
+    return batch.join(features.join(keys, "order_id", "left_semi"), "order_id", "left")
+
+
+def stream_score_model(src: DataFrame, features: DataFrame, allowed: DataFrame, store: str,
+                       out: str, quarantine: str, checkpoint: str, watermark: str = "1 day",
+                       version: int | None = None) -> StreamingQuery:
+    """:func:`stream_score` with a fitted model from the store (``models.publish``).
+
+    Every micro-batch scores with one version: the stated one, or the newest
+    when the batch first ran. The choice is written before the scores, so a
+    replayed batch takes the same model and writes the same rows, whatever has
+    been published since. Features are looked up for the batch's orders only.
+    """
+    spark = src.sparkSession
+    s = (src.withWatermark(EVENT_TS, watermark).where(rows_only())
+         .dropDuplicatesWithinWatermark(["order_id"]))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            use = mdl.pinned_version(spark, store, f"{out}-versions", batch_id, version)
+            v = val.validate_rows(_features_of(batch, features), allowed).persist()
+            try:
+                good = mdl.score(mdl.load_version(spark, store, use), v.where("is_valid = 1")).select(
+                    "order_id", EVENT_TS, "y_proba", "y_pred", F.lit(use).alias("model_version"))
+                bad = v.where("is_valid = 0").select(
+                    "order_id", EVENT_TS, val.canonical_errors("errors").alias("errors"))
+                _write_batch(good, batch_id, out)
+                _write_batch(bad, batch_id, quarantine)
+            finally:
+                v.unpersist()
+        finally:
+            batch.unpersist()
+
+    return (s.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).queryName("stream_score_model").start())
+
+
 # --- ST2: tumbling-window statistics ----------------------------------------
 
 def stream_window_stats(src: DataFrame, out: str, checkpoint: str, window: str = "1 day",
@@ -121,6 +247,24 @@ def stream_window_stats(src: DataFrame, out: str, checkpoint: str, window: str =
             .queryName("stream_window_stats").start())
 
 
+def stream_windows_final(src: DataFrame, out: str, checkpoint: str, window: str = "1 day",
+                         watermark: str = "1 day", by: list[str] | None = None,
+                         name: str = "stream_windows_final") -> StreamingQuery:
+    """:func:`stream_window_stats` in append mode: a window is written once, when
+    the watermark has passed its end. Rows later than the watermark, and repeated
+    deliveries of an order within it, are dropped before the aggregation, so the
+    dropped rows of the progress reports (:class:`ProgressLog`) are single rows."""
+    by = by or ["event_type"]
+    s = (src.withWatermark(EVENT_TS, watermark).where(rows_only())
+         .dropDuplicatesWithinWatermark(["order_id"]))
+    agg = (s.groupBy(F.window(EVENT_TS, window).alias("w"), *by)
+           .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"),
+                F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+           .select(F.col("w.start").alias("window_start"), *by, "n", "mean_value", "min_value", "max_value"))
+    return (agg.writeStream.format("parquet").option("path", out).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start())
+
+
 # --- ST3: drift counts against fixed reference edges --------------------------
 
 def stream_drift(src: DataFrame, edges: DataFrame, out: str, checkpoint: str,
@@ -160,6 +304,76 @@ def psi_from_counts(counts: DataFrame, ref_shares: DataFrame, n_bins: int = 10,
         F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r"))).alias("psi"))
 
 
+DRIFT_SCHEMA = "window_start timestamp, feature string, n bigint, psi double, red_run int"
+RUN_SCHEMA = "feature string, window_start timestamp, red_run int"
+
+
+def _window_psi(counts: DataFrame, reference: DataFrame, eps: float) -> DataFrame:
+    """PSI per (window_start, feature) from counts (window_start, feature, bin, n)."""
+    by_bin = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    got = counts.groupBy("window_start", "feature").agg(by_bin.alias("bins"), F.sum("n").alias("n"))
+    share = F.transform("shares", lambda _, i: F.coalesce(F.try_element_at("bins", i), F.lit(0)) / F.col("n") + eps)
+    parts = F.zip_with(share, "shares", lambda c, r: (c - r - eps) * F.ln(c / (r + eps)))
+    return got.join(reference, "feature").select(
+        "window_start", "feature", "n", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("psi"))
+
+
+def _red_runs(judged: DataFrame, before: DataFrame, window: str) -> DataFrame:
+    """``judged`` with ``red_run``: RED windows in a row up to each one, going on
+    from the last window of ``before`` (feature, window_start, red_run)."""
+    rows = judged.withColumn("red", F.col("psi") >= PSI_RED).withColumn("add", F.lit(1)).unionByName(before.select(
+        "feature", "window_start", (F.col("red_run") > 0).alias("red"), F.col("red_run").alias("add")),
+        allowMissingColumns=True)
+    order = Window.partitionBy("feature").orderBy("window_start")  # the windows of a micro-batch
+    gap = F.col("window_start") - F.expr(f"INTERVAL {window}") != F.lag("window_start").over(order)
+    new = F.coalesce(gap, F.lit(True)) | ~F.col("red") | ~F.coalesce(F.lag("red").over(order), F.lit(False))
+    rows = rows.withColumn("run", F.sum(new.cast("int")).over(order))
+    run = F.when(F.col("red"), F.sum("add").over(Window.partitionBy("feature", "run").orderBy("window_start"))).otherwise(0)
+    return rows.withColumn("red_run", run.cast("int"))
+
+
+def stream_psi(src: DataFrame, reference: DataFrame, out: str, checkpoint: str,
+               feature: str = "feature", value: str = "value", window: str = "1 day",
+               watermark: str = "1 day", eps: float = 1e-4, keep: str = "7 days",
+               name: str = "stream_psi") -> StreamingQuery:
+    """PSI and the run of RED windows per feature, judged micro-batch by micro-batch.
+
+    ``reference`` (feature, edges, shares): one row per feature, inner edges and
+    the shares of its bins. The counts of window, feature and bin are the stream's
+    state; a final window's few counts become its PSI, and the run of RED windows
+    goes on from the state table, one row per feature: every micro-batch reads
+    that of the one before and writes its own, so a replay gives the same rows. A
+    window without a value gives no row and ends the run. A feature that has no
+    window for ``keep`` leaves the table.
+    """
+    spark = src.sparkSession
+    counts = (src.withWatermark(EVENT_TS, watermark)
+              .withColumn("feature", F.coalesce(F.col(feature), F.lit("")))
+              .where(rows_only() & (F.col(value).isNotNull() & ~F.isnan(value) | F.col(EVENT_TS).isNull()))
+              .join(reference.select("feature", "edges"), "feature")
+              .withColumn("bin", bin_index(F.col(value).cast("double"), "edges"))
+              .groupBy(F.window(EVENT_TS, window).alias("w"), "feature", "bin")
+              .agg(F.count(F.lit(1)).alias("n"))
+              .select(F.col("w.start").alias("window_start"), "feature", "bin", "n"))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        state = mdl.stored_rows(spark, f"{out}-state", f"{RUN_SCHEMA}, batch_id bigint")
+        before = state.where(F.col("batch_id") == batch_id - 1).drop("batch_id")
+        rows = _red_runs(_window_psi(batch, reference, eps), before, window).persist()
+        try:
+            judged = rows.where("psi is not null")
+            _write_batch(judged.select("window_start", "feature", "n", "psi", "red_run"), batch_id, out)
+            last = rows.groupBy("feature").agg(F.max_by(F.struct("window_start", "red_run"), "window_start").alias("v"))
+            newest = rows.agg(F.max("window_start")).scalar()
+            held = last.select("feature", "v.*").where(F.col("window_start") >= newest - F.expr(f"INTERVAL {keep}"))
+            _write_batch(held, batch_id, f"{out}-state")
+        finally:
+            rows.unpersist()
+
+    return (counts.writeStream.outputMode("append").foreachBatch(handle)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(name).start())
+
+
 # --- ST4: deduplication -------------------------------------------------------
 
 def stream_dedup(src: DataFrame, out: str, checkpoint: str, key: str = "order_id",
@@ -174,22 +388,29 @@ def stream_dedup(src: DataFrame, out: str, checkpoint: str, key: str = "order_id
 # --- ST5: delayed labels --------------------------------------------------------
 
 def stream_label_join(predictions: DataFrame, labels: DataFrame, out: str, checkpoint: str,
-                      max_delay: str = "4 days", watermark: str = "6 days") -> StreamingQuery:
-    """Inner stream-stream join of predictions (order_id, scored_ts, y_proba,
+                      max_delay: str = "4 days", watermark: str = "6 days",
+                      how: str = "inner", name: str = "stream_label_join") -> StreamingQuery:
+    """Stream-stream join (``how`` inner or leftOuter) of predictions (order_id, scored_ts, y_proba,
     y_pred) with reviews arriving later (order_id, review_ts, review_score):
     ``review_ts`` between ``scored_ts`` and ``scored_ts + max_delay``.
 
     The watermark must exceed the longest label delay, or labels that
     arrive after newer ones are dropped as late; join state then holds that
-    many days of predictions (RocksDB state store, see session.py)."""
-    p = predictions.withWatermark("scored_ts", watermark).alias("p")
-    lab = labels.withWatermark("review_ts", watermark).alias("l")
-    cond = F.expr(f"""p.order_id = l.order_id AND l.review_ts >= p.scored_ts
+    many days of predictions (RocksDB state store, see session.py).
+
+    ``leftOuter`` also writes the predictions whose label never came, with null
+    label columns, once the watermark has passed the last moment at which one
+    could have been matched; their state ends there. Rows without an order id
+    (a feed's closing row) only move the watermark."""
+    p = predictions.withWatermark("scored_ts", watermark).where(rows_only("scored_ts")).alias("p")
+    lab = labels.withWatermark("review_ts", watermark).where(rows_only("review_ts")).alias("l")
+    # null keys never meet; a plain equality would filter them before the watermark, see rows_only
+    cond = F.expr(f"""coalesce(p.order_id, -1) = coalesce(l.order_id, -2) AND l.review_ts >= p.scored_ts
                       AND l.review_ts <= p.scored_ts + INTERVAL {max_delay}""")
-    j = p.join(lab, cond, "inner").select(
+    j = p.join(lab, cond, how).select(
         F.col("p.order_id").alias("order_id"), "scored_ts", "review_ts", "y_proba", "y_pred",
         "review_id", "review_score",
         F.expr("CAST(review_score >= 4 AS INT)").alias("y_true"))
     return (j.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).queryName("stream_label_join").start())
+            .trigger(availableNow=True).queryName(name).start())
