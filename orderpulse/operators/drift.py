@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderpulse.functions.columns import bin_index, ks_pvalue, linspace_inner, nan_to_null, severity
+from orderpulse.functions.columns import bin_index, ks_exact_pvalue, ks_pvalue, linspace_inner, nan_to_null, severity
 from orderpulse.operators.metrics import exact_quantile, running_below
 
 # PSI defaults (10 equal-width bins over [min, p99] of the
@@ -29,21 +29,41 @@ def to_long(df: DataFrame, features: list[str], keep: list[str] | None = None) -
     return cast.unpivot(keep, features, "feature", "value")
 
 
+SKETCH_K = 4096  # a rank is off by about 0.07 % of the values; about 100 KB a sketch
+SKETCH_RANK_ERROR = 0.02  # what the reports that use sketches allow
+
+
+def feature_sketches(long: DataFrame, by: list[str] | None = None, k: int = SKETCH_K) -> DataFrame:
+    """(feature, by..., sketch, n, least): a mergeable quantile sketch (KLL) of each
+    group's values, of bounded size however large the group. Store them once;
+    :func:`merged_sketches` answers for any union of groups without the rows."""
+    return (long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("feature", *(by or []))
+            .agg(F.kll_sketch_agg_double("value", k).alias("sketch"), F.count(F.lit(1)).alias("n"),
+                 F.min("value").alias("least")))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Sketches of whole groups of stored sketches."""
+    return sketches.groupBy("feature", *(by or [])).agg(
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
 def reference_edges(ref: DataFrame, n_bins: int = N_BINS, clip: float = CLIP_QUANTILE,
                     approx: bool = False) -> DataFrame:
     """(feature, edges): the inner edges of ``linspace(min, p_clip, n_bins+1)``.
 
     The clip quantile is exact and equal to numpy's (distributed: see
-    :func:`~orderpulse.operators.metrics.exact_quantile`); ``approx`` uses a
-    ``percentile_approx`` sketch instead (one pass, bounded memory).
+    :func:`~orderpulse.operators.metrics.exact_quantile`); ``approx`` takes it from
+    a quantile sketch instead (one pass, bounded memory; stored ones can be merged).
     """
+    if approx:
+        sk = merged_sketches(feature_sketches(ref))
+        at = F.kll_sketch_get_quantile_double("sketch", F.lit(clip)).alias("ref_clip")
+        return sk.select("feature", F.col("least").alias("ref_min"), at).withColumn(
+            "edges", linspace_inner("ref_min", "ref_clip", n_bins))
     ref = ref.where(F.col("value").isNotNull())
     mins = ref.groupBy("feature").agg(F.min("value").alias("ref_min"))
-    if approx:
-        clip_q = ref.groupBy("feature").agg(
-            F.percentile_approx("value", clip, 100000).alias("ref_clip"))
-    else:
-        clip_q = exact_quantile(ref, "value", clip, "feature", "ref_clip")
+    clip_q = exact_quantile(ref, "value", clip, "feature", "ref_clip")
     stats = mins.join(clip_q, "feature", "inner")
     return stats.select("feature", "ref_min", "ref_clip",
                         linspace_inner("ref_min", "ref_clip", n_bins).alias("edges"))
@@ -99,6 +119,36 @@ def psi_with_severity(psi_df: DataFrame) -> DataFrame:
     return psi_df.withColumn("severity", severity("psi"))
 
 
+def ks_neighbours(long: DataFrame, by: str = "month", alpha: float = ALPHA,
+                  exact_up_to: int = 10_000) -> DataFrame:
+    """KS of every group against the one before it (``by`` one less), per feature.
+
+    The values of a pair of groups are put in order once; both CDFs are running
+    sums over it. The p-value is exact while both samples have up to
+    ``exact_up_to`` values, and asymptotic beyond. Groups without a value of a
+    feature, or without a neighbour, give no row.
+    """
+    g = long.where(F.col("value").isNotNull()).groupBy("feature", by, "value").agg(F.count(F.lit(1)).alias("n"))
+    pair = F.explode(F.array(F.struct(F.col(by).alias("m"), F.lit(1).alias("own")),
+                             F.struct((F.col(by) + 1).alias("m"), F.lit(0).alias("own"))))
+    g = g.select("feature", "value", "n", pair.alias("p")).groupBy("feature", F.col("p.m").alias(by), "value").agg(
+        F.sum(F.when(F.col("p.own") == 0, F.col("n")).otherwise(0)).alias("_r"),
+        F.sum(F.when(F.col("p.own") == 1, F.col("n")).otherwise(0)).alias("_c"))
+    tot = g.groupBy("feature", by).agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur")).where(
+        "n_ref > 0 and n_cur > 0")
+    run = running_below(g.join(tot, ["feature", by]), ["feature", by], "value", ["_r", "_c"], ["_rb", "_cb"])
+    # whole numbers up to the end: n_ref * n_cur times the statistic
+    gap = F.abs((F.col("_rb") + F.col("_r")) * F.col("n_cur") - (F.col("_cb") + F.col("_c")) * F.col("n_ref"))
+    stat = run.groupBy("feature", by, "n_ref", "n_cur").agg(F.max(gap).alias("_gap")).withColumn(
+        "ks_stat", F.col("_gap") / (F.col("n_ref") * F.col("n_cur")))
+    small = F.greatest("n_ref", "n_cur") <= exact_up_to
+    exact = ks_exact_pvalue(F.when(small, F.col("ks_stat")), "n_ref", "n_cur")
+    rows = stat.withColumn("_exact", exact).withColumn(
+        "p_value", F.when(small, F.col("_exact")).otherwise(ks_pvalue("ks_stat", "n_ref", "n_cur")))
+    return rows.select("feature", by, "ks_stat", "p_value", (F.col("p_value") < alpha).cast("int").alias("significant"),
+                       F.col("n_ref").cast("bigint"), F.col("n_cur").cast("bigint"))
+
+
 def ks(ref: DataFrame, cur: DataFrame, groups: list, by: str = "month",
        alpha: float = ALPHA, buckets="auto") -> DataFrame:
     """Two-sample KS statistic and asymptotic p-value per (feature, group).

@@ -25,14 +25,15 @@ def _by(by) -> list[str]:
 ROWS_PER_BUCKET = 1_000_000
 
 
-def _resolve_buckets(g: DataFrame, keys: list[str], buckets, default: int = 16):
-    """``buckets='auto'``: one small job reads the largest group's row count
-    and takes a bucket per ROWS_PER_BUCKET rows (at least ``default``), so a
-    hot group is spread over tasks in proportion to its size."""
+def _resolve_buckets(g: DataFrame, keys: list[str], buckets):
+    """``buckets='auto'``: one small job reads the largest group's row count.
+    Groups of up to ROWS_PER_BUCKET rows are ordered in one window each (None);
+    beyond that there is a bucket per so many rows, so a hot group is spread
+    over tasks in proportion to its size."""
     if buckets != "auto":
         return buckets
     biggest = g.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return int(max(default, -(-biggest // ROWS_PER_BUCKET)))
+    return -(-biggest // ROWS_PER_BUCKET) if biggest > ROWS_PER_BUCKET else None
 
 
 def distribution(df: DataFrame, col: str, normalize: bool = True) -> DataFrame:
@@ -198,6 +199,52 @@ def compare_models(a: DataFrame, b: DataFrame, name_a: str = "model_a",
                         .otherwise(F.lit("Tie")))
 
 
+def cost_curve(df: DataFrame, y: str, score: str, cost_missed: float = 5.0, cost_false: float = 1.0,
+               steps: int = 1000, by=None) -> DataFrame:
+    """Cost of every threshold ``k / steps`` on P(negative) = 1 - ``score``.
+
+    A row is called negative when its step ``floor((1 - score) * steps)`` is ``k``
+    or more. A negative that is not called costs ``cost_missed``, a positive that
+    is called ``cost_false``. One histogram of at most steps + 1 rows per group is
+    counted; prefix sums over it give all thresholds. ``is_best`` marks the least
+    cost, the highest such threshold. Rows without a score or label do not count.
+    """
+    keys = _by(by)
+    step = F.least(F.floor((F.lit(1.0) - col_(score)) * steps), F.lit(steps)).cast("int")
+    hist = df.where(col_(score).isNotNull() & col_(y).isNotNull()).groupBy(*keys, step.alias("_k")).agg(
+        F.count_if(col_(y) == 0).alias("_neg"), F.count_if(col_(y) == 1).alias("_pos"))
+    groups = hist.select(*keys).distinct() if keys else hist.agg(F.count(F.lit(1)).alias("_any")).drop("_any")
+    grid = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_k"))
+    cells = grid.join(hist, [*keys, "_k"], "left").fillna(0, ["_neg", "_pos"])
+    order = Window.partitionBy(*keys).orderBy("_k")  # steps + 1 rows
+    missed = F.coalesce(F.sum("_neg").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    false = F.sum("_pos").over(order.rowsBetween(0, Window.unboundedFollowing))
+    out = cells.select(*keys, (F.col("_k") / F.lit(float(steps))).alias("threshold"), F.col("_k").alias("step"),
+                       missed.cast("bigint").alias("n_missed"), false.cast("bigint").alias("n_false"))
+    out = out.withColumn("cost", F.col("n_missed") * float(cost_missed) + F.col("n_false") * float(cost_false))
+    best = Window.partitionBy(*keys).orderBy("cost", F.desc("step"))
+    return out.withColumn("is_best", (F.row_number().over(best) == 1).cast("int"))
+
+
+def weighted_median(df: DataFrame, value: str, weight: str, by=None, out: str = "q",
+                    buckets="auto") -> DataFrame:
+    """Median of weighted values per group: the mean of the least value that half
+    of the weight does not exceed and the least value that it exceeds. Whole
+    weights give the median of the rows repeated so often."""
+    keys = _by(by)
+    v = col_(value)
+    g = (df.where(v.isNotNull() & ~F.isnan(v) & (col_(weight) > 0))
+         .groupBy(*keys, v.cast("double").alias("_v")).agg(F.sum(col_(weight).cast("double")).alias("_w")))
+    half = g.groupBy(*keys).agg((F.sum("_w") / 2).alias("_half"))
+    run = running_below(g, keys, "_v", "_w", "_below", buckets)
+    run = run.join(half, keys) if keys else run.withColumn("_half", half.select("_half").scalar())
+    upto = F.col("_below") + F.col("_w")
+    low, high = (F.min(F.when(c, F.col("_v"))) for c in (upto >= F.col("_half"), upto > F.col("_half")))
+    # sums of fractions can miss the last half by a rounding: the largest value stands in
+    return run.groupBy(*keys).agg(low.alias("_a"), high.alias("_b"), F.max("_v").alias("_z")).select(
+        *keys, ((F.coalesce("_a", "_z") + F.coalesce("_b", "_z")) / 2).alias(out))
+
+
 def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
     """Counts of ``row`` x ``col`` with the given column values; gaps are 0."""
     return (df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1)))

@@ -135,7 +135,7 @@ from orderpulse.operators import metrics as met  # noqa: E402
 from orderpulse.operators import monitor as mon  # noqa: E402
 from orderpulse.operators import perturb  # noqa: E402
 from orderpulse.operators import sampling  # noqa: E402
-from orderpulse.sources.standin import FIRST_MONTH, N_MONTHS  # noqa: E402
+from orderpulse.sources.standin import FIRST_MONTH  # noqa: E402
 
 SEED = 42
 DRIFT_FEATURES = ["delivery_days", "total_freight_value", "total_order_value"]
@@ -207,6 +207,46 @@ def q_psi_matrix(spark, sf_dir):
     return drift_ops.psi_with_severity(p).withColumn("psi", snap("psi"))
 
 
+def stored_sketches(spark, sf_dir) -> DataFrame:
+    """Sketches of every feature and production month, written once."""
+    prod = monitoring(spark, sf_dir)["prod"]
+    return materialize(spark, "feature_sketches", sf_dir, lambda: drift_ops.feature_sketches(
+        drift_ops.to_long(prod, DRIFT_FEATURES, ["month"]), ["month"]))
+
+
+@register("sketch_quantiles")
+def q_sketch_quantiles(spark, sf_dir):
+    """Median and 99th percentile from month 1 up to each month, from merged monthly
+    sketches, held against the rows: is the rank off by 2 % of the values at most?"""
+    sk = stored_sketches(spark, sf_dir)
+    ends = sk.select(F.col("month").alias("upto")).distinct()
+    near = F.broadcast(ends)  # a row per month
+    merged = drift_ops.merged_sketches(sk.join(near, F.col("month") <= F.col("upto")), ["upto"])
+    found = merged.select("feature", "upto", "n", F.explode(F.array(*[F.struct(
+        F.lit(q).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("v"))
+        for q in (0.5, 0.99)])).alias("x")).select("feature", "upto", "n", "x.*")
+    rows = drift_ops.to_long(monitoring(spark, sf_dir)["prod"], DRIFT_FEATURES, ["month"]).where("value is not null")
+    same = (F.col("month") <= F.col("upto")) & (F.col("feature") == F.col("f"))
+    rank = rows.join(found.withColumnRenamed("feature", "f"), same).groupBy("feature", "upto", "q", "n").agg(
+        F.count_if(F.col("value") < F.col("v")).alias("below"), F.count_if(F.col("value") <= F.col("v")).alias("upto_v"))
+    off = F.greatest(F.col("below") - F.col("q") * F.col("n"), F.col("q") * F.col("n") - F.col("upto_v"), F.lit(0.0))
+    return rank.select("feature", "upto", "q", F.col("n").cast("bigint").alias("n"),
+                       (off <= drift_ops.SKETCH_RANK_ERROR * F.col("n") + 1).cast("int").alias("within"))
+
+
+@register("psi_sketch")
+def q_psi_sketch(spark, sf_dir):
+    """PSI on edges from sketches: within a tenth (and 0.05) of the exact PSI."""
+    m = monitoring(spark, sf_dir)
+    ref = drift_ops.to_long(m["ref"], DRIFT_FEATURES)
+    cur = drift_ops.to_long(m["prod"], DRIFT_FEATURES, ["month"])
+    near = drift_ops.psi(ref, cur, "month", approx=True).withColumnRenamed("psi", "a")
+    exact = psi_long(spark, sf_dir)
+    close = F.abs(F.col("a") - F.col("psi")) <= F.lit(0.05) + F.col("psi") / 10
+    return near.join(exact, ["feature", "month"]).select(
+        "feature", "month", F.coalesce(close, F.col("a").isNull() & F.col("psi").isNull()).cast("int").alias("close"))
+
+
 @register("psi_wide")
 def q_psi_wide(spark, sf_dir):
     p = drift_ops.psi_with_severity(psi_long(spark, sf_dir)).withColumn("psi", snap("psi"))
@@ -313,20 +353,54 @@ def q_threshold_sweep(spark, sf_dir):
                        "recall_neg", "f1_neg", "f1_macro"])
 
 
+COSTS = {"cost_missed": 5.0, "cost_false": 1.0}  # an unhappy customer missed, a happy one called
+
+
+@register("cost_curve")
+def q_cost_curve(spark, sf_dir):
+    """Cost of every threshold on P(negative), per month, with the cheapest marked."""
+    return met.cost_curve(monitoring(spark, sf_dir)["scored"], "y_true", "y_proba", **COSTS, by="month")
+
+
+@register("score_cost_threshold")
+def q_score_cost_threshold(spark, sf_dir):
+    """The reference's cheapest threshold, applied to the production rows."""
+    m = monitoring(spark, sf_dir)
+    curve = met.cost_curve(deterministic_score(m["ref"]), "y_true", "y_proba", **COSTS)
+    step = curve.where("is_best = 1").agg(F.max("step")).scalar()
+    called = F.least(F.floor((F.lit(1.0) - F.col("y_proba")) * 1000), F.lit(1000)) >= step
+    return m["scored"].select(KEY, "month", (step / F.lit(1000.0)).alias("threshold"),
+                              F.when(called, 0).otherwise(1).alias("y_pred"))
+
+
+@register("ks_exact_months")
+def q_ks_exact_months(spark, sf_dir):
+    """Each month against the one before it: KS statistic with the exact p-value of
+    small samples (up to 10,000 values), the asymptotic one beyond."""
+    prod = monitoring(spark, sf_dir)["prod"].select("month", *DRIFT_FEATURES)
+    cur = drift_ops.to_long(prod, DRIFT_FEATURES, ["month"])
+    return drift_ops.ks_neighbours(cur, "month").withColumn("p_value", snap("p_value"))
+
+
 @register("retrain_set")
 def q_retrain_set(spark, sf_dir):
-    """Reference rows faded by age (half-life 6 months) + labelled months from 4 on."""
+    """Reference rows faded by age (half-life 6 months, counted from the newest
+    month of the data) + labelled months from 4 on."""
+    return snapped(retraining_rows(spark, sf_dir), [*NUMERIC_FEATURES, "weight"])
+
+
+def retraining_rows(spark, sf_dir, before=None) -> DataFrame:
+    """The retraining set; with ``before``, of the months before that one only."""
     m = monitoring(spark, sf_dir)
     y0, m0 = int(FIRST_MONTH[:4]), int(FIRST_MONTH[5:7])
-    last_idx = y0 * 12 + m0 - 1 + N_MONTHS  # month index of production month N
+    months = m["all"] if before is None else m["all"].where(F.col("month") < before)
+    newest = months.agg(F.max("month")).scalar() + (y0 * 12 + m0 - 1)
     ts = "order_purchase_timestamp"
     old = m["ref"].select(KEY, "month", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES,
-                          (F.lit(last_idx) - (F.year(ts) * 12 + F.month(ts))).cast("double")
-                          .alias("age_months"))
-    recent = m["prod"].where(F.col("month") >= 4).select(
-        KEY, "month", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
-    out = mon.retraining_set(old, recent, 6.0)
-    return snapped(out, [*NUMERIC_FEATURES, "weight"])
+                          (newest - (F.year(ts) * 12 + F.month(ts))).cast("double").alias("age_months"))
+    recent = m["prod"].where((F.col("month") >= 4) & (F.lit(before is None) | (F.col("month") < F.lit(before))))
+    return mon.retraining_set(old, recent.select(
+        KEY, "month", LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES), 6.0)
 
 
 # --- step 8: text ----------------------------------------------------------
@@ -371,12 +445,24 @@ def cleaned_reviews(spark, sf_dir, with_text=True, text_fn=None) -> DataFrame:
 
 
 def text_predictions(spark, sf_dir) -> DataFrame:
-    """Stand-in text model output: '<k> stars' with k = 1 + n_chars % 5 and a
-    confidence 0.5 + (n_chars % 50) / 100, as a real scorer would return."""
-    c = cleaned_reviews(spark, sf_dir, with_text=False)
-    c = (c.withColumn("text_label", stars_label(1 + F.col("doc_n_chars") % 5))
-         .withColumn("text_score", F.lit(0.5) + (F.col("doc_n_chars") % 50) / 100.0))
-    return txt.stars_to_binary(c, "text_label")
+    """Reviews with the text model's '<k> stars' and its confidence, each text
+    scored by the model of the other folds. The predictions are one table of a
+    row per document, written once and read by every query that uses them."""
+    reviews = cleaned_reviews(spark, sf_dir, with_text=False)
+
+    def build():
+        docs = read_driver_tables(spark, sf_dir, ["documents"])["documents"].select("doc_id", "text")
+        return txt.out_of_fold_stars(docs, reviews.select("doc_id", "review_score"), seed=SEED)
+    stars = materialize(spark, "star_predictions", sf_dir, build)
+    c = reviews.join(stars.withColumnRenamed("pred_stars", "_k"), "doc_id")
+    return txt.stars_to_binary(c.withColumn("text_label", stars_label("_k")).drop("_k"), "text_label")
+
+
+@register("text_stars")
+def q_text_stars(spark, sf_dir):
+    """Out-of-fold star predictions of every review with a comment."""
+    return text_predictions(spark, sf_dir).select(
+        "review_id", "order_id", "text_label", "pred_stars", snap("text_score").alias("text_score"))
 
 
 @register("text_clean")
@@ -592,6 +678,19 @@ def trained(spark, sf_dir, spec: dict, name: str):
     return memo(spark, f"model_{name}", sf_dir, build)
 
 
+def retrained(spark, sf_dir):
+    """Boosting on the retraining set's weights, without the test split's orders."""
+    def build():
+        split = split_features(spark, sf_dir)
+        rows = retraining_rows(spark, sf_dir).join(
+            split.where("split = 'train'").select(KEY), KEY, "left_semi")
+        return mdl.train_and_log(
+            spark, rows, split.where("split = 'test'"), mdl.BOOSTING, "boosting_retrained",
+            stage_path(spark, "runs", sf_dir), stage_path(spark, "model_boosting_retrained", sf_dir),
+            {"weights": "half-life 6 months"}, weight_col="weight")
+    return memo(spark, "model_boosting_retrained", sf_dir, build)
+
+
 @register("train_forest")
 def q_train_forest(spark, sf_dir):
     _, metrics = trained(spark, sf_dir, mdl.FOREST, "forest")
@@ -617,6 +716,7 @@ def q_score_batch(spark, sf_dir):
 def q_run_leaderboard(spark, sf_dir):
     trained(spark, sf_dir, mdl.FOREST, "forest")
     trained(spark, sf_dir, mdl.BOOSTING, "boosting")
+    retrained(spark, sf_dir)
     runs = spark.read.parquet(stage_path(spark, "runs", sf_dir))
     return mdl.leaderboard(runs, "roc_auc")
 
@@ -868,7 +968,8 @@ def q_stream_score_model(spark, sf_dir):
 
 # --- shapes and sample alignment -------------------------------------------------
 
-from orderpulse.sources.tables import shape_report  # noqa: E402
+from orderpulse.sources.tables import (  # noqa: E402
+    ORDER_SCHEMAS, TIMESTAMP_COLUMNS, land_csv, land_observed, read_landed, shape_report)
 
 
 @register("table_shapes")
@@ -877,6 +978,48 @@ def q_table_shapes(spark, sf_dir):
     return shape_report(tables(spark, sf_dir))
 
 
+@register("landed_shapes")
+def q_landed_shapes(spark, sf_dir):
+    """The shapes of the order tables, counted by the jobs that land them."""
+    return land_observed(tables(spark, sf_dir), _stream_dir(spark, sf_dir, "landed"))[1]
+
+
+def broken_csv(spark, sf_dir, base: str) -> None:
+    """CSV copies of the order items and orders as they could arrive: some prices are
+    texts, some lines are cut, some timestamps are none."""
+    t = tables(spark, sf_dir)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    k = F.col(KEY) * 7 + F.col("order_item_id")
+    whole = F.concat_ws(",", text(KEY), text("order_item_id"), text("product_id"), text("seller_id"),
+                        F.when(k % 101 == 3, F.lit("n/a")).otherwise(text("price")), text("freight_value"))
+    line = F.when(k % 103 == 5, F.concat_ws(",", text(KEY), text("order_item_id"))).otherwise(whole)
+    t["order_items"].select(line.alias("value")).write.text(f"{base}/order_items")
+    stamp = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    cols = [f.name for f in ORDER_SCHEMAS["orders"].fields]
+    at = [F.when((F.col(KEY) % 97 == 5) & F.lit(c == "order_purchase_timestamp"), F.lit("soon")).otherwise(stamp(c))
+          if c in TIMESTAMP_COLUMNS else (text(c) if c in t["orders"].columns else F.lit("")) for c in cols]
+    t["orders"].select(F.concat_ws(",", *at).alias("value")).write.text(f"{base}/orders")
+
+
+@register("csv_landing")
+def q_csv_landing(spark, sf_dir):
+    """Good and broken lines of the CSV copies, landed in two runs: the second finds
+    nothing new. Timestamps that are none become NULL and stay."""
+    base = _stream_dir(spark, sf_dir, "csv")
+    broken_csv(spark, sf_dir, f"{base}/in")
+    parts = []
+    for name in ("order_items", "orders"):
+        land_csv(spark, f"{base}/in/{name}", name, f"{base}/out", header=False)
+        again = land_csv(spark, f"{base}/in/{name}", name, f"{base}/out", header=False)
+        good, bad = read_landed(spark, f"{base}/out", name)
+        null_ts = F.count_if(F.col("order_purchase_timestamp").isNull()) if name == "orders" else F.lit(0)
+        counted = good.agg(F.count(F.lit(1)).alias("n_good"), null_ts.cast("bigint").alias("n_null_timestamps"))
+        parts.append(counted.select(
+            F.lit(name).alias("table"), "n_good", bad.agg(F.count(F.lit(1))).scalar().alias("n_bad"),
+            "n_null_timestamps", again.agg(F.count(F.lit(1))).scalar().alias("n_files_again")))
+    return parts[0].unionByName(parts[1])
+
+
 @register("text_sample_features")
 def q_text_sample_features(spark, sf_dir):
     """The 500 sampled reviews left-joined to their orders' features, with

@@ -489,10 +489,69 @@ ORACLE["threshold_sweep"] = with_ctes(_M, {
   GROUP BY t.threshold""",
 }, final=f"SELECT threshold, tp, fp, tn, fn, {_metric_cols()} FROM sw")
 
+def _cost(src: str, by: str = "") -> str:
+    """Costs of all thresholds, each counted from the rows."""
+    return f"""
+  SELECT {by} t.k AS step, count(*) FILTER (WHERE s.y_true = 0 AND s.h < t.k) AS n_missed,
+         count(*) FILTER (WHERE s.y_true = 1 AND s.h >= t.k) AS n_false
+  FROM range(0, 1001) t(k) CROSS JOIN (
+    SELECT *, least(floor((1.0 - y_proba) * 1000), 1000) AS h FROM {src}
+    WHERE y_proba IS NOT NULL AND y_true IS NOT NULL) s
+  GROUP BY ALL"""
+
+
+ORACLE["cost_curve"] = with_ctes(_M, {"cc": _cost("scored", "s.month,")}, final="""
+SELECT month, step / 1000.0 AS threshold, CAST(step AS INT) AS step, CAST(n_missed AS BIGINT) AS n_missed,
+       CAST(n_false AS BIGINT) AS n_false, CAST(n_missed * 5 + n_false AS DOUBLE) AS cost,
+       CAST(step = max(step) FILTER (WHERE n_missed * 5 + n_false = least_cost) OVER (PARTITION BY month) AS INT) AS is_best
+FROM (SELECT *, min(n_missed * 5 + n_false) OVER (PARTITION BY month) AS least_cost FROM cc)""")
+
+ORACLE["score_cost_threshold"] = with_ctes(_M, {
+    "rs": """
+  SELECT is_positive_review AS y_true, coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) AS y_proba
+  FROM mref""",
+    "cc": _cost("rs"),
+    "best": "SELECT step FROM cc ORDER BY n_missed * 5 + n_false, step DESC LIMIT 1",
+}, final="""
+SELECT order_id, month, step / 1000.0 AS threshold,
+       CASE WHEN least(floor((1.0 - y_proba) * 1000), 1000) >= step THEN 0 ELSE 1 END AS y_pred
+FROM scored, best""")
+
+# the p-value by counting paths through the lattice of both samples, diagonal by diagonal
+ORACLE["ks_exact_months"] = with_ctes(_M, DRIFT, {
+    "kv": "SELECT feature, month AS m, value FROM lcur WHERE value IS NOT NULL AND NOT isnan(value)",
+    "kn": "SELECT feature, m, count(*) AS n FROM kv GROUP BY ALL",
+    "kp": "SELECT c.feature, c.m, r.n AS n_ref, c.n AS n_cur FROM kn c JOIN kn r ON r.feature = c.feature AND r.m = c.m - 1",
+    "kx": """
+  SELECT p.feature, p.m, p.n_ref, p.n_cur, x.value,
+         CAST(count(*) FILTER (WHERE x.m = p.m - 1) AS BIGINT) AS r, CAST(count(*) FILTER (WHERE x.m = p.m) AS BIGINT) AS c
+  FROM kp p JOIN kv x ON x.feature = p.feature AND x.m IN (p.m, p.m - 1) GROUP BY ALL""",
+    "kc": """
+  SELECT feature, m, n_ref, n_cur, abs(sum(r) OVER w * n_cur - sum(c) OVER w * n_ref) AS gap
+  FROM kx WINDOW w AS (PARTITION BY feature, m ORDER BY value)""",
+    "kg": "SELECT feature, m, n_ref, n_cur, CAST(max(gap) AS BIGINT) AS reach FROM kc GROUP BY ALL",
+    "kd": """
+  SELECT feature, m, n_ref, n_cur, reach, 0 AS d, 0 AS i, 1.0::DOUBLE AS pr, false AS gone FROM kg
+  UNION ALL
+  SELECT feature, m, n_ref, n_cur, reach, d, i, sum(pr) AS pr, abs(i * n_cur - (d - i) * n_ref) >= reach AS gone
+  FROM (
+    SELECT feature, m, n_ref, n_cur, reach, d + 1 AS d, i + s.s AS i,
+           pr * (CASE WHEN s.s = 1 THEN n_ref - i ELSE n_cur - (d - i) END) / (n_ref + n_cur - d) AS pr
+    FROM kd, (VALUES (0), (1)) s(s) WHERE NOT gone AND d < n_ref + n_cur)
+  WHERE pr > 0
+  GROUP BY feature, m, n_ref, n_cur, reach, d, i""",
+    "kq": "SELECT feature, m, sum(pr) AS p FROM kd WHERE gone GROUP BY ALL",
+}, final=f"""
+SELECT g.feature, g.m AS month, g.reach / CAST(g.n_ref * g.n_cur AS DOUBLE) AS ks_stat,
+       {snap('CASE WHEN g.reach = 0 THEN 1.0 ELSE least(1.0, coalesce(q.p, 0.0)) END')} AS p_value,
+       CAST(CASE WHEN g.reach = 0 THEN 1.0 ELSE least(1.0, coalesce(q.p, 0.0)) END < 0.05 AS INT) AS significant,
+       CAST(g.n_ref AS BIGINT) AS n_ref, CAST(g.n_cur AS BIGINT) AS n_cur
+FROM kg g LEFT JOIN kq q ON q.feature = g.feature AND q.m = g.m""").replace("WITH ", "WITH RECURSIVE ", 1)
+
 ORACLE["retrain_set"] = with_ctes(_M, final=f"""
 SELECT order_id, month, is_positive_review, {', '.join(snap(c) + ' AS ' + c for c in NUMERIC)},
        {', '.join(CATEGORICAL)}, 'train' AS source,
-       {snap("pow(0.5, CAST(2001 * 12 + 7 - (year(order_purchase_timestamp) * 12 + month(order_purchase_timestamp)) AS DOUBLE) / 6.0)")} AS weight
+       {snap("pow(0.5, CAST(date_diff('month', order_purchase_timestamp, (SELECT max(order_purchase_timestamp) FROM feat)) AS DOUBLE) / 6.0)")} AS weight
 FROM mref
 UNION ALL
 SELECT order_id, month, is_positive_review, {', '.join(snap(c) + ' AS ' + c for c in NUMERIC)},
@@ -504,15 +563,47 @@ SELECT order_id, month, is_positive_review, {', '.join(snap(c) + ' AS ' + c for
 _WS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 TEXT = {
     "cl": f"""
-  SELECT review_id, order_id, review_score, doc_n_chars,
+  SELECT review_id, order_id, review_score, doc_id, doc_n_chars,
          regexp_replace(review_comment_message, '^{_WS}+|{_WS}+$', '', 'g') AS text
   FROM rv WHERE review_comment_message IS NOT NULL""",
     "cln": "SELECT * FROM cl WHERE length(text) > 0",
+    # naive Bayes from words to stars, each fold of documents scored without its own ratings
+    "dd": f"""
+  SELECT doc_id, CAST(floor({u_sql('42', 'doc_id')} * 5) AS INT) AS fold, list_distinct(list_transform(list_filter(
+           regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''),
+           lambda w: ('0x' || substr(md5(w), 1, 4))::INT)) AS buckets
+  FROM documents""",
+    "dw": "SELECT doc_id, fold, unnest(buckets) AS bucket FROM dd",
+    "rat": "SELECT doc_id, review_score AS k, count(*) AS n FROM cln GROUP BY ALL",
+    "wc": "SELECT fold, bucket, k, sum(n) AS c FROM dw JOIN rat USING (doc_id) GROUP BY ALL",
+    "wt": "SELECT bucket, k, sum(c) AS c FROM wc GROUP BY ALL",
+    "ft": "SELECT fold, k, sum(n) AS p, sum(n * len(buckets)) AS t FROM dd JOIN rat USING (doc_id) GROUP BY ALL",
+    "fk": "SELECT CAST(f.f AS INT) AS fold, CAST(k.k AS INT) AS k FROM range(0, 5) f(f), range(1, 6) k(k)",
+    "fo": """
+  SELECT fk.fold, fk.k, coalesce(sum(ft.p) FILTER (WHERE ft.fold <> fk.fold), 0) AS p,
+         coalesce(sum(ft.t) FILTER (WHERE ft.fold <> fk.fold), 0) AS t
+  FROM fk LEFT JOIN ft ON ft.k = fk.k GROUP BY ALL""",
+    "fb": """
+  SELECT fold, k, t, CAST(floor(1e6 * ln(CAST(p + 1 AS DOUBLE) / CAST(sum(p) OVER (PARTITION BY fold) + 5 AS DOUBLE))) AS BIGINT) AS prior
+  FROM fo""",
+    "lw": """
+  SELECT d.doc_id, b.k, sum(CAST(floor(1e6 * ln(
+           CAST(coalesce(wt.c, 0) - coalesce(wc.c, 0) + 1 AS DOUBLE) / CAST(b.t + 65536 AS DOUBLE))) AS BIGINT)) AS s
+  FROM dw d JOIN fb b ON b.fold = d.fold
+  LEFT JOIN wt ON wt.bucket = d.bucket AND wt.k = b.k
+  LEFT JOIN wc ON wc.bucket = d.bucket AND wc.k = b.k AND wc.fold = d.fold
+  GROUP BY ALL""",
+    "lg": """
+  SELECT d.doc_id, b.k, b.prior + coalesce(lw.s, 0) AS l
+  FROM dd d JOIN fb b ON b.fold = d.fold LEFT JOIN lw ON lw.doc_id = d.doc_id AND lw.k = b.k""",
+    "st": """
+  SELECT doc_id, arg_min(k, (-l, k)) AS k, 1.0 / sum(exp((l - m) / 1e6)) AS text_score
+  FROM (SELECT *, max(l) OVER (PARTITION BY doc_id) AS m FROM lg) GROUP BY doc_id""",
     "tp": """
-  SELECT *, CASE WHEN k = 1 THEN '1 star' ELSE CAST(k AS VARCHAR) || ' stars' END AS text_label,
-         0.5 + (doc_n_chars % 50) / 100.0 AS text_score,
-         k AS pred_stars, CAST(k >= 4 AS INT) AS pred_binary
-  FROM (SELECT *, CAST(1 + doc_n_chars % 5 AS INT) AS k FROM cln)""",
+  SELECT c.*, CASE WHEN s.k = 1 THEN '1 star' ELSE CAST(s.k AS VARCHAR) || ' stars' END AS text_label,
+         s.text_score, s.k AS pred_stars, CAST(s.k >= 4 AS INT) AS pred_binary
+  FROM cln c JOIN st s ON s.doc_id = c.doc_id""",
 }
 _ST = {**STANDIN, **TEXT}
 
@@ -559,6 +650,9 @@ SELECT la.metric, la.text_model, lb.feature_model,
             WHEN lb.feature_model > la.text_model THEN 'feature_model' ELSE 'Tie' END AS winner
 FROM la JOIN lb ON la.metric = lb.metric""")
 
+ORACLE["text_stars"] = with_ctes(_ST, final=f"""
+SELECT review_id, order_id, text_label, CAST(pred_stars AS INT) AS pred_stars, {snap('text_score')} AS text_score FROM tp""")
+
 ORACLE["route_queue"] = with_ctes(_SF, TEXT, {
     "fs": "SELECT order_id, coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) AS y_proba FROM feat",
     "outq": "SELECT order_id, 'outreach' AS reason, 1.0 - y_proba AS score FROM fs WHERE y_proba < 0.5",
@@ -783,6 +877,25 @@ UNION ALL SELECT 'products', count(*), 3 FROM pr
 UNION ALL SELECT 'sellers', count(*), 2 FROM se
 UNION ALL SELECT 'category_translation', count(*), 2 FROM tr""")
 
+ORACLE["landed_shapes"] = ORACLE["table_shapes"]
+
+ORACLE["csv_landing"] = with_ctes(_S, {
+    "line": "SELECT (order_id * 7 + order_item_id) % 101 = 3 AS no_price, (order_id * 7 + order_item_id) % 103 = 5 AS cut FROM it",
+}, final="""
+SELECT 'order_items' AS "table", CAST(count(*) FILTER (WHERE NOT no_price AND NOT cut) AS BIGINT) AS n_good,
+       CAST(count(*) FILTER (WHERE no_price OR cut) AS BIGINT) AS n_bad,
+       CAST(0 AS BIGINT) AS n_null_timestamps, CAST(0 AS BIGINT) AS n_files_again FROM line
+UNION ALL
+SELECT 'orders', count(*), 0, count(*) FILTER (WHERE order_id % 97 = 5 OR order_purchase_timestamp IS NULL), 0 FROM so""")
+
+ORACLE["sketch_quantiles"] = with_ctes(_M, DRIFT, final="""
+SELECT l.feature, CAST(e.upto AS INT) AS upto, q.q, CAST(count(*) AS BIGINT) AS n, 1 AS within
+FROM lcur l JOIN (SELECT DISTINCT month AS upto FROM lcur WHERE value IS NOT NULL) e ON l.month <= e.upto
+CROSS JOIN (VALUES (0.5::DOUBLE), (0.99::DOUBLE)) q(q)
+WHERE l.value IS NOT NULL GROUP BY ALL""")
+
+ORACLE["psi_sketch"] = with_ctes(_M, DRIFT, final="SELECT feature, month, 1 AS close FROM psil")
+
 ORACLE["text_sample_features"] = with_ctes(_SF, TEXT, {
     "smp": f"""
   SELECT review_id, order_id, review_score FROM cln

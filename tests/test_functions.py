@@ -141,3 +141,39 @@ def test_exact_quantile_equals_numpy(spark):
             assert got[g] == float(np.quantile(part.v.values, q)), (g, q)
     whole = met.exact_quantile(df, "v", 0.99).first().q
     assert whole == float(np.quantile(pdf.v.values, 0.99))
+
+
+def test_exact_ks_p_value_equals_enumeration(spark):
+    from itertools import combinations
+
+    from orderpulse.functions.columns import ks_exact_pvalue
+
+    def every_order(d, n, m):
+        hit = total = 0
+        for pick in combinations(range(n + m), n):
+            i, most = 0, 0
+            for k in range(1, n + m + 1):
+                i += k - 1 in pick
+                most = max(most, abs(i * m - (k - i) * n))
+            total += 1
+            hit += most >= round(d * n * m)
+        return hit / total
+    rows = [(h / (n * m), n, m) for n, m in ((1, 1), (3, 2), (2, 5), (4, 4), (1, 7), (6, 4)) for h in range(n * m + 1)]
+    df = spark.createDataFrame([*rows, (None, 3, 2), (0.5, 0, 2)], "d double, n int, m int")
+    got = {(r["d"], r["n"], r["m"]): r["p"] for r in df.select("*", ks_exact_pvalue("d", "n", "m").alias("p")).collect()}
+    assert got.pop((None, 3, 2)) is None and got.pop((0.5, 0, 2)) is None
+    for (d, n, m), p in got.items():
+        assert abs(p - every_order(d, n, m)) < 1e-12, (d, n, m)
+
+
+def test_cost_curve_equals_counting_and_marks_the_cheapest(spark):
+    import random
+    rng = random.Random(2)
+    rows = [(rng.randrange(2), rng.randrange(101) / 100) for _ in range(300)] + [(None, 0.4), (1, None)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    got = met.cost_curve(df, "y", "p", 5.0, 1.0, steps=20).orderBy("step").collect()
+    import math
+    step = [(y, min(math.floor((1 - p) * 20), 20)) for y, p in rows if y is not None and p is not None]
+    want = [5.0 * sum(y == 0 and s < k for y, s in step) + sum(y == 1 and s >= k for y, s in step) for k in range(21)]
+    assert [r["cost"] for r in got] == want and sum(r["is_best"] for r in got) == 1
+    assert next(r for r in got if r["is_best"])["cost"] == min(want)

@@ -122,3 +122,43 @@ def test_allowed_values_fixed_lists(spark):
     assert got == {"product_category": 74, "seller_state": 24, "payment_type": 5}
     assert os.path.exists("/root/repo/orderpulse")  # package layout present
     assert isinstance(pd.__version__, str)
+
+
+def test_csv_landing_quarantines_broken_lines_and_resumes_by_file(spark, tmp_path):
+    from orderpulse.sources import tables as tb
+    src, base = tmp_path / "in", f"{tmp_path}/out"
+    src.mkdir()
+    head = "order_id,order_item_id,product_id,seller_id,price,freight_value\n"
+    (src / "a.csv").write_text(head + 'o1,1,p1,s1,9.5,1.0\no2,1,p1,s1,n/a,1.0\no3,2,"p\nq",s1,NaN,\n')
+    (src / "b.csv").write_text(head + "o4,1\no5,1,p2,s2,3.0,0.5,more\n")
+    (src / "empty.csv").write_text(head)
+    first = tb.land_csv(spark, str(src), "order_items", base)
+    assert sorted((r["file"][-5:], r["n_good"], r["n_bad"]) for r in first.collect()) == [
+        ("a.csv", 2, 1), ("b.csv", 0, 2), ("y.csv", 0, 0)]
+    assert tb.land_csv(spark, str(src), "order_items", base).count() == 0
+    (src / "c.csv").write_text(head + "o6,1,p1,s1,2.0,1.0\n")
+    assert [(r["n_good"], r["n_bad"]) for r in tb.land_csv(spark, str(src), "order_items", base).collect()] == [(1, 0)]
+    good, bad = tb.read_landed(spark, base, "order_items")
+    assert sorted((r["order_id"], r["product_id"], r["price"]) for r in good.collect()) == [
+        ("o1", "p1", 9.5), ("o3", "p\nq", None), ("o6", "p1", 2.0)]
+    assert sorted(r["line"].split(",")[0] for r in bad.collect()) == ["o2", "o4", "o5"]
+    # a run cut short before its last step writes the same folders again
+    import shutil
+    shutil.move(f"{base}/files", f"{tmp_path}/files-lost")
+    tb.land_csv(spark, str(src), "order_items", base)
+    assert tb.read_landed(spark, base, "order_items")[0].count() == 3
+
+
+def test_star_model_scores_each_text_without_its_own_ratings(spark):
+    from orderpulse.operators import text as txt
+    words = {1: "awful broken late", 5: "lovely quick perfect"}
+    docs = [(i, f"{words[5 if i % 2 else 1]} item {i}") for i in range(80)]
+    ratings = [(i, 5 if i % 2 else 1) for i in range(80)]
+    # one text has a word of its own, and the wrong rating: its model has not seen either
+    docs[10], ratings[10] = (10, "awful broken late secretword"), (10, 5)
+    d = spark.createDataFrame([*docs, (900, None), (901, "")], "doc_id long, text string")
+    r = spark.createDataFrame(ratings, "doc_id long, review_score int")
+    got = {x["doc_id"]: x for x in txt.out_of_fold_stars(d, r).collect()}
+    assert len(got) == 82
+    assert all(got[i]["pred_stars"] == (5 if i % 2 else 1) and got[i]["text_score"] > 0.9 for i in range(80))
+    assert 0.2 <= got[900]["text_score"] <= 0.6 and got[900]["pred_stars"] == got[901]["pred_stars"]
