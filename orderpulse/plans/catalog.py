@@ -541,6 +541,7 @@ def q_score_text(spark, sf_dir):
 # --- step 6: validation ------------------------------------------------------
 
 from orderpulse import ALL_FEATURES  # noqa: E402
+from orderpulse.operators import models as mdl  # noqa: E402
 from orderpulse.operators import validate as val  # noqa: E402
 
 
@@ -629,9 +630,43 @@ def q_validate_json_batches(spark, sf_dir):
                     val.canonical_errors("errors").alias("errors"))
 
 
+def quarantined_batches(spark, sf_dir) -> DataFrame:
+    """Batches whose broken records alone are rejected."""
+    return val.validate_json_batches(json_batches(features(spark, sf_dir)), "batch_id", "body",
+                                     allowed_from_training(spark, sf_dir), mode="quarantine_rows")
+
+
+@register("batch_error_report")
+def q_batch_error_report(spark, sf_dir):
+    """The error body of every rejected batch: ``record_i`` with its fields' messages."""
+    v = val.validate_json_batches(json_batches(features(spark, sf_dir)), "batch_id", "body",
+                                  allowed_from_training(spark, sf_dir))
+    entries = F.transform(F.map_entries("details"), lambda e: F.struct(
+        e["key"].alias("name"), val.canonical_errors(e["value"]).alias("text")))
+    line = F.transform(F.array_sort(entries), lambda x: F.concat(x["name"], F.lit(": "), x["text"]))
+    return val.batch_error_report(v, "batch_id").select(
+        "batch_id", F.size("details").alias("n_records"), F.array_join(line, " | ").alias("report"))
+
+
+@register("quarantine_rows")
+def q_quarantine_rows(spark, sf_dir):
+    return quarantined_batches(spark, sf_dir).select(
+        "batch_id", "pos", "status", "body_error", val.canonical_errors("errors").alias("errors"))
+
+
+@register("batch_responses")
+def q_batch_responses(spark, sf_dir):
+    """Answers to every batch's accepted records, in the order they came in."""
+    good = quarantined_batches(spark, sf_dir).where("status = 'accepted'").withColumn(LABEL, F.lit(None).cast("int"))
+    r = mdl.batch_responses(deterministic_score(good), "batch_id")
+    return r.select("batch_id", F.size("predictions").alias("n"),
+                    F.array_join(F.transform("predictions", lambda p: p["label"]), ",").alias("labels"),
+                    F.array_join(F.transform("predictions", lambda p: F.format_number(p["probability"], 4)), ",")
+                    .alias("probabilities"))
+
+
 # --- step 7: preprocessing, models, scoring, runs ---------------------------
 
-from orderpulse.operators import models as mdl  # noqa: E402
 from orderpulse.operators import preprocess as pre  # noqa: E402
 from orderpulse.plans.store import memo, stage_path  # noqa: E402
 

@@ -930,7 +930,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_reviews, CAST(count(review_comment_message)
 
 _JREC_NO_MALFORMED = _JREC[:_JREC.index("WHEN 12 THEN")] + _JREC[_JREC.index("ELSE "):]
 
-ORACLE["validate_json_batches"] = with_ctes(_SF, VALIDATE, {
+BATCHES = {
     "jr0": f"SELECT order_id, CAST({_JREC_NO_MALFORMED} AS VARCHAR) AS body FROM (SELECT *, order_id % 13 AS k FROM feat)",
     "jba": "SELECT floor(order_id / 100) AS batch_id, string_agg(body, ',' ORDER BY order_id) AS items FROM jr0 GROUP BY 1",
     "jbb": """
@@ -955,10 +955,34 @@ ORACLE["validate_json_batches"] = with_ctes(_SF, VALIDATE, {
   SELECT batch_id, pos, CASE WHEN json_type(jb) <> 'OBJECT' THEN 'body=must be a json object'
                              ELSE {_json_rules()} END AS errs
   FROM jel""",
-}, final="""
+}
+
+ORACLE["validate_json_batches"] = with_ctes(_SF, VALIDATE, BATCHES, final="""
 SELECT batch_id, pos,
        CASE WHEN bool_or(errs IS NOT NULL) OVER (PARTITION BY batch_id) THEN 'rejected' ELSE 'accepted' END AS status,
        CAST(NULL AS VARCHAR) AS body_error, errs AS errors
 FROM jer
 UNION ALL
 SELECT batch_id, CAST(NULL AS INT), 'rejected', body_error, CAST(NULL AS VARCHAR) FROM jbe WHERE body_error IS NOT NULL""")
+
+ORACLE["quarantine_rows"] = with_ctes(_SF, VALIDATE, BATCHES, final="""
+SELECT batch_id, pos, CASE WHEN errs IS NULL THEN 'accepted' ELSE 'rejected' END AS status,
+       CAST(NULL AS VARCHAR) AS body_error, errs AS errors
+FROM jer
+UNION ALL
+SELECT batch_id, CAST(NULL AS INT), 'rejected', body_error, CAST(NULL AS VARCHAR) FROM jbe WHERE body_error IS NOT NULL""")
+
+ORACLE["batch_error_report"] = with_ctes(_SF, VALIDATE, BATCHES, final="""
+SELECT batch_id, CAST(count(*) AS INT) AS n_records,
+       string_agg('record_' || pos || ': ' || errs, ' | ' ORDER BY 'record_' || pos) AS report
+FROM jer WHERE errs IS NOT NULL GROUP BY batch_id
+UNION ALL
+SELECT batch_id, 1, 'body: body=' || body_error FROM jbe WHERE body_error IS NOT NULL""")
+
+_P = "coalesce(1.0 / (1.0 + exp(0.25 * CAST(json_extract(l.jb, '$.delivery_vs_estimated') AS DOUBLE))), 0.5)"
+ORACLE["batch_responses"] = with_ctes(_SF, VALIDATE, BATCHES, final=f"""
+SELECT batch_id, CAST(count(*) AS INT) AS n,
+       string_agg(CASE WHEN p >= 0.5 THEN 'positive' ELSE 'negative' END, ',' ORDER BY pos) AS labels,
+       string_agg(printf('%.4f', round_even(p, 4)), ',' ORDER BY pos) AS probabilities
+FROM (SELECT l.batch_id, l.pos, {_P} AS p FROM jel l JOIN jer r ON r.batch_id = l.batch_id AND r.pos = l.pos WHERE r.errs IS NULL)
+GROUP BY batch_id""")
