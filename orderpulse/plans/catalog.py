@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from orderpulse import CATEGORICAL_FEATURES, KEY, LABEL, NUMERIC_FEATURES
 from orderpulse.functions.columns import snap
 from orderpulse.operators import features as feat
-from orderpulse.plans.store import materialize
+from orderpulse.plans.store import materialize, memo, stage_path
 from orderpulse.session import ensure_checkpoint_dir
 from orderpulse.sources import standin
 from orderpulse.sources.standin import standin_tables
@@ -134,7 +134,7 @@ from orderpulse.operators import drift as drift_ops  # noqa: E402
 from orderpulse.operators import metrics as met  # noqa: E402
 from orderpulse.operators import monitor as mon  # noqa: E402
 from orderpulse.operators import perturb  # noqa: E402
-from orderpulse.operators import sampling  # noqa: E402
+from orderpulse.operators import sampling, scorecard  # noqa: E402
 from orderpulse.sources.standin import FIRST_MONTH  # noqa: E402
 
 SEED = 42
@@ -155,12 +155,13 @@ def months_present(df: DataFrame) -> list[int]:
     return [r["month"] for r in df.select("month").distinct().orderBy("month").collect()]
 
 
-def deterministic_score(df: DataFrame) -> DataFrame:
-    """Stand-in model: p = 1 / (1 + exp(0.25 * delivery_vs_estimated)), NULL -> 0.5."""
-    p = F.coalesce(F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(0.25) * F.col("delivery_vs_estimated"))),
-                   F.lit(0.5))
-    return (df.withColumn("y_true", F.col(LABEL)).withColumn("y_proba", p)
-            .withColumn("y_pred", (F.col("y_proba") >= 0.5).cast("int")))
+def feature_model(spark, sf_dir) -> Callable[[DataFrame], DataFrame]:
+    """The scorecard fitted on the training split, once per session: adds y_true, y_proba, y_pred."""
+    def build():
+        split = sampling.stratified_split(features(spark, sf_dir), LABEL, KEY, 0.2, SEED)
+        return scorecard.fit(split.where("split = 'train'"))
+    card = memo(spark, "scorecard", sf_dir, build)
+    return lambda df: card.score(df.withColumn("y_true", F.col(LABEL)))
 
 
 def monitoring(spark, sf_dir) -> dict[str, DataFrame]:
@@ -170,7 +171,7 @@ def monitoring(spark, sf_dir) -> dict[str, DataFrame]:
     prod = materialize(spark, "production_months", sf_dir, lambda: perturb.drift_months(
         f.where(F.col("month") > 0), perturb.scenario_table(spark),
         NUMERIC_FEATURES, LABEL, KEY, SEED))
-    return {"all": f, "ref": ref, "prod": prod, "scored": deterministic_score(prod)}
+    return {"all": f, "ref": ref, "prod": prod, "scored": feature_model(spark, sf_dir)(prod)}
 
 
 def psi_long(spark, sf_dir) -> DataFrame:
@@ -366,7 +367,7 @@ def q_cost_curve(spark, sf_dir):
 def q_score_cost_threshold(spark, sf_dir):
     """The reference's cheapest threshold, applied to the production rows."""
     m = monitoring(spark, sf_dir)
-    curve = met.cost_curve(deterministic_score(m["ref"]), "y_true", "y_proba", **COSTS)
+    curve = met.cost_curve(feature_model(spark, sf_dir)(m["ref"]), "y_true", "y_proba", **COSTS)
     step = curve.where("is_best = 1").agg(F.max("step")).scalar()
     called = F.least(F.floor((F.lit(1.0) - F.col("y_proba")) * 1000), F.lit(1000)) >= step
     return m["scored"].select(KEY, "month", (step / F.lit(1000.0)).alias("threshold"),
@@ -498,7 +499,7 @@ def q_stars_crosstab(spark, sf_dir):
 
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
-    """Text predictions vs the feature score on the same held-out reviews.
+    """Text model vs feature model on the same held-out reviews.
 
     Truth is the review's own score (>= 4); reviews of training orders are
     excluded (anti-join on the split), unlike the original, which scored
@@ -508,7 +509,7 @@ def q_model_comparison(spark, sf_dir):
     split = sampling.stratified_split(features(spark, sf_dir).select(KEY, LABEL), LABEL, KEY,
                                       0.2, SEED)
     p = p.join(split.where("split = 'train'").select(KEY), KEY, "left_anti")
-    f = deterministic_score(features(spark, sf_dir)).select(KEY, F.col("y_pred").alias("f_pred"))
+    f = feature_model(spark, sf_dir)(features(spark, sf_dir)).select(KEY, F.col("y_pred").alias("f_pred"))
     j = p.join(f, KEY, "inner")
     a = snapped(met.confusion_metrics(j, "y_true", "pred_binary"), METRICS6)
     b = snapped(met.confusion_metrics(j, "y_true", "f_pred"), METRICS6)
@@ -517,7 +518,7 @@ def q_model_comparison(spark, sf_dir):
 
 @register("route_queue")
 def q_route_queue(spark, sf_dir):
-    f = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba")
+    f = feature_model(spark, sf_dir)(features(spark, sf_dir)).select(KEY, "y_proba")
     return snapped(txt.route(f, text_predictions(spark, sf_dir)), ["score"])
 
 
@@ -658,7 +659,7 @@ def q_quarantine_rows(spark, sf_dir):
 def q_batch_responses(spark, sf_dir):
     """Answers to every batch's accepted records, in the order they came in."""
     good = quarantined_batches(spark, sf_dir).where("status = 'accepted'").withColumn(LABEL, F.lit(None).cast("int"))
-    r = mdl.batch_responses(deterministic_score(good), "batch_id")
+    r = mdl.batch_responses(feature_model(spark, sf_dir)(good), "batch_id")
     return r.select("batch_id", F.size("predictions").alias("n"),
                     F.array_join(F.transform("predictions", lambda p: p["label"]), ",").alias("labels"),
                     F.array_join(F.transform("predictions", lambda p: F.format_number(p["probability"], 4)), ",")
@@ -668,7 +669,6 @@ def q_batch_responses(spark, sf_dir):
 # --- step 7: preprocessing, models, scoring, runs ---------------------------
 
 from orderpulse.operators import preprocess as pre  # noqa: E402
-from orderpulse.plans.store import memo, stage_path  # noqa: E402
 
 
 def split_features(spark, sf_dir) -> DataFrame:
@@ -805,7 +805,7 @@ def q_stream_score(spark, sf_dir):
     base = _stream_dir(spark, sf_dir, "stream_score")
     feats = features(spark, sf_dir).drop("order_purchase_timestamp")
     q = st.stream_score(redelivered(spark, sf_dir), feats, allowed_from_training(spark, sf_dir),
-                        deterministic_score, f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt")
+                        feature_model(spark, sf_dir), f"{base}/scored", f"{base}/quarantine", f"{base}/_ckpt")
     st.run_available_now(q)
     good = read_sink(spark, f"{base}/scored", SCORED_SCHEMA).select(
         KEY, F.lit("scored").alias("status"), snap("y_proba").alias("y_proba"), "y_pred",
@@ -870,7 +870,7 @@ def q_stream_label_join(spark, sf_dir):
     delay = F.make_dt_interval(F.lit(0), ((F.col("review_id") * 7) % 120).cast("int"))
     labels = event_stream(spark, sf_dir).select(KEY, st.EVENT_TS).join(rv, KEY, "inner").select(
         KEY, "review_id", "review_score", (F.col(st.EVENT_TS) + delay).alias("review_ts"))
-    scored = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
+    scored = feature_model(spark, sf_dir)(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
     preds = (event_stream(spark, sf_dir).join(scored, KEY, "inner")
              .select(KEY, F.col(st.EVENT_TS).alias("scored_ts"), "y_proba", "y_pred"))
     st.run_available_now(st.stream_label_join(preds, labels, f"{base}/out", f"{base}/_ckpt"))
@@ -967,7 +967,7 @@ def q_stream_label_left(spark, sf_dir):
     labels = (feed(spark, sf_dir, False).select(KEY, st.EVENT_TS).join(rv, KEY, "left")
               .where(F.col("review_id").isNotNull() | closing)
               .select(KEY, "review_id", "review_score", (F.col(st.EVENT_TS) + delay).alias("review_ts")))
-    scored = deterministic_score(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
+    scored = feature_model(spark, sf_dir)(features(spark, sf_dir)).select(KEY, "y_proba", "y_pred")
     preds = (feed(spark, sf_dir, False).join(scored, KEY, "left").where(F.col("y_pred").isNotNull() | closing)
              .select(KEY, F.col(st.EVENT_TS).alias("scored_ts"), "y_proba", "y_pred"))
     st.run_available_now(st.stream_label_join(preds, labels, f"{base}/out", f"{base}/_ckpt",

@@ -209,6 +209,53 @@ _JIT = ",\n         ".join(
     f"{c} * (1.0 + (2.0 * {u_sql('42', 'order_id', repr(c))} - 1.0) * 0.05) AS {c}"
     for c in NUMERIC)
 
+# the scorecard: class weights counted on the training split, as one map
+_CUT = lambda v, f: (
+    f"CASE WHEN {v} IS NULL OR isnan({v}) THEN 'missing' ELSE CAST(len(list_filter("
+    f"map_extract((SELECT m FROM sce), '{f}')[1], lambda x: x <= {v})) AS VARCHAR) END")
+
+
+def _classes(at: str = "") -> dict[str, str]:
+    """SQL of every feature's class; ``at`` is a table's name with a dot, or a pattern for the value."""
+    value = (lambda c: at.format(c)) if "{" in at else (lambda c: at + c)
+    return {**{f: _CUT(value(f), f) for f in NUMERIC},
+            **{f: f"coalesce({value(f)}, 'missing')" for f in CATEGORICAL}}
+
+
+def _weight(p: str, n: str) -> str:
+    return (f"CAST(floor(1e6 * ln((CAST({p} + 1 AS DOUBLE) / CAST(t.p + 10 AS DOUBLE)) / "
+            f"(CAST({n} + 1 AS DOUBLE) / CAST(t.n + 10 AS DOUBLE)))) AS BIGINT)")
+
+
+CARD = {
+    "sct": f"SELECT * FROM feat WHERE NOT ({u_sql('42', 'order_id')} < 0.2)",
+    "scl": "\n  UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM sct" for f in NUMERIC),
+    "sce": """
+  SELECT map_from_entries(list((feature, list_transform(range(1, 10), lambda i: mn + i * ((mx - mn) / 10.0))))) AS m
+  FROM (SELECT feature, min(value) AS mn, quantile_cont(value, 0.99) AS mx FROM scl
+        WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY feature)""",
+    "scn": "SELECT count(*) FILTER (WHERE is_positive_review = 1) AS p, count(*) FILTER (WHERE is_positive_review = 0) AS n FROM sct",
+    "scc": "\n  UNION ALL ".join(f"SELECT '{f}' AS feature, {c} AS class, is_positive_review AS y FROM sct"
+                                 for f, c in _classes().items()),
+    "scm": f"""
+  SELECT map_from_entries(list((k, w))) AS m FROM (
+    SELECT feature || '=' || class AS k, {_weight('c.p', 'c.n')} AS w
+    FROM (SELECT feature, class, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n
+          FROM scc GROUP BY ALL) c, scn t)""",
+    "scz": f"SELECT {_weight('0', '0')} AS unseen, CAST(floor(1e6 * ln(CAST(t.p + 1 AS DOUBLE) / CAST(t.n + 1 AS DOUBLE))) AS BIGINT) AS prior FROM scn t",
+}
+
+
+def _logit(at: str = "") -> str:
+    parts = [f"coalesce(map_extract((SELECT m FROM scm), '{f}=' || {c})[1], (SELECT unseen FROM scz))"
+             for f, c in _classes(at).items()]
+    return "((SELECT prior FROM scz) + " + " + ".join(parts) + ")"
+
+
+def _proba(at: str = "") -> str:
+    return f"(1.0 / (1.0 + exp(-{_logit(at)} / 1e6)))"
+
+
 MONITOR = {
     "mf": """
   SELECT * FROM (
@@ -254,9 +301,8 @@ MONITOR = {
          {', '.join(NUMERIC)}, {', '.join(CATEGORICAL)} FROM j3""",
     "scored": """
   SELECT *, is_positive_review AS y_true,
-         coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) AS y_proba,
-         CAST(coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS y_pred
-  FROM prod""",
+         1.0 / (1.0 + exp(-lg / 1e6)) AS y_proba, CAST(lg >= 0 AS INT) AS y_pred
+  FROM (SELECT *, @LOGIT@ AS lg FROM prod)""".replace("@LOGIT@", _logit()),
 }
 
 _DF = ["delivery_days", "total_freight_value", "total_order_value"]
@@ -329,7 +375,7 @@ _KS_FINAL = f"""
 SELECT feature, month, ks_stat, {snap('p')} AS p_value, CAST(p < 0.05 AS INT) AS significant,
        CAST(nr AS BIGINT) AS n_ref, CAST(nc AS BIGINT) AS n_cur FROM kp"""
 
-_M = {**STANDIN, **FEATURES, **MONITOR}
+_M = {**STANDIN, **FEATURES, **CARD, **MONITOR}
 _MD = {**_M, **DRIFT}
 
 
@@ -508,8 +554,8 @@ FROM (SELECT *, min(n_missed * 5 + n_false) OVER (PARTITION BY month) AS least_c
 
 ORACLE["score_cost_threshold"] = with_ctes(_M, {
     "rs": """
-  SELECT is_positive_review AS y_true, coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) AS y_proba
-  FROM mref""",
+  SELECT is_positive_review AS y_true, @PROBA@ AS y_proba
+  FROM mref""".replace("@PROBA@", _proba()),
     "cc": _cost("rs"),
     "best": "SELECT step FROM cc ORDER BY n_missed * 5 + n_false, step DESC LIMIT 1",
 }, final="""
@@ -632,10 +678,10 @@ def _metric_row(y: str, p: str, src: str) -> str:
 
 _M6 = ["accuracy", "precision_pos", "recall_pos", "f1_pos", "recall_neg", "f1_macro"]
 
-ORACLE["model_comparison"] = with_ctes(_SF, TEXT, {
+ORACLE["model_comparison"] = with_ctes(_SF, CARD, TEXT, {
     "j": f"""
   SELECT t.*, CAST(t.review_score >= 4 AS INT) AS y_true,
-         CAST(coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS f_pred
+         CAST({_logit('f.')} >= 0 AS INT) AS f_pred
   FROM tp t JOIN feat f ON t.order_id = f.order_id
   WHERE NOT ({u_sql('42', 'f.order_id')} >= 0.2)""",
     "ca": _metric_row("y_true", "pred_binary", "j"),
@@ -653,8 +699,8 @@ FROM la JOIN lb ON la.metric = lb.metric""")
 ORACLE["text_stars"] = with_ctes(_ST, final=f"""
 SELECT review_id, order_id, text_label, CAST(pred_stars AS INT) AS pred_stars, {snap('text_score')} AS text_score FROM tp""")
 
-ORACLE["route_queue"] = with_ctes(_SF, TEXT, {
-    "fs": "SELECT order_id, coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) AS y_proba FROM feat",
+ORACLE["route_queue"] = with_ctes(_SF, CARD, TEXT, {
+    "fs": f"SELECT order_id, {_proba()} AS y_proba FROM feat",
     "outq": "SELECT order_id, 'outreach' AS reason, 1.0 - y_proba AS score FROM fs WHERE y_proba < 0.5",
 }, final=f"""
 SELECT order_id, reason, {snap('score')} AS score FROM outq
@@ -782,14 +828,14 @@ ORACLE["onehot_missing"] = with_ctes(_SF, _TRAIN, {
 
 # --- streaming (batch equivalents) ---------------------------------------------
 
-ORACLE["stream_score"] = with_ctes(_SF, VALIDATE, {
+ORACLE["stream_score"] = with_ctes(_SF, CARD, VALIDATE, {
     "j": """
   SELECT e.event_id AS order_id, f.* EXCLUDE (order_id)
   FROM events e LEFT JOIN feat f ON e.event_id = f.order_id""",
 }, final=f"""
 SELECT order_id, CASE WHEN errs IS NULL THEN 'scored' ELSE 'quarantined' END AS status,
-       CASE WHEN errs IS NULL THEN {snap('coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5)')} END AS y_proba,
-       CASE WHEN errs IS NULL THEN CAST(coalesce(1.0 / (1.0 + exp(0.25 * delivery_vs_estimated)), 0.5) >= 0.5 AS INT) END AS y_pred,
+       CASE WHEN errs IS NULL THEN {snap(_proba())} END AS y_proba,
+       CASE WHEN errs IS NULL THEN CAST({_logit()} >= 0 AS INT) END AS y_pred,
        errs AS errors
 FROM (SELECT *, {_row_rules()} AS errs FROM j)""")
 
@@ -808,10 +854,10 @@ SELECT month AS window_day, {snap('psi')} AS psi, {_sev('psi')} AS severity FROM
 ORACLE["stream_dedup"] = """
 SELECT event_id AS order_id, epoch_us(ts) AS event_us, event_type, value, user_id FROM events"""
 
-ORACLE["stream_label_join"] = with_ctes(_SF, final=f"""
+ORACLE["stream_label_join"] = with_ctes(_SF, CARD, final=f"""
 SELECT e.event_id AS order_id, r.review_id,
-       {snap('coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5)')} AS y_proba,
-       CAST(coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS y_pred,
+       {snap(_proba('f.'))} AS y_proba,
+       CAST({_logit('f.')} >= 0 AS INT) AS y_pred,
        r.review_score, CAST(r.review_score >= 4 AS INT) AS y_true,
        CAST((r.review_id * 7) % 120 AS INT) AS lag_hours
 FROM events e JOIN feat f ON e.event_id = f.order_id
@@ -845,10 +891,10 @@ SELECT r.month AS window_day, r.feature, CAST(t.n AS BIGINT) AS n, {snap('r.psi'
        CAST(r.red_run AS INT) AS red_run, CAST(r.red_run >= 2 AS INT) AS retrain
 FROM runs r JOIN tot t ON t.month = r.month AND t.feature = r.feature""")
 
-ORACLE["stream_label_left"] = with_ctes(_SF, final=f"""
+ORACLE["stream_label_left"] = with_ctes(_SF, CARD, final=f"""
 SELECT e.event_id AS order_id, r.review_id,
-       {snap('coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5)')} AS y_proba,
-       CAST(coalesce(1.0 / (1.0 + exp(0.25 * f.delivery_vs_estimated)), 0.5) >= 0.5 AS INT) AS y_pred,
+       {snap(_proba('f.'))} AS y_proba,
+       CAST({_logit('f.')} >= 0 AS INT) AS y_pred,
        r.review_score, CAST(r.review_score >= 4 AS INT) AS y_true,
        CAST((r.review_id * 7) % 120 AS INT) AS lag_hours
 FROM events e JOIN feat f ON e.event_id = f.order_id
@@ -979,10 +1025,13 @@ FROM jer WHERE errs IS NOT NULL GROUP BY batch_id
 UNION ALL
 SELECT batch_id, 1, 'body: body=' || body_error FROM jbe WHERE body_error IS NOT NULL""")
 
-_P = "coalesce(1.0 / (1.0 + exp(0.25 * CAST(json_extract(l.jb, '$.delivery_vs_estimated') AS DOUBLE))), 0.5)"
-ORACLE["batch_responses"] = with_ctes(_SF, VALIDATE, BATCHES, final=f"""
+_JSON = {**{f: f"CAST(json_extract(l.jb, '$.{f}') AS DOUBLE)" for f in NUMERIC},
+         **{f: f"json_extract_string(l.jb, '$.{f}')" for f in CATEGORICAL}}
+_JFEAT = "SELECT l.batch_id, l.pos, " + ", ".join(f"{v} AS {f}" for f, v in _JSON.items()) + \
+    " FROM jel l JOIN jer r ON r.batch_id = l.batch_id AND r.pos = l.pos WHERE r.errs IS NULL"
+ORACLE["batch_responses"] = with_ctes(_SF, CARD, VALIDATE, BATCHES, final=f"""
 SELECT batch_id, CAST(count(*) AS INT) AS n,
        string_agg(CASE WHEN p >= 0.5 THEN 'positive' ELSE 'negative' END, ',' ORDER BY pos) AS labels,
        string_agg(printf('%.4f', round_even(p, 4)), ',' ORDER BY pos) AS probabilities
-FROM (SELECT l.batch_id, l.pos, {_P} AS p FROM jel l JOIN jer r ON r.batch_id = l.batch_id AND r.pos = l.pos WHERE r.errs IS NULL)
+FROM (SELECT batch_id, pos, {_proba()} AS p FROM ({_JFEAT}))
 GROUP BY batch_id""")

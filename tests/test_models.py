@@ -85,3 +85,29 @@ def test_boosting_does_not_depend_on_its_partitions(spark):
     p = [{r["order_id"]: r["y_proba"] for r in mdl.score(mdl.train(train, spec, partitions=n), test).collect()}
          for n in (1, 7)]
     assert p[0].keys() == p[1].keys() and all(abs(p[0][k] - p[1][k]) < 1e-9 for k in p[0])
+
+
+def test_scorecard_equals_counting_and_handles_the_unseen(spark):
+    import math
+    import random
+
+    from orderpulse.operators import scorecard
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, *range(1, 30)]), rng.choice(["a", "b", None]), int(rng.random() < 0.7)) for i in range(400)]
+    df = spark.createDataFrame([(i, None if v is None else float(v), c, y) for i, v, c, y in rows],
+                               "id long, v double, c string, y int")
+    card = scorecard.fit(df, ["v"], ["c"], "y")
+    pos, neg = sum(r[3] for r in rows), sum(1 - r[3] for r in rows)
+    for c in ("a", "b", None):
+        p, n = (sum(r[2] == c and r[3] == y for r in rows) for y in (1, 0))
+        assert card.weights["c"][c or "missing"] == math.floor(
+            1e6 * math.log(((p + 1) / (pos + 10)) / ((n + 1) / (neg + 10))))
+    assert len(card.edges["v"]) == 9 and "missing" in card.weights["v"]
+    new = spark.createDataFrame([(1, 5.0, "zz"), (2, None, None), (3, float("nan"), "a")], "id long, v double, c string")
+    got = {r["id"]: r for r in card.score(new).collect()}
+    cut = str(sum(e <= 5.0 for e in card.edges["v"]))
+    want = {1: card.weights["v"][cut] + card.unseen, 2: card.weights["v"]["missing"] + card.weights["c"]["missing"],
+            3: card.weights["v"]["missing"] + card.weights["c"]["a"]}
+    for i, w in want.items():
+        logit = card.prior + w
+        assert abs(got[i]["y_proba"] - 1 / (1 + math.exp(-logit / 1e6))) < 1e-12 and got[i]["y_pred"] == (logit >= 0)
