@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from orderpulse.llm.common import held, ship
+
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _CACHE_ENTRIES = 400_000
 _NONE = 1 << 62  # rank of a pair that is no token
@@ -139,18 +141,17 @@ class TreeBpe:
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
-_ENCODERS: dict[tuple[int, str], TreeBpe] = {}
-
-
 def _encoder(file: bytes, pattern: str) -> TreeBpe:
     """One encoder per Python worker."""
     key = (zlib.crc32(file), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TreeBpe(file, pattern)
-    return _ENCODERS[key]
+    encoders = held("bpe")
+    if key not in encoders:
+        encoders[key] = TreeBpe(file, pattern)
+    return encoders[key]
 
 
 def _ship(docs: DataFrame, rank_file: str):
+    ship(docs.sparkSession)
     with open(rank_file, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 

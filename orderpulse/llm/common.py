@@ -7,6 +7,8 @@ whole Arrow slice at once.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 
 from orderpulse.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 1 << 20  # text bytes handled by one vectorised step (one text at least)
+SLICE_BYTES = 1 << 18  # text bytes handled by one vectorised step (one text at least)
+
+#: Rows and bytes of a batch between Spark and a Python worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
@@ -32,9 +37,23 @@ _INV = pow(_BASE, -1, 1 << 64)
 _POW: dict[int, np.ndarray] = {}
 
 
+_HELD: dict[str, dict] = {}
 _SHIPPED: set[str] = set()
 
 
+def held(owner: str) -> dict:
+    """What a Python worker keeps for one operator between tasks. Workers serve one
+    operator after the other: the tables of the others are released."""
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _HELD[owner] = {}
+    return _HELD[owner]
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python workers, once per application
     (nothing to do when it was submitted as an archive)."""
@@ -43,6 +62,9 @@ def ship(spark: SparkSession) -> None:
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='orderpulse-')}/orderpulse", "zip", root, "orderpulse")
         sc.addPyFile(archive)
         _SHIPPED.add(sc.applicationId)
+    for key, value in BATCHES.items():  # whole texts go through the workers: small batches, unless the user chose
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +78,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
@@ -76,15 +99,16 @@ def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut incoming batches so that a piece holds about SLICE_BYTES of ``column``."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
+           size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut incoming batches so that a piece holds about ``size`` bytes of ``column``."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offs = text_buffer(batch.column(batch.schema.get_field_index(column)))
         lo = 0
         while lo < batch.num_rows:
-            hi = int(np.searchsorted(offs, offs[lo] + SLICE_BYTES, "right")) - 1
+            hi = int(np.searchsorted(offs, offs[lo] + size, "right")) - 1
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo)
             lo = hi

@@ -76,7 +76,7 @@ class Batch:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
-    for b in slices(batches):
+    for b in slices(batches, size=1 << 20):
         yield b, Batch(*text_buffer(b.column(b.schema.get_field_index("text"))))
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderpulse.llm.common import held, ship
+
 PREDICTED = "doc_id long, lang_pred string, score double"
 UNKNOWN = "und"
 LANE = 256  # characters of a lane
@@ -181,16 +183,14 @@ class CrossParser:
         return langs, scores
 
 
-_PARSERS: dict[str, CrossParser] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
     """One parser per Python worker and set of samples."""
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
+    parsers = held("langid")
+    if key not in parsers:
+        parsers.clear()
+        parsers[key] = CrossParser(samples)
+    return parsers[key]
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
@@ -202,6 +202,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     best languages, from 0.5 (a tie; the first name wins) towards 1. Rows are
     independent: repeated rows and null ids are kept, extra columns ignored.
     """
+    ship(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import Words, _powers, mix, slices, stage, text_buffer
+from orderpulse.llm.common import Words, _powers, held, mix, slices, stage, text_buffer
 
 GRAM = 8
 _SEED2 = 0x8F1BBCDCCA62C1D7
@@ -125,6 +125,7 @@ def anchors(docs: DataFrame, min_words: int) -> DataFrame:
     """(gram, hood, hood2, doc, pos): the first anchor of each neighbourhood in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
         for b in slices(batches):
             s = Seeds(b.column(1), min_words)
             hood, hood2 = s.hoods(s.anchors)
@@ -144,6 +145,7 @@ def edge_windows(marked: DataFrame, min_words: int) -> DataFrame:
     """(win, win2, doc, pos): the windows around the ``edge`` anchors of each text, first ones only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
         for b in slices(batches):
             s = Seeds(b.column(1), min_words)
             win, win2, valid = s.windows()
@@ -257,6 +259,7 @@ def kept_digest(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
         for b in slices(batches):
             s = Seeds(b.column(1), min_words)
             gone = removed_words(s, *(b.column(i) for i in range(2, 6)))
@@ -275,13 +278,18 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     A text that loses words keeps its other words, one blank between them; a row
     that loses all of them is dropped. Other rows stay as they are, nulls and
-    empty texts included, with all their columns.
+    empty texts included, with all their columns, whatever their names. Texts of any
+    length are compared whole, rows that repeat an id and text lose nothing to each
+    other, and an empty table gives an empty table.
     """
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
+    own = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names)]  # no clash with the marks
+    docs = docs.toDF(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
         for b in slices(batches):
             s = Seeds(b.column(text_at), min_words)
             marks = [b.column(b.schema.get_field_index(c)) for c in MARKS]
@@ -301,4 +309,4 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
             out = pa.RecordBatch.from_arrays(cols, names)
             yield out.filter(pa.array((removed == 0) | (removed < s.words.n_words)))
 
-    return repeats(docs, min_words).select(*names, *MARKS).mapInArrow(run, docs.schema)
+    return repeats(docs, min_words).select(*own, *MARKS).mapInArrow(run, schema)
