@@ -20,9 +20,11 @@ frequency, the rest follow by hash. Any global order gives the same result.
 
 Verification is exact. Sets that meet under a signature of few sets are compared
 pair by pair. Sets that meet under a signature of more (families of copies) are
-split into blocks, and each pair of blocks is compared in one task by the
-incidence of its tokens; a task returns a spanning forest of its links, never
-the pairs. Equal sets are one node throughout.
+first compared with two of its sets, which joins most of a family in proportion to
+its size. Only where components still meet under such a signature, the sets are
+split into blocks, and pairs of blocks are compared in one task by the incidence of
+their tokens, without those of two blocks of the same component; a task returns a
+spanning forest of its links, never the pairs. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderpulse.llm.common import Words, mix, slices, small_side, stage, text_buffer
+from orderpulse.llm.common import Words, held, mix, ship, slices, small_side, stage, text_buffer
 from orderpulse.llm.components import components
 
 FREQUENT = 64  # sets: a token or signature of more is frequent
-BLOCK = 1024  # sets of a block in a family
+BLOCK = 512  # sets of a block in a family
+BLOCK_SHINGLES = 250_000  # and their shingles: a task holds two blocks at a time
 _CLASS_TOKENS = 12  # frequent tokens of a prefix that one class should hold
 _NODE = np.uint64(0x9E6C63D0876A9A35)
 
@@ -106,21 +109,23 @@ class Rule:
 
 
 def nodes(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
-    """(doc_id, node, n, counted) per row.
+    """(doc_id, hash, node, n, counted) per row.
 
     ``node`` names the set, null when it is empty; ``counted`` of its ``n`` tokens
     take part in the counting of frequencies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
         for b in slices(batches):
             s = Sets(b.column(1), words)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(s.node.view(np.int64), mask=s.n == 0),
+                [b.column(0), b.column(2), pa.array(s.node.view(np.int64), mask=s.n == 0),
                  pa.array(s.n.astype(np.int64)), pa.array(s.per_set(s.hash < rule.sampled))],
-                ["doc_id", "node", "n", "counted"])
+                ["doc_id", "hash", "node", "n", "counted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, counted long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(
+        run, "doc_id long, hash long, node long, n long, counted long")
 
 
 def tokens(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
@@ -131,6 +136,7 @@ def tokens(docs: DataFrame, words: int, rule: Rule) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
         seen: set[int] = set()
         for b in slices(batches):
             s = Sets(b.column(1), words)
@@ -237,34 +243,28 @@ def _forest(sets: list[np.ndarray], size: np.ndarray, name: np.ndarray, left: np
 
 
 def candidates(docs: DataFrame, sets: DataFrame, words: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b) from signatures of few sets, (node, family) from those of more."""
+    """(pairs a, b) from signatures of few sets, (sig, node) from those of more."""
     found = tokens(docs, words, rule)
     df = stage(found.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "token-df")
     shared = found.join(df, "token").groupBy("node").agg(
         F.collect_set(F.struct("token", "df")).alias("seen"))
     signed = sets.join(shared, "node").select("node", "n", "counted", "seen.token", "seen.df")
     sig = stage(signed.mapInArrow(_signatures(rule), "sig long, node long, n long"), "signatures")
-    size = stage(sig.groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.min("node").alias("hub"))
-                 .where("met > 1"), "signature-sizes")
-    big = sig.join(size.where(F.col("met") > FREQUENT), "sig").select(
-        F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    family = stage(components(big).withColumnRenamed("root", "family"), "families")
+    size = stage(sig.groupBy("sig").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "signature-sizes")
+    big = stage(sig.join(size.where(F.col("met") > FREQUENT).select("sig"), "sig").select("sig", "node"), "big")
     few = stage(sig.join(size.where(F.col("met") <= FREQUENT).select("sig"), "sig"), "few")
     other = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"))
     small, large = F.least("n", "nb"), F.greatest("n", "nb")
     pairs = few.withColumnRenamed("node", "a").join(other, "sig").where(
         (F.col("a") < F.col("b")) & (rule.den * small >= rule.num * large)).select("a", "b").distinct()
-    fa = family.select(F.col("node").alias("a"), F.col("family").alias("fa"))
-    fb = family.select(F.col("node").alias("b"), F.col("family").alias("fb"))
-    pairs = pairs.join(fa, "a", "left").join(fb, "b", "left").where(
-        ~F.coalesce(F.col("fa") == F.col("fb"), F.lit(False))).select("a", "b")
-    return stage(pairs, "pairs"), family
+    return pairs, big
 
 
 def _shingles(wanted: DataFrame, words: int) -> DataFrame:
     """(node, set) of rows (text, node) whose text has the set named ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("sets")
         for b in slices(batches):
             s = Sets(b.column(0), words)
             sets = pa.ListArray.from_arrays(pa.array(s.at.astype(np.int32)), pa.array(s.hash.view(np.int64)))
@@ -274,37 +274,93 @@ def _shingles(wanted: DataFrame, words: int) -> DataFrame:
     return wanted.select("text", "node").mapInArrow(run, "node long, set array<long>")
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int, rule: Rule) -> DataFrame:
-    """Edges (a, b) between nodes, with the same components as all links."""
-    pairs, family = candidates(docs, sets, words, rule)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(family.select("node")).distinct()
-    wanted = stage(wanted.join(sets, "node").select("node", "rep"), "wanted")
+def _full(docs: DataFrame, sets: DataFrame, nodes_: DataFrame, words: int) -> DataFrame:
+    """(node, set) of the nodes named."""
+    wanted = stage(nodes_.join(sets, "node").select("node", "rep"), "wanted")
     key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    full = stage(_shingles(docs.join(small_side(wanted), key == F.col("rep")), words), "sets")
+    return stage(_shingles(docs.join(small_side(wanted), key == F.col("rep")), words), "sets")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
     a = full.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     b = full.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    near = (pairs.join(a, "a").join(b, "b").withColumn("common", common).where(
+    return (pairs.join(a, "a").join(b, "b").withColumn("common", common).where(
         rule.den * F.col("common") >= rule.num * (F.size("sa") + F.size("sb") - F.col("common")))
         .select("a", "b"))
 
-    tally = family.join(sets, "node").groupBy("family").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / 2_000_000)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (family.join(tally, "family").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("node", "family", "own", F.least("own", "other").alias("i"),
-                     F.greatest("own", "other").alias("j")).join(full, "node"))
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    """``rows`` with the component of a column's node, itself where it has none."""
+    named = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    return rows.join(named, node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, words: int, rule: Rule) -> DataFrame:
+    """(node, root) for every linked node: the components of all links."""
+    pairs, big = candidates(docs, sets, words, rule)
+    # under a signature of many sets each is compared with two of them first: a family of copies
+    # is joined in proportion to its size
+    hubs = big.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    stars = big.join(hubs, "sig").select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
+    stars = stage(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "stars")
+    members = stage(big.select("node").distinct(), "members")
+    full = _full(docs, sets, members, words)
+    first = stage(_verified(stars, full, rule), "star-links")
+    # pairs that both hang on one set are joined already
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
+                             F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    hung = stage(first.select(ends.alias("e")).select("e.*").groupBy("node").agg(
+        F.min("other").alias("other")).select("node", F.least("node", "other").alias("root")), "hung")
+    pairs = _rooted(_rooted(pairs, hung, "a", "ra"), hung, "b", "rb").where("ra <> rb").select("a", "b")
+    pairs = stage(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    more = _full(docs, sets, ends.join(members, "node", "left_anti"), words)
+    near = stage(first.union(_verified(pairs, full.union(more), rule)), "near")
+
+    # signatures under which two components still meet
+    roots = stage(components(near), "roots")
+    rooted = stage(_rooted(big, roots, "node", "root"), "rooted")
+    apart = stage(rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                            F.min("node").alias("hub")).where("low <> high"), "open")
+    if not apart.count():
+        return roots
+    left = rooted.join(apart.select("sig", "hub"), "sig")
+    family = stage(components(left.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "families")
+    sized = stage(_rooted(family.withColumnRenamed("root", "family"), roots, "node", "root").join(
+        sets.select("node", "n"), "node"), "family-sets")
+    most = sized.groupBy("family", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("family").agg(
+        F.max_by("root", F.struct("size", "root")).alias("most"))
+    sized = sized.join(most, "family").withColumn("same", F.col("root") == F.col("most"))
+    # the sets of a family's largest component are compared with the others only, never with each other
+    count = lambda same: F.greatest(
+        F.ceil(F.count_if(same) / BLOCK), F.ceil(F.sum(F.when(same, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+    blocks = sized.groupBy("family").agg(count(~F.col("same")).alias("others"), count(F.col("same")).alias("sames"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("same"), F.col("sames")).otherwise(F.col("others"))).cast("int")
+    range_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda same, i, j: F.struct(F.lit(same).alias("across"), i.alias("i"), j.alias("j"))
+    me = F.col("own")
+    cells = F.when(F.col("same"), F.transform(range_("others"), lambda x: cell(True, x, me))).otherwise(F.concat(
+        F.transform(range_("others"), lambda x: cell(False, F.least(me, x), F.greatest(me, x))),
+        F.transform(range_("sames"), lambda x: cell(True, me, x))))
+    dealt = (sized.join(blocks, "family").where("others > 0").withColumn("own", own)
+             .select("node", "family", "same", "own", F.explode(cells).alias("cell"))
+             .select("node", "family", "same", "own", "cell.*").join(full, "node"))
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
+        held("sets")
         f = f.drop_duplicates("node")
-        sets_ = [np.asarray(x) for x in f["set"]]
-        left = (f["own"] == f["i"]).to_numpy()
-        edges = _forest(sets_, np.array([len(x) for x in sets_]), f["node"].to_numpy(), left, rule)
+        across = bool(f["across"].iloc[0])
+        one_side = (~f["same"] if across else f["own"] == f["i"]).to_numpy()
+        edges = []
+        if not across or 0 < one_side.sum() < len(f):
+            sets_ = [np.asarray(x) for x in f["set"]]
+            edges = _forest(sets_, np.array([len(x) for x in sets_]), f["node"].to_numpy(), one_side, rule)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    within = dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
-    return stage(near.union(within), "links")
+    within = dealt.groupBy("family", "across", "i", "j").applyInPandas(compare, "a long, b long")
+    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(within))
 
 
 def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -319,30 +375,50 @@ def join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFr
     are one node; an empty table gives an empty table; extra columns are ignored.
     Sets and shingles are told apart by 64-bit hashes.
     """
+    linked = _linked(docs, words, num, den)
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(
+        F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _linked(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, hash, n, root, component_id) per row: hash of the text, size of the set, a
+    name of the component (null without a word) and its least id."""
+    ship(docs.sparkSession)
     rule = Rule(num, den)
+    docs = docs.select("doc_id", "text")
     rows = stage(nodes(docs, words, rule), "rows")
     none = 2**63 - 1
     sets = stage(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min(F.coalesce(F.col("doc_id"), F.lit(none))).alias("rep"), F.max("n").alias("n"),
         F.max("counted").alias("counted")), "node-sets")
-    linked = stage(components(links(docs.select("doc_id", "text"), sets, words, rule)), "linked")
-    least = sets.join(linked, "node").groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(least, "root").select("node", "component_id")
+    linked = stage(linked_sets(docs, sets, words, rule), "linked")
+    least = sets.join(linked, "node").groupBy("root").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "root").select("node", "root", "least")
     named = stage(sets.join(linked, "node", "left").select(
-        "node", F.coalesce("component_id", "rep").alias("component_id")), "named")
+        "node", F.coalesce("root", "node").alias("root"), F.coalesce("least", "rep").alias("least")), "named")
     return rows.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).when(
-            F.col("component_id") < none, F.col("component_id")).alias("component_id"))
+        "doc_id", "hash", "n", "node", "root",
+        F.when(F.col("least") < none, F.col("least")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One row of each component of ``join``, the one with the least id, all columns unchanged.
 
-    Of repeated rows (equal id and text) one stays; rows without a word or
-    without an id stay unless they repeat.
+    Rows are told apart by id and text: of rows that share both one stays, whatever
+    their other columns; another text under the id of a removed one is judged by its
+    own component. Of the least id's texts in a component one stays. Rows without a
+    word or without an id stay unless they repeat (null and empty texts differ).
+    Whole texts are compared however long; an empty table gives an empty table, and
+    further columns may have any name.
     """
-    losers = join(docs, words, num, den).where(F.col("doc_id") != F.col("component_id"))
-    losers = stage(losers.select(F.col("doc_id").alias("__loser")).distinct(), "losers")
-    left = docs.join(losers, F.col("doc_id") == F.col("__loser"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    names = docs.columns
+    cols = [f"c{i}" for i in range(len(names))]
+    doc, text = (cols[names.index(c)] for c in ("doc_id", "text"))
+    rows = stage(_linked(docs, words, num, den).where("doc_id is not null and node is not null").select(
+        "doc_id", "hash", "root", (F.col("doc_id") == F.col("component_id")).alias("least")).distinct(), "linked-rows")
+    first = rows.where("least").groupBy("root").agg(F.min("hash").alias("first"))
+    losers = rows.join(first, "root", "left").where("not least or hash <> first").select("doc_id", "hash")
+    losers = stage(losers, "losers")
+    body = docs.toDF(*cols).withColumn("h", F.xxhash64(text)).withColumn("no_text", F.col(text).isNull())
+    left = body.join(losers, (F.col("doc_id") == F.col(doc)) & (F.col("hash") == F.col("h")), "left_anti")
+    return left.dropDuplicates([doc, "h", "no_text"]).select(*cols).toDF(*names)

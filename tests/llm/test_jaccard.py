@@ -77,3 +77,33 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (200, 100)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 100}
+
+
+def test_dedup_keeps_another_text_under_the_id_of_a_copy(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (1, b + " more of it", 3), (7, a.upper(), 4), (1, a.replace(" ", "  "), 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __loser int")
+    got = sorted(tuple(r) for r in J.dedup(df).collect())
+    # a and its copies leave one row, b and its near copy the other; unrelated texts may share an id
+    assert [r[:2] for r in got if r[1].startswith("b")] == [(1, b + " more of it")]
+    assert len(got) == 2 and {r[0] for r in got} == {1}
+
+
+def test_one_large_family_is_joined_in_proportion_to_its_size(spark, monkeypatch):
+    monkeypatch.setattr(J, "FREQUENT", 8)
+    monkeypatch.setattr(J, "BLOCK", 20)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(200)}" for _ in range(400)]
+    rows = []
+    for d in range(240):  # one word of 400 is changed: near the first and last copy, too
+        w = list(base)
+        w[rng.randrange(400)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + d, " ".join(base[:200] + [f"y{d}.{i}" for i in range(60)])) for d in range(12)]  # half of it
+    compared = []
+    whole = J._forest
+    monkeypatch.setattr(J, "_forest", lambda *a: compared.append(1) or whole(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in J.join(df, 5, 8, 10).collect()), key=str)
+    assert got == brute(rows, 5, 8, 10)
+    assert {c for d, _, c in got if d < 1000} == {0}
