@@ -1,23 +1,23 @@
-"""Toxicity by compression distance with two zstandard dictionaries.
+"""Toxicity by compression distance with separate zstandard dictionaries.
 
-One dictionary is trained on ordinary labelled text, one on toxic labelled text.
-A window (one word in a fixed carrier, at most ``WINDOW`` bytes) is compressed
-with each; the bytes that the toxic dictionary saves, and the share of the window
-that they are, measure how much nearer the window is to toxic text. A document
-is toxic when one of its windows reaches both calibrated thresholds.
+One dictionary is trained on toxic, one on ordinary labelled text. Overlapping
+windows of up to ``SPAN`` words (in a fixed carrier, at most ``WINDOW`` bytes) are
+compressed with each; the bytes that the toxic dictionary saves, and the share of
+the window that they are, measure how much nearer the window is to toxic text. A
+document is toxic when one of its windows reaches both calibrated thresholds.
 
 What toxic and ordinary text share tells nothing, so both dictionaries hold the
-same ordinary part. The toxic one adds a part trained on words of toxic rows that
-the ordinary sample never shows and that occur after several different words
-(copies of one text are left out of the samples); the ordinary one adds as much trained
-ordinary text.
+same ordinary part. The toxic one adds a part trained on the word runs that are
+much more frequent in toxic rows (copies of one text are left out of the samples),
+the ordinary one as much trained ordinary text. Windows that have nothing of the
+toxic part cannot be shortened by it and are not compressed.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderpulse.llm.common import stage
+from orderpulse.llm.common import held, ship, stage
 
 WINDOW = 48
 SHARED_BYTES = 16 * 1024  # of the ordinary part in both dictionaries
-OWN_BYTES = 2048  # of the part that differs
+OWN_BYTES = 4096  # of the part that differs
+SPAN = 3  # words of a window at most
+PIECE = 5  # characters of a word that the toxic dictionary can match inside another
 _CARRIER = b" the carrier of one window, between fixed neighbours " * 2
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -85,14 +87,18 @@ def _train(words: list[bytes], size: int) -> bytes:
 
 
 class Scorer:
-    """Windows' savings under a model, remembered per word."""
+    """Windows' savings under a model, remembered per worker."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, float] = {}
+        self.hot: dict[str, bool] = {}
+        self.known: dict[bytes, tuple[int, float]] = {}
         if model.toxic is not None:
             self.shared, self.ordinary, self.toxic = (
                 self._compressor(d) for d in (model.shared, model.ordinary, model.toxic))
+            own = model.toxic[:len(model.toxic) - len(model.shared)].decode(errors="ignore")
+            self.words = set(_WORD.findall(own))
+            self.pieces = {w[i:i + PIECE] for w in self.words for i in range(len(w) - PIECE + 1)}
 
     @staticmethod
     def _compressor(content: bytes) -> zs.ZstdCompressor:
@@ -103,64 +109,117 @@ class Scorer:
         held = zs.ZstdCompressionDict(content + _CARRIER, dict_type=zs.DICT_TYPE_RAWCONTENT)
         return zs.ZstdCompressor(dict_data=held, compression_params=params)
 
-    def saving(self, word: str) -> tuple[int, float]:
-        """Bytes saved by the toxic dictionary, and as a share of the window; the best of a long word's windows."""
-        raw, best = word.encode(), (0, 0.0)
-        for lo in range(0, len(raw), WINDOW):
-            part = _CARRIER + raw[lo:lo + WINDOW] + b" "
+    def may_match(self, word: str) -> bool:
+        """Has the toxic dictionary's own part anything of the word? Windows without such
+        a word are not shortened by it, so they need not be compressed."""
+        got = self.hot.get(word)
+        if got is None:
+            got = word in self.words or any(word[i:i + PIECE] in self.pieces for i in range(len(word) - PIECE + 1))
+            if len(word) <= WINDOW:
+                if len(self.hot) >= _CACHE_WORDS:
+                    self.hot.clear()
+                self.hot[word] = got
+        return got
+
+    def windows(self, text: str) -> set[bytes]:
+        """The windows of up to SPAN words with a word that the toxic dictionary may
+        match; they overlap, and a long word is cut into windows of its own."""
+        words = _words(text)
+        hot = [i for i, w in enumerate(words) if self.may_match(w)]
+        out = set()
+        for i in hot:
+            for n in range(1, SPAN + 1):
+                for lo in range(max(0, i - n + 1), min(i, len(words) - n) + 1):
+                    raw = " ".join(words[lo:lo + n]).encode()
+                    if n == 1 or len(raw) <= WINDOW:
+                        out.update(raw[at:at + WINDOW] for at in range(0, len(raw), WINDOW // 2)
+                                   if at == 0 or len(raw) - at > WINDOW // 2)
+        return out
+
+    def saving(self, window: bytes) -> tuple[int, float]:
+        """Bytes saved by the toxic dictionary, and as a share of the window."""
+        got = self.known.get(window)
+        if got is None:
+            part = _CARRIER + window + b" "
             toxic = len(self.toxic.compress(part))
             saved = len(self.ordinary.compress(part)) - toxic
             if saved > 1:  # an unlucky parse with one ordinary dictionary is no saving
                 saved = min(saved, len(self.shared.compress(part)) - toxic)
-            best = max(best, (saved, saved / (min(len(raw) - lo, WINDOW) + 2)))
-        return best
-
-    def strength(self, word: str) -> float:
-        """1 or more when the window reaches both thresholds."""
-        got = self.known.get(word)
-        if got is None:
-            saved, share = self.saving(word)
-            got = max(0.0, min(saved / self.model.saved, share / self.model.share))
-            if len(word) <= WINDOW:
-                if len(self.known) >= _CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = got
+            got = saved, saved / (len(window) + 2)
+            if len(self.known) >= _CACHE_WORDS:
+                self.known.clear()
+            self.known[window] = got
         return got
 
     def score(self, text: str) -> float:
         if self.model.toxic is None:
             return 0.0
-        each = [self.strength(w) for w in set(_words(text))]
+        each = [max(0.0, min(saved / self.model.saved, share / self.model.share))
+                for saved, share in map(self.saving, self.windows(text))]
         top = max(each, default=0.0)
         if top >= 1:
             top *= 1 + 0.25 * np.log(sum(x >= 1 for x in each))
         return float(top / (1 + top))
 
 
-def fit(rows: list[tuple[str, int]], support: float = 0.02, min_support: int = 4) -> Model:
-    """Train on two thirds of the rows (text, label), choose thresholds on the others."""
+def _grams(words: list[str]) -> set[str]:
+    return {" ".join(words[i:i + n]) for n in range(1, SPAN + 1) for i in range(len(words) - n + 1)}
+
+
+def _marked(toxic: list[str], ordinary: list[str], ratio: float, evidence: float) -> dict[str, int]:
+    """Runs of up to SPAN words that toxic texts have ``ratio`` times as often, with the
+    texts that have them. Frequencies are compared (log-likelihood ratio of ``evidence``
+    or more), so a quotation or a wrong label does not clear a run. A run that hardly
+    occurs outside a longer marked one gives way to it; other longer ones that hold a
+    marked run say nothing new."""
+    enough = evidence / (2 * np.log((len(toxic) + len(ordinary)) / len(toxic)))
+    # counted by hash first: only runs that can be frequent enough are held by name
+    bucket = lambda g: zlib.crc32(g.encode()) & 0x3FFFFF
+    sizes = np.zeros(0x400000, np.int32)
+    for t in toxic:
+        np.add.at(sizes, np.array([bucket(g) for g in _grams(_words(t))], np.int64), 1)
+    have: dict[str, int] = Counter()
+    for t in toxic:
+        have.update(g for g in _grams(_words(t)) if sizes[bucket(g)] >= enough)
+    have = {g: n for g, n in have.items() if n >= enough}
+    other: dict[str, int] = Counter()
+    for t in ordinary:
+        other.update(g for g in _grams(_words(t)) if g in have)
+    found: dict[str, int] = {}
+    part = len(toxic) / (len(toxic) + len(ordinary))
+    for g in sorted(have):
+        a, b = have[g], other[g]
+        g2 = 2 * (a * np.log(a / ((a + b) * part)) + (b * np.log(b / ((a + b) * (1 - part))) if b else 0.0))
+        if a * (len(ordinary) + 1) < ratio * (b + 0.5) * len(toxic) or g2 < evidence:
+            continue
+        found[g] = a
+    inner = {g: [x for x in _grams(g.split(" ")) if x in found and x != g] for g in found}
+    explained = {x for g in found for x in inner[g] if found[g] >= 0.9 * found[x]}
+    return {g: a for g, a in found.items() if g not in explained and all(x in explained for x in inner[g])}
+
+
+def fit(rows: list[tuple[str, int]], ratio: float = 8.0, evidence: float = 30.0) -> Model:
+    """Train on two thirds of the rows (text, label), choose thresholds on the others.
+
+    Three dictionaries are trained: one on words of the ordinary texts that both
+    others end with, one on more of them, and one on the word runs that mark toxic
+    texts (``_marked``), each sample as often as it occurs. Of equal thresholds the
+    largest are taken.
+    """
     part = {y: _different([t for t, z in rows if z == y]) for y in (0, 1)}
     train = {y: t[:max(1, 2 * len(t) // 3)] for y, t in part.items()}
     held = [(t, y) for y in (0, 1) for t in part[y][len(train[y]):]]
     common: Counter[str] = Counter()
     for t in train[0]:
         common.update(set(_words(t)))
-    after: dict[str, set[str]] = defaultdict(set)
-    for t in train[1]:
-        prev = ""
-        for w in _words(t):
-            if w not in common:
-                after[w].add(prev)
-            prev = w
-    need = max(min_support, support * len(train[1]))
-    marked = {w: len(p) for w, p in after.items() if len(p) >= need}
+    marked = _marked(train[1], train[0], ratio, evidence) if train[0] and train[1] else {}
     rng = np.random.default_rng(7)
 
     def samples(counts: dict[str, int], top: int) -> list[bytes]:
         out = [f" {w} ".encode() for w in sorted(counts) for _ in range(min(counts[w], top))]
         return [out[i] for i in rng.permutation(len(out))]
 
-    ordinary = samples(common, 50)
+    ordinary = samples({w: n for w, n in common.items() if w not in marked}, 50)
     half = len(ordinary) // 2
     shared = _train(ordinary[:half][:200_000], SHARED_BYTES)
     if not marked:
@@ -169,13 +228,11 @@ def fit(rows: list[tuple[str, int]], support: float = 0.02, min_support: int = 4
                   _train(samples(marked, 1000), OWN_BYTES) + shared)
     if not held:
         return model
-    scorer, known = Scorer(model), {}
-    for t, _ in held:
-        known.update((w, scorer.saving(w)) for w in set(_words(t)) if w not in known)
-    seen = [({known[w] for w in set(_words(t))}, y) for t, y in held]
+    scorer = Scorer(model)
+    seen = [({scorer.saving(w) for w in scorer.windows(t)}, y) for t, y in held]
     best = (-1.0, model.saved, model.share)
-    for saved in (2, 3, 4, 5):
-        for share in np.arange(0.2, 0.61, 0.05).round(2).tolist():
+    for saved in range(2, 11):
+        for share in np.arange(0.1, 0.61, 0.05).round(2).tolist():
             hit = [(any(s >= saved and r >= share for s, r in ws), y) for ws, y in seen]
             right = sum(h and y for h, y in hit)
             f1 = 2 * right / max(1, sum(h for h, _ in hit) + sum(y for _, y in hit))
@@ -203,24 +260,24 @@ def hash_order(i: int) -> int:
     return (i * 0x9E3779B97F4A7C15 + 0x2545F491) & (2**64 - 1)
 
 
-_SCORERS: dict[Model, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of each whole text.
 
     Null and empty texts, and all texts under a model that learned nothing, score
-    0. Rows are independent, so repeated rows get equal scores; all columns are
+    0; an empty table gives an empty table; texts of any length are scored
+    whole, their best window counts. Rows are independent, so repeated rows get equal scores; all columns are
     kept, except those named ``score`` or ``predicted``, which are replaced.
     """
+    ship(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[model] = Scorer(model)
-        scorer = _SCORERS[model]
+        scorers = held("toxicity")
+        if model not in scorers:
+            scorers.clear()
+            scorers[model] = Scorer(model)
+        scorer = scorers[model]
         for b in batches:
             got = [scorer.score(t.as_py() or "") for t in b.column(text_at)]
             cols = [b.column(i) for i in range(len(names))]
