@@ -20,19 +20,28 @@ from pyspark.sql import functions as F
 
 from orderpulse.llm.common import stage
 
-#: A run of 12 characters or more, not inside a longer run, that has a digit in it, starts
-#: like a vendor's key or follows an assignment to a credential name.
-CANDIDATE = (r"(?<![A-Za-z0-9_+/.@%-])(?:(?=[A-Za-z_+/.@%-]{0,80}[0-9])|(?=AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_|AIza|eyJ)"
-             r"|(?<=(?i:password|passwd|secret|token|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?))"
-             r"[A-Za-z0-9][A-Za-z0-9_+/.@%-]{10,}[A-Za-z0-9]={0,2}")
+CREDENTIAL = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|auth)"
+#: What stands before the value of a credential: its name, an assignment, perhaps a quote.
+_GIVEN = CREDENTIAL.replace("(?i)(?:", "(?i:") + r"\w{0,20}[\"'`]?\s{0,3}(?:=>?|:)\s{0,3}"
+#: The whole value of a credential assignment (4 characters or more of any kind: up to the closing
+#: quote, or up to a blank), or a run of 12 characters or more, not inside a longer run, that has a
+#: digit in it or starts like a vendor's key.
+CANDIDATE = (r"(?<=[=:>\s\"'`])(?:"
+             r"(?<=[=:>\s]\")(?<=" + _GIVEN + r"\")[^\"\r\n]{4,}(?=\")"
+             r"|(?<=[=:>\s]')(?<=" + _GIVEN + r"')[^'\r\n]{4,}(?=')"
+             r"|(?<=[=:>]\s{0,3})(?<=" + _GIVEN + r")[^\s\"'`,;<>(){}\[\]]{4,})"
+             r"|(?<![A-Za-z0-9_+/.@%-])(?:(?=[A-Za-z_+/.@%-]{0,80}[0-9])|(?=AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_|AIza|eyJ))"
+             r"[A-Za-z0-9_+/-][A-Za-z0-9_+/.@%-]{10,}[A-Za-z0-9_+/-]={0,2}")
 #: Key formats that vendors document.
 VENDOR = (r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{22,}|xox[abprs]-[\w-]{10,}"
           r"|sk_(?:live|test)_\w{16,}|AIza[\w-]{35}|glpat-[\w-]{20}|npm_\w{36}|eyJ[\w-]+\.[\w-]+\.[\w-]+)$")
-CREDENTIAL = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_ -]?key|access[_ -]?key|credential|auth)"
 ASSIGNED = CREDENTIAL + r"\w{0,20}[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?$"
+#: Numbers, mail and network addresses, identifiers, versions and urls, wherever they stand ...
 HARMLESS = (r"(?i)^(?:[0-9][0-9 .:/-]*|[\w.+%-]+@[\w-]+\.[\w.-]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
-            r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[a-z]+[0-9]{1,4}|v?[0-9]+(?:\.[0-9]+)+[\w.-]*"
-            r"|(?:[\w.%+-]*/)+[\w.%+-]*|(?:[\w-]+\.)+[a-z]{2,8}[0-9]?)$")
+            r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|v?[0-9]+(?:\.[0-9]+)+[\w.-]*"
+            r"|[a-z]{2,8}://\S*|(?:[\w-]+\.)+[a-z]{2,8}[0-9]?)$")
+#: ... and words with a number or paths where no credential is assigned.
+PLAIN = r"(?i)^(?:[a-z]+[0-9]{1,4}|(?:[\w.%+-]*/)+[\w.%+-]*)$"
 FEATURES = ["length", "digits", "upper", "lower", "symbols", "changes", "distinct", "hard_runs", "covered",
             "slashes", "dots", "at_sign", "scheme", "credential_near", "assigned", "quoted", "words_near"]
 
@@ -57,12 +66,10 @@ def findings(docs: DataFrame) -> DataFrame:
                     F.substring(F.col("p")[F.col("ordinal") + 1], 1, 60).alias("after")))
 
 
-def dictionary(docs: DataFrame, rows: int = 2000, words: int = 400) -> list[str]:
-    """The most frequent words of 4 to 12 letters in about ``rows`` documents (by id hash)."""
-    total = docs.count()
-    unit = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    found = docs.where(unit < rows / max(1, total)).select(
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,12}\b"), 0)).alias("w"))
+def dictionary(docs: DataFrame, words: int = 400) -> list[str]:
+    """The words of 4 to 12 letters that most documents have."""
+    found = docs.select(F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,12}\b"), 0))).alias("w"))
     top = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(words)
     return sorted(r["w"] for r in top.collect())
 
@@ -100,7 +107,8 @@ def labels() -> Column:
     """1 secret, 0 harmless, null unknown, by the rules of the labelled findings."""
     v, before = F.col("value"), F.col("before")
     return (F.when(v.rlike(VENDOR), 1).when(v.rlike(HARMLESS), 0)
-            .when(before.rlike(ASSIGNED) & v.rlike("[0-9]") & v.rlike("[A-Za-z]"), 1))
+            .when(before.rlike(ASSIGNED) & v.rlike("[0-9]") & v.rlike("[A-Za-z]"), 1).when(v.rlike(PLAIN), 0)
+            .when(before.rlike(ASSIGNED) & v.rlike("^[A-Za-z]+[.?!]?$"), 0))
 
 
 def train(labelled: DataFrame, sample: int = 20_000, trees: int = 30, depth: int = 6,
@@ -154,11 +162,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; a column ``n_chars`` follows.
 
     Rows without a secret stay as they are, nulls and empty texts included, and
-    all columns are kept.
+    all columns are kept, whatever their names. Texts of any length are searched
+    whole; an empty table gives an empty table.
     """
+    names, chars_type = docs.columns, dict(docs.dtypes).get("n_chars")
     secret = scan(docs.select("doc_id", "text")).where("is_secret").groupBy("doc_id", "text_hash").agg(
         F.collect_set("ordinal").alias("__at"))
     secret = stage(secret.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__at"), "secrets")
+    own = [c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(names)]
+    docs = docs.toDF(*own)
     hit = docs.join(secret, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     values, parts = F.regexp_extract_all("text", F.lit(CANDIDATE), 0), F.split("text", CANDIDATE, -1)
     shown = F.transform(values, lambda x, i: F.when(F.array_contains(F.col("__at"), i), mark).otherwise(x))
@@ -167,5 +179,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     out = hit.withColumn("text", new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__at").isNull(), F.col("n_chars")).otherwise(
-            F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+            F.char_length("text")).cast(chars_type))
+    return out.select(*own).toDF(*names)
