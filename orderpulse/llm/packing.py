@@ -27,6 +27,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from orderpulse.llm.common import held, ship
+
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 _CACHE_WORDS = 500_000
@@ -131,20 +133,41 @@ class LevelPacker:
             self._place((doc, full // 4, ids[full:], total))
 
     def _place(self, piece: tuple) -> None:
+        """Put a piece where the sum of squared counts grows least.
+
+        At fewer than ``max_open`` windows: a new window or a level it fits on. At
+        that number: a level it fits on, or one whose window it fills, cut there,
+        its rest being a window of its own. Of equal choices an uncut one, then the
+        lowest level.
+        """
         size, count, w = len(piece[2]) // 4, self.count, self.window
+        none = np.iinfo(np.int64).max
         # change of the sum of squares when a window goes from level h to h + size
         change = 2 * count[size:] + 2
         change[:w + 1 - size] -= 2 * count[:w + 1 - size]
         change[0] = 2 * count[size] + 1
         change[w - size] -= 2 * count[w] + 2 - 1  # a full window leaves the count
-        change[1:][count[1:w + 1 - size] == 0] = np.iinfo(np.int64).max
+        change[1:][count[1:w + 1 - size] == 0] = none
         if size == w:
             change[0] = 0
-        level = int(change.argmin())
+        level, cut = -1, False
+        if self.n_open >= self.max_open:
+            change[0] = none
+            # h fills up and leaves the count, the rest of the piece opens level h + size - w
+            over = np.where(count[w - size + 1:w] > 0, 2 * count[1:size] + 2 - 2 * count[w - size + 1:w], none)
+            if len(over) and over.min() < change.min():
+                level, cut = int(over.argmin()) + w - size + 1, True
+        if not cut:
+            level = int(change.argmin())
         pieces = self.open[level].pop() if level else []
         if level:
             count[level] -= 1
             self.n_open -= 1
+        if cut:
+            doc, start, ids, total = piece
+            room = w - level
+            self._close([*pieces, (doc, start, ids[:4 * room], total)])
+            pieces, piece, level, size = [], (doc, start + room, ids[4 * room:], total), 0, size - room
         pieces.append(piece)
         if level + size == w:
             self._close(pieces)
@@ -152,11 +175,9 @@ class LevelPacker:
         self.open[level + size].append(pieces)
         count[level + size] += 1
         self.n_open += 1
-        if self.n_open >= self.max_open:
-            self.empty()
 
-    def empty(self, last: bool = False) -> None:
-        """Lay the open windows end to end and cut them into full ones."""
+    def empty(self) -> None:
+        """At the end: lay the open windows end to end, cut them into full ones and the rest at powers of two."""
         room, now = self.window, []
         for level in range(self.window, 0, -1):
             for pieces in self.open[level]:
@@ -175,10 +196,6 @@ class LevelPacker:
         self.n_open = 0
         if not now:
             return
-        if not last:
-            self.open[self.window - room].append(now)
-            self.count[self.window - room] = self.n_open = 1
-            return
         left = self.window - room
         for bit in range(left.bit_length() - 1, -1, -1):
             need = left & (1 << bit)
@@ -194,19 +211,17 @@ class LevelPacker:
                 self._close(group)
 
 
-_TOKENIZERS: dict[int, WordTokenizer] = {}
-
-
 def _tokenizer(file: bytes) -> WordTokenizer:
-    """One tokenizer per Python worker; its word tables live as long as the worker."""
+    """One tokenizer per Python worker; its word tables stay until another operator's tasks come."""
     key = zlib.crc32(file)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = WordTokenizer(file)
-    return _TOKENIZERS[key]
+    tokenizers = held("packing")
+    if key not in tokenizers:
+        tokenizers[key] = WordTokenizer(file)
+    return tokenizers[key]
 
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int = 1,
-         max_open: int = 4096) -> DataFrame:
+         max_open: int = 256) -> DataFrame:
     """One row per piece of a document, with its place in a sequence.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. A null or
@@ -214,8 +229,12 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int =
     order; a null ``doc_id`` stays null. An empty table gives no rows. Texts of
     any length are cut into windows as they are read. Sequence ids are the
     partition number times 2**32 plus a running number. At most ``max_open``
-    windows (under 2048 ids each) are held in memory.
+    windows (under 2048 ids each) are open at a time; from then on a piece that fits
+    on no better level fills a window and is cut there, so that windows are closed
+    by the choice of level and only what is open at a partition's end is laid end to
+    end. Of equal levels the lowest is taken, of one level's windows the newest.
     """
+    ship(docs.sparkSession)
     with open(tokenizer_file, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([end_id], "<u4").tobytes()
@@ -238,7 +257,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = 2048, end_id: int =
                 packer.add(doc, tok.ids(text.as_py() or "") + end)
                 if len(packer.done) >= 20_000:
                     yield flush()
-        packer.empty(last=True)
+        packer.empty()
         yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
