@@ -92,6 +92,8 @@ def _leaves(nodes: DataFrame, bits: int, trees: range, k: int) -> DataFrame:
     tally = placed.groupBy("tree", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = placed.join(tally, ["tree", "side"]).withColumn(
         "block", F.pmod(F.xxhash64("node", "tree"), F.col("blocks")))
+    # the join's layout by (tree, side) would keep all blocks of a hot side in one task
+    placed = placed.repartition("tree", "side", "block")
 
     def nearest(f: pd.DataFrame) -> pd.DataFrame:
         v = _unit(np.concatenate(f["v"].to_numpy()), len(f["v"].iloc[0]))
@@ -344,4 +346,4 @@ def _rows(vectors: DataFrame, named: DataFrame) -> DataFrame:
     out = out.join(named, F.col("w") == F.col("v"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("component", "vec_id").alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        "kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

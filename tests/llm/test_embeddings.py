@@ -99,3 +99,10 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert N.near_duplicates(df.where("false")).collect() == []
     assert [tuple(r) for r in N.near_duplicates(df).collect()] == [(5, 0, 5, True)]
+
+
+def test_a_null_id_is_kept_only_when_it_names_its_component(spark):
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(2, v), (None, v), (None, [9.0, -1.0, 0.5]), (5, [-3.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((str(r["vec_id"]), str(r["component_id"]), r["kept"]) for r in N.near_duplicates(df).collect())
+    assert got == [("2", "2", True), ("5", "5", True), ("None", "2", False), ("None", "None", True)]
