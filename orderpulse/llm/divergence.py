@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from orderpulse.llm.common import ship, slices, stage, text_buffer
 from orderpulse.llm.terms import Cut, encode
 
-SPAN = 4096  # terms of one task of a pair of tiles: 64 blocks of 64
+SPAN = 512  # terms of one task of a pair of tiles: 8 blocks of 64
 TILE = 64  # sources of a tile, about
 
 _LETTERS = np.zeros(256, bool)
@@ -37,7 +37,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term and documents with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=1 << 20):  # fewer partial counts
             cut = Cut(*text_buffer(b.column(0)), _LETTERS)
             if not len(cut.words):
                 continue
