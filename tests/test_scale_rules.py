@@ -90,3 +90,8 @@ def test_forest_does_not_depend_on_the_input_layout(spark):
     got = [sorted((r.order_id, r.y_proba) for r in M.score(M.train(f.repartition(n), spec), f)
                   .select("order_id", "y_proba").collect()) for n in (4, 8)]
     assert got[0] == got[1]
+
+
+def test_boosting_partitions_grow_slowly(spark):
+    assert [M._boosting_partitions(n) for n in (0, 1, 118_000, 1_200_000)] == [1, 1, 10, 24]
+    assert M._boosting_partitions(42_000_000) == 168  # 590 tasks a pass and 7 million rows before
