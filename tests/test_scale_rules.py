@@ -95,3 +95,30 @@ def test_forest_does_not_depend_on_the_input_layout(spark):
 def test_boosting_partitions_grow_slowly(spark):
     assert [M._boosting_partitions(n) for n in (0, 1, 118_000, 1_200_000)] == [1, 1, 10, 24]
     assert M._boosting_partitions(42_000_000) == 168  # 590 tasks a pass and 7 million rows before
+
+
+def test_quantile_of_a_large_group_orders_only_the_values_near_it(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(metrics, "ROWS_PER_BUCKET", 1000)
+    df = spark.range(40_000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 50 == 1, 7.0).otherwise(
+        F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("double")).alias("v"))
+    v = {k: x.v.to_numpy() for k, x in df.toPandas().groupby("g")}
+    assert metrics._values_near(df.select("g", F.col("v").alias("_v")), 0.5, ["g"]).count() < 200
+    for near in (metrics.NEAR, -0.2):  # the second leaves the ranks outside
+        monkeypatch.setattr(metrics, "NEAR", near)
+        for q in (0.0, 0.01, 0.5, 0.99, 1.0) if near > 0 else (0.5,):
+            got = {r.g: r.q for r in metrics.exact_quantile(df, "v", q, "g").collect()}
+            assert got == {k: float(np.quantile(x, q)) for k, x in v.items()}, (q, near)
+            assert metrics.exact_quantile(df, "v", q).first().q == float(np.quantile(np.concatenate(list(v.values())), q))
+
+
+def test_buckets_by_raw_rows_give_the_same_auc_and_ks(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") % 3).cast("int").alias("month"), (F.col("id") % 7 % 2).cast("int").alias("y"),
+                                  ((F.col("id") * 7919) % 1009 / 10.0).alias("s"))
+    long = drift.to_long(df, ["s"], ["month"])
+    def run():
+        ks = drift.ks(long.where("month = 0").drop("month"), long.where("month > 0"), [1, 2, 9])
+        return sorted(map(str, metrics.roc_auc(df, "y", "s", "month").collect())), sorted(map(str, ks.collect()))
+    whole = run()
+    monkeypatch.setattr(metrics, "ROWS_PER_BUCKET", 300)
+    assert run() == whole
