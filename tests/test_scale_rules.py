@@ -122,3 +122,15 @@ def test_buckets_by_raw_rows_give_the_same_auc_and_ks(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(metrics, "ROWS_PER_BUCKET", 300)
     assert run() == whole
+
+
+def test_tables_of_a_row_per_feature_are_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where their size is not known
+    try:
+        edges = spark.createDataFrame([("a", [1.0, 2.0])], "feature string, edges array<double>")
+        rows = spark.createDataFrame([("a", 1, 1.5)], "feature string, month int, value double")
+        plans = [drift._bin_counts(rows, edges, ["month"]), catalog.QUERIES["sketch_quantiles"](spark, SF)]
+        assert not any("SortMergeJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
