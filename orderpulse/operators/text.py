@@ -123,9 +123,18 @@ def fit_stars(docs: DataFrame, ratings: DataFrame, stars: int = 5, folds: int =
     return each.select("fold", "bucket", weight.alias("weight")), base
 
 
+def fold_buckets(docs: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
+    """doc_id, fold (a hash of the id) and word buckets of every document. Cutting the
+    texts is most of the work of :func:`out_of_fold_stars`, which reads them three
+    times: write this table once and pass it in place of the documents."""
+    part = F.floor(hash_uniform(seed, "doc_id") * folds).cast("int")
+    return docs.select("doc_id", part.alias("fold"), word_buckets(F.col("text")).alias("buckets"))
+
+
 def out_of_fold_stars(docs: DataFrame, ratings: DataFrame, stars: int = 5, folds: int = 5,
                       seed: int = 42) -> DataFrame:
-    """doc_id, pred_stars and text_score of every document (doc_id, text), by a
+    """doc_id, pred_stars and text_score of every document (doc_id, text; or the
+    table of :func:`fold_buckets`, of as many folds), by a
     model that has not seen the document's own ratings.
 
     Documents fall into ``folds`` parts by a hash of their id; the weights without
@@ -134,8 +143,7 @@ def out_of_fold_stars(docs: DataFrame, ratings: DataFrame, stars: int = 5, folds
     null text has no word. The weight table has a fixed bound and is broadcast.
     """
     k = range(1, stars + 1)
-    part = F.floor(hash_uniform(seed, "doc_id") * folds).cast("int")
-    rows = docs.select("doc_id", part.alias("fold"), word_buckets(F.col("text")).alias("buckets"))
+    rows = docs if "buckets" in docs.columns else fold_buckets(docs, folds, seed)
     weights, base = fit_stars(rows, ratings, stars, folds)
     each = rows.select("doc_id", "fold", F.size("buckets").alias("n_words"), F.explode_outer("buckets").alias("bucket"))
     summed = each.join(F.broadcast(weights), ["fold", "bucket"], "left").groupBy("doc_id", "fold", "n_words").agg(

@@ -134,3 +134,11 @@ def test_tables_of_a_row_per_feature_are_broadcast(spark):
         assert not any("SortMergeJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_stars_from_word_buckets_written_before(spark):
+    from orderpulse.operators import text
+    docs = spark.createDataFrame([(i, None if i == 5 else f"word{i % 7} good{i % 3} Bad") for i in range(60)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, 1 + i % 5) for i in range(60)], "doc_id long, review_score int")
+    got = [sorted(map(str, text.out_of_fold_stars(d, ratings).collect())) for d in (docs, text.fold_buckets(docs))]
+    assert got[0] == got[1] and len(got[0]) == 60
