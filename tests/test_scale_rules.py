@@ -142,3 +142,10 @@ def test_stars_from_word_buckets_written_before(spark):
     ratings = spark.createDataFrame([(i, 1 + i % 5) for i in range(60)], "doc_id long, review_score int")
     got = [sorted(map(str, text.out_of_fold_stars(d, ratings).collect())) for d in (docs, text.fold_buckets(docs))]
     assert got[0] == got[1] and len(got[0]) == 60
+
+
+def test_streams_join_scores_written_once(spark):
+    scored = catalog.scored_orders(spark, SF)
+    assert scored.inputFiles() and not any("order_features" in p for p in scored.inputFiles())
+    want = catalog.feature_model(spark, SF)(catalog.features(spark, SF)).select("order_id", "y_proba", "y_pred")
+    assert sorted(scored.collect()) == sorted(want.collect())
