@@ -129,7 +129,9 @@ def train(labelled: DataFrame, sample: int = 20_000, trees: int = 30, depth: int
     rows = rows.repartition(8, "h").sortWithinPartitions("h", *(f"f_{f}" for f in FEATURES))
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8)
-    return forest.fit(_vectors(rows))
+    # a copy has no training summary, which holds the session and, once a query of it
+    # was observed, cannot be sent to tasks
+    return forest.fit(_vectors(rows)).copy()
 
 
 def _vectors(rows: DataFrame) -> DataFrame:

@@ -111,3 +111,13 @@ def test_scorecard_equals_counting_and_handles_the_unseen(spark):
     for i, w in want.items():
         logit = card.prior + w
         assert abs(got[i]["y_proba"] - 1 / (1 + math.exp(-logit / 1e6))) < 1e-12 and got[i]["y_pred"] == (logit >= 0)
+
+
+def test_forest_scores_in_a_session_that_observed_a_query(spark):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    f = catalog.features(spark, SF)
+    model = mdl.train(f, {**mdl.FOREST, "numTrees": 2, "maxDepth": 3}, partitions=2)
+    assert mdl.score(model, f).agg(F.count("y_proba")).first()[0] == f.count()
