@@ -121,3 +121,27 @@ def test_forest_scores_in_a_session_that_observed_a_query(spark):
     f = catalog.features(spark, SF)
     model = mdl.train(f, {**mdl.FOREST, "numTrees": 2, "maxDepth": 3}, partitions=2)
     assert mdl.score(model, f).agg(F.count("y_proba")).first()[0] == f.count()
+
+
+def test_a_logged_run_scores_its_test_rows_once(spark, tmp_path):
+    import random
+
+    from orderpulse import CATEGORICAL_FEATURES, KEY, LABEL
+    rng = random.Random(5)
+    cols = [KEY, LABEL, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES]
+    rows = [(i, int(x + rng.random() > 1), *[x if rng.random() > 0.1 else None for _ in NUMERIC_FEATURES],
+             *[rng.choice(["a", "b", None]) for _ in CATEGORICAL_FEATURES])
+            for i, x in ((i, rng.random()) for i in range(120))]
+    schema = ", ".join([f"{KEY} long", f"{LABEL} int", *[f"{c} double" for c in NUMERIC_FEATURES],
+                        *[f"{c} string" for c in CATEGORICAL_FEATURES]])
+    df = spark.createDataFrame(rows, schema).select(*cols)
+    train, test = df.where(F.col(KEY) < 80), df.where(F.col(KEY) >= 80)
+    model, metrics = mdl.train_and_log(
+        spark, train, test, {**mdl.FOREST, "numTrees": 3, "maxDepth": 4, "partitions": 2}, "once",
+        str(tmp_path / "runs"), str(tmp_path / "model"))
+    # every pass of the metrics reads the written scores, none scores again
+    files = metrics.inputFiles()
+    assert files and all("model_scores" in f for f in files)
+    assert metrics.first() == mdl.evaluate(mdl.score(model, test)).first() and metrics.first().n_test == 40
+    logged = spark.read.parquet(str(tmp_path / "runs")).first().metrics
+    assert logged["accuracy"] == metrics.first().accuracy
