@@ -145,3 +145,42 @@ def test_a_logged_run_scores_its_test_rows_once(spark, tmp_path):
     assert metrics.first() == mdl.evaluate(mdl.score(model, test)).first() and metrics.first().n_test == 40
     logged = spark.read.parquet(str(tmp_path / "runs")).first().metrics
     assert logged["accuracy"] == metrics.first().accuracy
+
+
+def _forest_rows(spark, n=400):
+    import random
+
+    from pyspark.ml.linalg import Vectors
+    rng = random.Random(8)
+    xs = [[rng.random(), rng.random(), float(rng.randrange(5)), rng.random() * (i % 3)] for i in range(n)]
+    rows = [(i, Vectors.dense(x), float(x[0] + x[2] * x[3] / 4 + rng.random() / 2 > 1)) for i, x in enumerate(xs)]
+    rows += rows[:40]  # keys may repeat
+    return spark.createDataFrame(rows, ["id", "features", "_label"]).repartition(16, "id").sortWithinPartitions("id")
+
+
+def test_forest_is_sparks_own_tree_for_tree_from_fewer_partitions(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    sc, df = spark.sparkContext, _forest_rows(spark).cache()
+    spec = {**mdl.FOREST, "numTrees": 7, "maxDepth": 12}
+    est = mdl._estimator(spec)
+    sc.setJobGroup("forest-partitions", "forest")
+    got = est.fit(df)
+    sc._jsc.clearJobGroup()
+    own = RandomForestClassifier(**{p.name: v for p, v in est.extractParamMap().items()}).fit(df).copy()
+    assert [t.toDebugString.split("\n")[1:] for t in got.trees] == [t.toDebugString.split("\n")[1:] for t in own.trees]
+    assert [t.numNodes for t in got.trees] == [t.numNodes for t in own.trees] and got.totalNumNodes > 7 * 20
+    key = lambda r: (r["id"], list(r["probability"]), r["prediction"])
+    assert sorted(map(key, got.transform(df).collect())) == sorted(map(key, own.transform(df).collect()))
+    # the rows are drawn in 16 partitions, their statistics summed in no more than the cores
+    track = sc.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("forest-partitions") for s in track.getJobInfo(j).stageIds]
+    passes = [s.numTasks for s in stages if s and "RandomForest" in s.name and "mapPartitions" in s.name]
+    assert passes and max(passes) <= sc.defaultParallelism < 16
+
+
+def test_weighted_forest_stays_sparks_own(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    df = _forest_rows(spark, 120).withColumn("w", F.lit(1.0) + F.col("id") % 3)
+    est = mdl._estimator({**mdl.FOREST, "numTrees": 3, "maxDepth": 4}).setWeightCol("w")
+    own = RandomForestClassifier(**{p.name: v for p, v in est.extractParamMap().items()}).fit(df)
+    assert [t.toDebugString.split("\n")[1:] for t in est.fit(df).trees] == [t.toDebugString.split("\n")[1:] for t in own.trees]
