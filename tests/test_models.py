@@ -184,3 +184,75 @@ def test_weighted_forest_stays_sparks_own(spark):
     est = mdl._estimator({**mdl.FOREST, "numTrees": 3, "maxDepth": 4}).setWeightCol("w")
     own = RandomForestClassifier(**{p.name: v for p, v in est.extractParamMap().items()}).fit(df)
     assert [t.toDebugString.split("\n")[1:] for t in est.fit(df).trees] == [t.toDebugString.split("\n")[1:] for t in own.trees]
+
+
+def _boosting_rows(spark, n=700):
+    import random
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+    rng = random.Random(12)
+    rows = [(rng.random(), float(rng.randrange(4)), rng.gauss(0, 1), rng.choice("abc"), rng.choice("uvwxy")) for _ in range(n)]
+    rows = [(i, a, b, c, s, t, float(a + b / 4 + c * (s == "b") + (t == "y") + rng.random() / 2 > 1))
+            for i, (a, b, c, s, t) in enumerate(rows)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "id long, a double, b double, c double, s string, t string, _label double")
+    idx = StringIndexer(inputCols=["s", "t"], outputCols=["si", "ti"], handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=["si", "ti"], outputCols=["sv", "tv"], dropLast=True)
+    put = VectorAssembler(inputCols=["a", "sv", "b", "tv", "c"], outputCol="features")
+    df = Pipeline(stages=[idx, hot, put]).fit(df).transform(df)
+    return df.select("id", "features", "_label").repartition(3, "id").sortWithinPartitions("id").cache()
+
+
+def _shape(node):
+    """A tree's splits, gains and values, floats to nine digits."""
+    num = lambda v: float(f"{v:.9g}")
+    if node.getClass().getSimpleName() == "LeafNode":
+        return num(node.prediction())
+    split = node.split()
+    at = num(split.threshold()) if split.getClass().getSimpleName() == "ContinuousSplit" else list(split.leftCategories())
+    return (num(node.prediction()), num(node.gain()), split.featureIndex(), at, _shape(node.leftChild()), _shape(node.rightChild()))
+
+
+def test_boosting_is_sparks_own_and_holds_bytes_not_vectors(spark, tmp_path, monkeypatch):
+    from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+
+    from orderpulse.operators import boosting
+    df = _boosting_rows(spark)
+    est = mdl._estimator({**mdl.BOOSTING, "maxIter": 9})
+    assert isinstance(est, boosting.BoostingClassifier)
+    own = GBTClassifier()._set(**{p.name: v for p, v in est.extractParamMap().items()}).fit(df)
+    # the rows of a pass are blocks, whatever their size and whenever scores are summed anew
+    for rounds, size in ((25, 16_384), (4, 64)):
+        monkeypatch.setattr(boosting, "LINEAGE_ROUNDS", rounds)
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", size)
+        got = est.fit(df)
+        a, b = ([_shape(t._java_obj.rootNode()) for t in m.trees] for m in (got, own))
+        assert a == b and got.treeWeights == own.treeWeights and got.numFeatures == own.numFeatures
+        assert [t.numNodes for t in got.trees] == [t.numNodes for t in own.trees]
+    path = str(tmp_path / "m")
+    got.write().save(path)
+    key = lambda m: {r["id"]: r["probability"][1] for r in m.transform(df).collect()}
+    p, q, r = key(got), key(own), key(GBTClassificationModel.load(path))
+    assert p == r and all(abs(p[k] - q[k]) < 1e-12 for k in q)
+    cut = boosting._worker(2, {0: [0.5]}, [1], 8)[0]
+    import pickle
+
+    import pyarrow as pa
+    batch = pa.record_batch({"y": pa.array([0.0, 1.0]), "x": pa.array([[0.5, 1.0], [0.6, 0.0]])})
+    bins, ids, y = pickle.loads(next(cut(iter([batch])))["block"][0].as_py())
+    assert bins.tolist() == [[0, 1]] and ids.tolist() == [[1, 0]] and y.tolist() == [-1, 1]
+    assert bins.itemsize == ids.itemsize == y.itemsize == 1
+
+
+def test_boosting_of_one_class_and_weighted_boosting(spark):
+    from pyspark.ml.classification import GBTClassifier
+    df = _boosting_rows(spark, 90)
+    est = mdl._estimator({**mdl.BOOSTING, "maxIter": 3})
+    own = lambda e, rows: GBTClassifier()._set(**{p.name: v for p, v in e.extractParamMap().items()}).fit(rows)
+    # one class leaves nothing to split but rounding: the trees may differ, their values not
+    same = df.withColumn("_label", F.lit(1.0))
+    p, q = ({r["id"]: r["probability"][1] for r in m.transform(same).collect()} for m in (est.fit(same), own(est, same)))
+    assert p.keys() == q.keys() and all(abs(p[k] - q[k]) < 1e-12 for k in p)
+    heavy, e = df.withColumn("w", F.lit(1.0) + F.col("id") % 2), est.copy().setWeightCol("w")
+    a, b = ([_shape(t._java_obj.rootNode()) for t in m.trees] for m in (e.fit(heavy), own(e, heavy)))
+    assert a == b
