@@ -219,6 +219,7 @@ def test_boosting_is_sparks_own_and_holds_bytes_not_vectors(spark, tmp_path, mon
     from orderpulse.operators import boosting
     df = _boosting_rows(spark)
     est = mdl._estimator({**mdl.BOOSTING, "maxIter": 9})
+    monkeypatch.setattr(boosting, "BLOCKS_FROM", 0)
     assert isinstance(est, boosting.BoostingClassifier)
     own = GBTClassifier()._set(**{p.name: v for p, v in est.extractParamMap().items()}).fit(df)
     # the rows of a pass are blocks, whatever their size and whenever scores are summed anew
@@ -244,8 +245,11 @@ def test_boosting_is_sparks_own_and_holds_bytes_not_vectors(spark, tmp_path, mon
     assert bins.itemsize == ids.itemsize == y.itemsize == 1
 
 
-def test_boosting_of_one_class_and_weighted_boosting(spark):
+def test_boosting_of_one_class_and_weighted_boosting(spark, monkeypatch):
     from pyspark.ml.classification import GBTClassifier
+
+    from orderpulse.operators import boosting
+    monkeypatch.setattr(boosting, "BLOCKS_FROM", 0)
     df = _boosting_rows(spark, 90)
     est = mdl._estimator({**mdl.BOOSTING, "maxIter": 3})
     own = lambda e, rows: GBTClassifier()._set(**{p.name: v for p, v in e.extractParamMap().items()}).fit(rows)
